@@ -106,23 +106,23 @@ def small_batches(texts: Iterable, size: int = 2_000_000) -> Iterator[tuple[int,
 
 
 def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
-    """(node, component): the smallest node reachable over the links ``a``-``b``.
+    """(node, component) of every node with a link: the smallest node reachable over ``a``-``b``.
 
     Rounds of large-star and small-star: each joins and aggregates by node, with partial
     aggregation before the shuffle, so no component is ever gathered in one place. A hub's
-    links meet in the reducers of a sum-like ``min``, not in a list.
+    links meet in the reducers of a ``min``, not in a list.
     """
     spark = edges.sparkSession
     cur = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     while True:
-        # hooking: every node takes the least label among its neighbours and itself
+        # large-star: every larger neighbour of a node is linked to the least of its neighbours and itself
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-        # both ends of a link are relabelled by their least neighbour; links inside a star vanish
-        hop = cur.join(low.withColumnsRenamed({"n": "a", "m": "ma"}), "a").join(low.withColumnsRenamed({"n": "b", "m": "mb"}), "b")
-        links = hop.select(F.col("ma").alias("x"), F.col("mb").alias("y"))
-        links = links.unionByName(low.select(F.col("n").alias("x"), F.col("m").alias("y")))
-        nxt = materialize(links.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), name)
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # small-star: a node and its smaller neighbours are linked to the least of them
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        nxt = materialize(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), name)
         # a forest of stars: every left end occurs once, and no right end is a left end
         lefts = nxt.groupBy("a").count()
         unstable = nxt.join(nxt.select(F.col("a").alias("b")).distinct(), "b", "left_semi").limit(1).count() or lefts.where("count > 1").limit(1).count()
@@ -130,4 +130,5 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
         cur = nxt
         if not unstable:
             break
-    return cur.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    centres = cur.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    return cur.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(centres)
