@@ -12,7 +12,9 @@ it also signs under further, independent divisions. Sets that share no signature
 Signatures are packed by hash range and dealt out by Spark; sets with equal signatures are
 first compared with the least of them only (a star, not all pairs), and the components of
 the links found so far are then checked for completeness: of sets that share a signature,
-those still in different components are compared with one another. All candidates are
+those still in different components are compared with one another, in blocks inside a task,
+by size and by a parity sketch whose distance never exceeds the true one; pairs that these
+don't rule out go on. All candidates are
 verified on the full sets. Copies of one set are one node throughout.
 
 Words are runs of bytes other than white space after lower-casing A-Z; a text of fewer than
@@ -42,6 +44,9 @@ NUM, DEN = 80, 100
 BAND = 1.6
 LEVELS = 4
 BATCH_CHARS = 3_000_000
+#: Bits of a set's sketch; a multiple of 64.
+CELLS = 256
+MEMBER = np.dtype([("group", np.int64), ("n", np.int64), ("sketch", np.uint8, CELLS // 8)])
 
 
 @lru_cache(maxsize=None)
@@ -152,9 +157,8 @@ def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return sig, np.frombuffer(row["nodes"], np.int64)[idx], np.frombuffer(row["groups"], np.int64)[idx]
 
 
-def runs(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def runs(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Members of signatures that several sets share: run number, node, group; and the run starts."""
-    parts = [unpacked(r) for r in rows]
     sig, node, group = (np.concatenate(p) for p in zip(*parts, strict=True))
     order = np.argsort(sig)
     sig, node, group = sig[order], node[order], group[order]
@@ -177,7 +181,7 @@ def unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def star(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     """Every member of a run with the least one."""
-    run, node, _, starts = runs(rows)
+    run, node, _, starts = runs([unpacked(r) for r in rows])
     if not len(run):
         return node, node
     least = np.minimum.reduceat(node, starts)[run]
@@ -185,24 +189,48 @@ def star(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     return unique_pairs(node[ok], least[ok])
 
 
+def sketch(h: np.ndarray) -> np.ndarray:
+    """Parities of a set's counts in ``CELLS`` cells: two sets differ in at least as many shingles as sketches in bits."""
+    return np.packbits(np.bincount((mix64(h, 31) >> np.uint64(40)).astype(np.int64) % CELLS, minlength=CELLS) & 1)
+
+
 def across(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    """Members of a run that are in different groups."""
-    run, node, group, starts = runs(rows)
+    """Members of a run that are in different groups, and whose sizes and sketches don't rule a link out."""
+    parts, base = [], 0
+    for r in rows:  # members by their row in one table of (group, size, sketch)
+        own = np.frombuffer(r["groups"], MEMBER)
+        sig, node, at = unpacked({**r, "groups": np.arange(base, base + len(own), dtype=np.int64).tobytes()})
+        parts.append((sig, node, at, own))
+        base += len(own)
+    info = np.concatenate([x[3] for x in parts])
+    run, node, at, starts = runs([x[:3] for x in parts])
     if not len(run):
         return node, node
+    group = info["group"][at]
     mixed = np.minimum.reduceat(group, starts) != np.maximum.reduceat(group, starts)
     ends = np.append(starts[1:], len(run))
     seen, a, b = set(), [], []
     for s, e in zip(starts[mixed], ends[mixed], strict=True):
-        members = np.unique(np.stack([group[s:e], node[s:e]], axis=1), axis=0)
-        key = members.tobytes()
+        members, first = np.unique(node[s:e], return_index=True)
+        key = hash(members.tobytes())
         if key in seen:
             continue
         seen.add(key)
-        cuts = np.flatnonzero(np.append(members[1:, 0] != members[:-1, 0], True)) + 1
-        for x, y in zip([0, *cuts[:-1]], cuts, strict=True):  # each group with those after it
-            a.append(np.repeat(members[x:y, 1], len(members) - y))
-            b.append(np.tile(members[y:, 1], y - x))
+        own = info[at[s:e][first]]
+        order = np.argsort(own["n"], kind="stable")
+        members, own = members[order], own[order]
+        bits = np.ascontiguousarray(own["sketch"]).view(np.uint64).reshape(len(own), -1)
+        n = own["n"]
+        reach = np.searchsorted(n, n * DEN // NUM, "right")  # larger ones that are not too large
+        for x in range(0, len(n), 128):
+            y, z = min(x + 128, len(n)), reach[min(x + 128, len(n)) - 1]
+            differ = np.bitwise_count(bits[x:y, None, :] ^ bits[None, x:z, :]).sum(axis=2)
+            ok = differ <= (n[x:y, None] + n[None, x:z]) * (DEN - NUM) // (DEN + NUM)
+            ok &= own["group"][x:y, None] != own["group"][None, x:z]
+            i, j = np.nonzero(ok)
+            i, j = i[j > i], j[j > i]
+            a.append(members[x + i])
+            b.append(members[x + j])
     return unique_pairs(np.concatenate(a), np.concatenate(b)) if a else (node[:0], node[:0])
 
 
@@ -310,7 +338,9 @@ def unconnected(sets: DataFrame, components: DataFrame, buckets: int) -> DataFra
             for a in range(0, batch.num_rows, step):
                 part = batch.slice(a, step)
                 sets = [np.array(x, np.int64).view(np.uint64) for x in part.column(2).to_pylist()]
-                yield from _records(list(packed(sets, part.column(0).to_numpy(), part.column(1).to_numpy(), buckets)))
+                info = np.zeros(len(sets), MEMBER)
+                info["group"], info["n"], info["sketch"] = part.column(1).to_numpy(), [len(h) for h in sets], [sketch(h) for h in sets]
+                yield from _records(list(packed(sets, part.column(0).to_numpy(), info, buckets)))
 
     def paired(batches):
         for rows in _by_bucket(batches):
@@ -336,7 +366,8 @@ def jaccard_join(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     sets_once = sets.dropDuplicates(["node"]) if sets.groupBy("node").count().where("count > 1").limit(1).count() else sets
     links = materialize(verified(pairs, sets_once), "jaccard-links")
     components = connected_components(links, "jaccard-cc")
-    more = unconnected(sets_once, components, buckets).join(pairs, ["a", "b"], "left_anti")
+    more = unconnected(sets_once, components, max(8, buckets // 4)).join(pairs, ["a", "b"], "left_anti")
+    more = materialize(more, "jaccard-pairs")
     extra = materialize(verified(more, sets_once), "jaccard-links")
     if extra.limit(1).count():
         components = connected_components(links.unionByName(extra), "jaccard-cc")
