@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +65,29 @@ def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x
 
 
+def carried(rows: DataFrame, read: list[str], carry: tuple[str, ...], compute: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` over the columns that ``compute`` reads; other columns go along unchanged.
+
+    ``compute`` gives one batch, with as many rows, for each batch it gets.
+    """
+    n = len(read)
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def tee():
+            for batch in batches:
+                held.append(batch)
+                yield batch
+
+        for out in compute(tee()):
+            own = held.pop(0)
+            yield pa.RecordBatch.from_arrays([*out.columns, *own.columns[n:]], names=[*out.schema.names, *carry])
+
+    extra = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)
+    return rows.select(*read, *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry))).mapInArrow(run, schema + extra)
+
+
 class WordTable:
     """Distinct words of the rows seen so far, numbered, each with values computed once.
 

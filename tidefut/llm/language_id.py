@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MASK, WordTable, crc_mod, drop_table, materialize, small_batches
+from .common import MASK, WordTable, carried, crc_mod, drop_table, materialize, small_batches
 
 #: Longest word, in characters, whose segmentations are summed at once.
 MAX_WORD = 32
@@ -251,8 +251,8 @@ def fit(rows: DataFrame, model_path: str, lang: str = "lang", text: str = "text"
     return LanguageModel(langs, probs, np.log(n / n.sum()) if langs else np.zeros(1))
 
 
-def predict(docs: DataFrame, model: LanguageModel, model_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score, n_letters_words for every row, one pass, no shuffle."""
+def predict(docs: DataFrame, model: LanguageModel, model_path: str, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang_pred, score, n_words and the carried columns of every row, one pass, no shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.probs, model.prior))
     kind = docs.schema[doc_id].dataType.simpleString()
 
@@ -292,12 +292,12 @@ def predict(docs: DataFrame, model: LanguageModel, model_path: str, doc_id: str
                     words.append(int(n[i]))
             yield pa.RecordBatch.from_arrays([ids, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(words, pa.int64())], names=["doc_id", "lang_pred", "score", "n_words"])
 
-    return docs.select(doc_id, text).mapInArrow(scored, f"doc_id {kind}, lang_pred string, score double, n_words long")
+    return carried(docs, [doc_id, text], carry, scored, f"doc_id {kind}, lang_pred string, score double, n_words long")
 
 
-def language_id(docs: DataFrame, model_path: str, held_out_of: int = 4, held_out: int = 2) -> DataFrame:
+def language_id(docs: DataFrame, model_path: str, held_out_of: int = 4, held_out: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
     """Learn from the rows outside the held-out fold, predict every row."""
     fold = crc_mod("doc_id", held_out_of)
     model = fit(docs.where(fold != held_out), model_path)
-    out = predict(docs, model, model_path)
-    return out.select("doc_id", (crc_mod("doc_id", held_out_of) == held_out).alias("held_out"), "lang_pred", "score", "n_words")
+    out = predict(docs, model, model_path, carry=carry)
+    return out.select("doc_id", (crc_mod("doc_id", held_out_of) == held_out).alias("held_out"), "lang_pred", "score", "n_words", *carry)
