@@ -10,40 +10,62 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefut.llm import common, language_id, quality
+from tidefut.llm import common, exact_dedup, language_id, ngram_join, packing, quality
 from tidefut.llm.queries import table, vocabulary
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+OTHERS = COLUMNS[1:]
 #: Documents whose best language is less likely than this are rejected.
 LEAST_LANG_SCORE = 0.34
 #: Documents with a lower quality score are rejected.
 LEAST_QUALITY = 0.3
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(COLUMNS)
-
-
 def stage_language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognisable language go."""
-    found = language_id.language_id(docs, vocabulary("piece_bpe_32k.model"))
-    return _keep(docs, found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANG_SCORE)))
+    found = language_id.language_id(docs, vocabulary("piece_bpe_32k.model"), carry=OTHERS)
+    kept = found.toDF("doc_id", "held_out", "lang_pred", "lang_score", "n_words", *OTHERS)
+    return kept.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_LANG_SCORE)).select(*COLUMNS)
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    found = quality.quality(docs, table(spark, sf_dir, "labels"), threshold=LEAST_QUALITY)
-    return _keep(docs, found.where("predicted = 1"))
+    found = quality.quality(docs, table(spark, sf_dir, "labels"), threshold=LEAST_QUALITY, carry=OTHERS)
+    return found.where("predicted = 1").select(*COLUMNS)
+
+
+def stage_exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts one stays."""
+    return exact_dedup.keep_documents(docs).select(*COLUMNS)
+
+
+def stage_ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest identifier stays."""
+    found = common.materialize(ngram_join.jaccard_join(docs), "pipeline-groups")
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
+    return exact_dedup.only(docs, gone, "left_anti").select(*COLUMNS)
+
+
+def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of bounded length; one row for each piece."""
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"))
 
 
-STAGES = [("language_id", stage_language_id), ("quality", stage_quality)]
+STAGES = [
+    ("language_id", stage_language_id),
+    ("quality", stage_quality),
+    ("exact_dedup", stage_exact_dedup),
+    ("ngram_jaccard", stage_ngram_jaccard),
+    ("packing", stage_packing),
+]
 
 #: The learned stages have no SQL form; the tests compare each stage with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each stage's table is written before the next reads it."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = common.materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
