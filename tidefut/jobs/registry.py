@@ -2,10 +2,261 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import scalars as S
+from ..functions.maturity import contract_calendar, estimate_maturity
+from ..operators import continuous as C
+from ..operators import merge as M
+from ..operators import treatments as T
+from . import retrieve as R
+from .quotes import DAILY, WEEKLY, quotes
 
-def oracle_sql():
-    return {}
+ROOTS = ("DOL", "WIN", "CCM", "BGI", "ICF", "DI1")
+SERIES = {r: [r] for r in ROOTS}
+
+# ---- SQL fragments of the oracles ------------------------------------------------------
+
+_DAYS = "CAST(CASE isodow({d}) {cases} ELSE 0 END AS INT)"
+_LAST = "CAST(make_date(y, m, 1) + INTERVAL 1 MONTH - INTERVAL 1 DAY AS DATE)"
+_MATURITY = f"""
+(SELECT t.*, CASE rule
+   WHEN 'last_bd' THEN {_LAST} - {_DAYS.format(d=_LAST, cases="WHEN 6 THEN 1 WHEN 7 THEN 2")}
+   WHEN 'first_bd' THEN make_date(y, m, 1) + {_DAYS.format(d="make_date(y, m, 1)", cases="WHEN 6 THEN 2 WHEN 7 THEN 1")}
+   WHEN 'wed' THEN make_date(y, m, 15) + {_DAYS.format(d="make_date(y, m, 15)", cases="WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 4 THEN -1 WHEN 5 THEN -2 WHEN 6 THEN -3 WHEN 7 THEN 3")}
+   WHEN 'before' THEN make_date(y, m, 15) - {_DAYS.format(d="make_date(y, m, 15)", cases="WHEN 1 THEN 3 WHEN 7 THEN 3 WHEN 6 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN 1 WHEN 4 THEN 1 WHEN 5 THEN 1")}
+   END AS maturity
+ FROM (SELECT ticker, CASE max(root) WHEN 'DOL' THEN 'last_bd' WHEN 'BGI' THEN 'last_bd' WHEN 'WIN' THEN 'wed' WHEN 'CCM' THEN 'before' WHEN 'ICF' THEN 'before' WHEN 'DI1' THEN 'first_bd' END AS rule,
+     CAST(CASE WHEN CAST(right(ticker, 2) AS INT) <= 40 THEN 2000 ELSE 1900 END + CAST(right(ticker, 2) AS INT) AS BIGINT) AS y, CAST(instr('FGHJKMNQUVXZ', substr(ticker, 4, 1)) AS BIGINT) AS m FROM q GROUP BY ticker) t)
+"""
+
+
+def _dated(source: str) -> str:
+    return f"q AS ({source}), mat AS {_MATURITY}, qm AS (SELECT q.*, mat.maturity FROM q JOIN mat USING (ticker))"
+
+
+def _series_sql(backward: bool, final: str) -> str:
+    """The continuous series, by windows and joins over the weekly quotes."""
+    frame = "ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING" if backward else "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    return f"""
+WITH {_dated(WEEKLY)},
+u AS (SELECT *, date_diff('day', date, maturity) AS dtm FROM qm),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY root, date ORDER BY CASE WHEN dtm > 5 THEN 0 WHEN dtm >= 0 THEN 1 ELSE 2 END, abs(dtm), ticker) AS rn FROM u) WHERE rn = 1),
+r AS (SELECT * FROM (SELECT root, date AS switch_date, ticker AS to_ticker, lag(ticker) OVER (PARTITION BY root ORDER BY date) AS from_ticker FROM f) WHERE from_ticker <> to_ticker),
+b AS (SELECT r.root, r.switch_date, max(x.date) AS bridge_date FROM r JOIN u x ON x.ticker = r.from_ticker AND x.date <= r.switch_date JOIN u y ON y.ticker = r.to_ticker AND y.date = x.date GROUP BY r.root, r.switch_date),
+s AS (SELECT r.root AS series, r.from_ticker, r.to_ticker, r.switch_date, b.bridge_date, x.close AS from_close, y.close AS to_close,
+        coalesce(y.close / x.close, 1.0) AS backward_factor, coalesce(x.close / y.close, 1.0) AS forward_factor
+      FROM r LEFT JOIN b ON b.root = r.root AND b.switch_date = r.switch_date
+      LEFT JOIN u x ON x.ticker = r.from_ticker AND x.date = b.bridge_date LEFT JOIN u y ON y.ticker = r.to_ticker AND y.date = b.bridge_date),
+a AS (SELECT f.*, coalesce(product(coalesce(s.{"backward" if backward else "forward"}_factor, 1.0)) OVER (PARTITION BY f.root ORDER BY f.date {frame}), 1.0) AS factor
+      FROM f LEFT JOIN s ON s.series = f.root AND s.switch_date = f.date)
+{final}"""
+
+
+_PRICES_SQL = "SELECT root AS series, date, " + ", ".join(f"round({c} * factor, 4) AS {c}_adj" for c in C.PRICES) + ", volume AS Volume, volume_qty AS Volume_Qty FROM a"
+
+
+def _prices(series: C.Series) -> DataFrame:
+    return series.rows.select("series", "date", *(F.round(F.col(c.capitalize()), 4).alias(f"{c}_adj") for c in C.PRICES), "Volume", "Volume_Qty")
+
+
+# ---- queries -----------------------------------------------------------------------------
+
+_FOUND: dict[str, tuple[Callable, str]] = {}
+
+
+def register(sql: str):
+    def keep(f):
+        _FOUND[f.__name__] = (f, sql)
+        return f
+
+    return keep
+
+
+def dated(spark: SparkSession, sf_dir: str, weekly: bool = False) -> DataFrame:
+    return estimate_maturity(quotes(spark, sf_dir, weekly))
+
+
+@register(_series_sql(True, _PRICES_SQL))
+def backward_adjusted(spark, sf_dir):
+    return _prices(C.build_backward_adjusted(dated(spark, sf_dir, True), SERIES))
+
+
+@register(_series_sql(False, _PRICES_SQL))
+def forward_adjusted(spark, sf_dir):
+    return _prices(C.build_forward_adjusted(dated(spark, sf_dir, True), SERIES))
+
+
+@register(_series_sql(True, "SELECT series, from_ticker, to_ticker, switch_date, bridge_date, from_close, to_close, round(backward_factor, 6) AS backward_factor, round(forward_factor, 6) AS forward_factor FROM s"))
+def roll_schedule(spark, sf_dir):
+    rolls = C.build_backward_adjusted(dated(spark, sf_dir, True), SERIES).rolls
+    return rolls.withColumns({c: F.round(c, 6) for c in ("backward_factor", "forward_factor")})
+
+
+@register(_series_sql(True, "SELECT root AS series, date, root, ticker, maturity, CAST(dtm AS INT) AS days_to_maturity FROM f"))
+def active_contracts(spark, sf_dir):
+    return C.build_backward_adjusted(dated(spark, sf_dir, True), SERIES).active
+
+
+@register(f"WITH {_dated(DAILY)} SELECT date, root, ticker, maturity FROM qm")
+def estimated_maturity(spark, sf_dir):
+    return dated(spark, sf_dir).select("date", "root", "ticker", "maturity")
+
+
+@register(f"WITH {_dated(DAILY)} SELECT DISTINCT root, ticker, CAST(year(date) AS INT) AS ref_year, maturity FROM qm")
+def contract_maturities(spark, sf_dir):
+    return contract_calendar(quotes(spark, sf_dir))
+
+
+@register(
+    f"""WITH q AS ({DAILY}) SELECT date, ticker, CASE WHEN trade_count % 5 = 0 THEN NULL ELSE close * CASE WHEN trade_count % 3 = 0 THEN -1 ELSE 1 END END AS value FROM q"""
+)
+def localized_numbers(spark, sf_dir):
+    q = quotes(spark, sf_dir)
+    text = F.concat(F.expr("cast(floor(close / 1000) as bigint)"), F.lit("."), F.lpad(F.expr("cast(cast(floor(close) as bigint) % 1000 as string)"), 3, "0"), F.lit(","), F.lpad(F.expr("cast(cast(round((close - floor(close)) * 100) as bigint) as string)"), 2, "0"))
+    n = F.col("trade_count")
+    text = F.when(n % 5 == 0, F.lit(" &nbsp; ")).when(n % 3 == 0, F.concat(F.lit("\t"), text, F.lit("-"))).otherwise(F.concat(text, F.lit("+ ")))
+    return q.select("date", "ticker", S.pt_number(text).alias("value"))
+
+
+@register(
+    """WITH d AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem),
+c AS (SELECT CAST(unnest(range(DATE '1990-01-01', DATE '2000-12-31' + INTERVAL 1 YEAR, INTERVAL 1 DAY)) AS DATE) AS x),
+w AS (SELECT x, row_number() OVER (ORDER BY x) AS k FROM c WHERE isodow(x) < 6),
+p AS (SELECT date, isodow(date) < 6 AS is_business_day, (SELECT count(*) FROM w WHERE x <= date) AS upto, (SELECT count(*) FROM w WHERE x < date) AS below FROM d)
+SELECT date, is_business_day, (SELECT x FROM w WHERE k = upto + 3) AS next_3, (SELECT x FROM w WHERE k = below - 6) AS previous_7 FROM p"""
+)
+def business_days(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_shipdate").cast("date").alias("date")).distinct()
+    x = F.col("date")
+    return d.select("date", S.is_business_day(x).alias("is_business_day"), S.next_business_day(x, 3).alias("next_3"), S.previous_business_day(x, 7).alias("previous_7"))
+
+
+@register(
+    f"""WITH q AS (SELECT DISTINCT ticker FROM ({DAILY}) x)
+SELECT ticker, substr(ticker, 1, 3) AS root_guess, substr(ticker, 4, 1) AS letter, CAST(instr('FGHJKMNQUVXZ', substr(ticker, 4, 1)) AS INT) AS month,
+  CAST(CASE WHEN CAST(right(ticker, 2) AS INT) <= 40 THEN 2000 ELSE 1900 END + CAST(right(ticker, 2) AS INT) AS INT) AS year, substr(ticker, 4, 1) AS code FROM q"""
+)
+def parsed_tickers(spark, sf_dir):
+    t = F.col("ticker")
+    part = lambda i: S.ticker_part(t, i)
+    q = quotes(spark, sf_dir).select("ticker").distinct()
+    return q.select("ticker", part(1).alias("root_guess"), part(2).alias("letter"), S.month_number(part(2)).alias("month"), S.contract_year(part(3)).alias("year"), S.month_code(t, list(ROOTS)).alias("code"))
+
+
+_OLD_SQL = f"""WITH q AS ({DAILY}), o AS (SELECT date, root, ticker, close FROM q WHERE root IN ('BGI', 'CCM') AND year(date) < 2000 AND right(ticker, 2) >= '90')
+SELECT date, root, ticker, close FROM o"""
+
+
+@register(_OLD_SQL)
+def old_tickers(spark, sf_dir):
+    names = {"F": "JAN", "G": "FEV", "H": "MAR", "J": "ABR", "K": "MAI", "M": "JUN", "N": "JUL", "Q": "AGO", "U": "SET", "V": "OUT", "X": "NOV", "Z": "DEZ"}
+    q = quotes(spark, sf_dir).where("root in ('BGI', 'CCM') and year(date) < 2000 and right(ticker, 2) >= '90'")
+    old_root = F.when(F.col("root") == "BGI", "BOI").otherwise("ICN")
+    q = q.select("date", old_root.alias("root"), F.concat(old_root, S.lookup(names, F.substring("ticker", 4, 1)), F.substring("ticker", 6, 1)).alias("ticker"), "close")
+    return M.normalize_old_tickers(q)
+
+
+_DUP = f"""q AS ({DAILY}), dup AS (SELECT date, root, ticker, concat(ticker, CASE WHEN i = 1 AND trade_count % 2 = 0 THEN 'B' ELSE '' END) AS contract_code, i AS arrival_seq, close + i AS close FROM q, (SELECT unnest(range(0, 3)) AS i) r)"""
+
+
+@register(f"WITH {_DUP} SELECT date, ticker, contract_code, CAST(arrival_seq AS BIGINT) AS arrival_seq, close FROM (SELECT *, row_number() OVER (PARTITION BY date, ticker ORDER BY contract_code DESC, arrival_seq DESC) AS rn FROM dup) WHERE rn = 1")
+def deduplicated_rows(spark, sf_dir):
+    q = quotes(spark, sf_dir).withColumn("arrival_seq", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
+    code = F.when((F.col("arrival_seq") == 1) & (F.col("trade_count") % 2 == 0), F.concat("ticker", F.lit("B"))).otherwise(F.col("ticker"))
+    rows = q.select("date", "ticker", code.alias("contract_code"), "arrival_seq", (F.col("close") + F.col("arrival_seq")).alias("close"))
+    return M.dedupe_contract_rows(rows)
+
+
+_SESSIONS_SQL = f"""q AS ({DAILY}), rep AS (SELECT DISTINCT root, date FROM q), bounds AS (SELECT root, min(date) AS lo, max(date) AS hi FROM rep GROUP BY root),
+ses AS (SELECT root, CAST(unnest(range(lo, hi + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS date FROM bounds)"""
+
+
+@register(f"WITH {_SESSIONS_SQL} SELECT root, date FROM ses WHERE isodow(date) < 6 AND day(date) <> 13 AND (root, date) NOT IN (SELECT (root, date) FROM rep)")
+def missing_sessions(spark, sf_dir):
+    reports = quotes(spark, sf_dir).select("root", "date").distinct()
+    bounds = reports.groupBy("root").agg(F.min("date").alias("start"), F.max("date").alias("end"))
+    skip = M.target_sessions(bounds).where(F.dayofmonth("date") == 13)
+    return M.missing_sessions(M.target_sessions(bounds, skip), reports)
+
+
+@register(f"WITH q AS ({DAILY}) SELECT root, CAST(max(date) + INTERVAL 1 DAY AS DATE) AS resume FROM q WHERE day(date) <> 13 GROUP BY root")
+def resume_dates(spark, sf_dir):
+    q = quotes(spark, sf_dir)
+    return M.resume_dates(q, q.where(F.dayofmonth("date") == 13))
+
+
+@register(
+    f"""WITH q AS ({DAILY}), cur AS (SELECT * FROM q WHERE month(date) < 10), add AS (SELECT * REPLACE (close + 1 AS close) FROM q WHERE month(date) >= 9 AND month(date) < 12)
+SELECT date, root, ticker, close FROM (SELECT date, root, ticker, close FROM cur WHERE (root, date) NOT IN (SELECT (root, date) FROM add) UNION ALL SELECT date, root, ticker, close FROM add) WHERE day(date) <> 13"""
+)
+def merged_days(spark, sf_dir):
+    q = quotes(spark, sf_dir).withColumn("contract_code", F.col("ticker"))
+    additions = q.where("month(date) >= 9 and month(date) < 12").withColumn("close", F.col("close") + 1)
+    skip = q.where(F.dayofmonth("date") == 13)
+    return M.merge_days(q.where("month(date) < 10"), additions, skip).select("date", "root", "ticker", "close")
+
+
+@register(f"WITH q AS ({DAILY}) SELECT date, root, ticker, CASE WHEN root IN ('WIN', 'DI1') THEN close * 2 ELSE close END AS close FROM q")
+def refreshed_aggregate(spark, sf_dir):
+    q = quotes(spark, sf_dir).select("date", "root", "ticker", "close")
+    return M.refresh_aggregate(q, q.withColumn("close", F.col("close") * 2), ["WIN", "DI1"])
+
+
+def holes(spark, sf_dir) -> DataFrame:
+    """Quotes with zero and unknown prices by modulus."""
+    n = F.col("trade_count") + F.dayofmonth("date")
+    cols = {c: F.when(n % 4 == 0, 0.0).when((n % 7 == 0) & F.lit(c != "open"), F.lit(None)).otherwise(F.col(c)) for c in C.PRICES}
+    return quotes(spark, sf_dir).withColumns(cols)
+
+
+_HOLES = f"""h AS (SELECT * REPLACE ({", ".join(f"CASE WHEN (trade_count + day(date)) % 4 = 0 THEN 0.0 {'' if c == 'open' else 'WHEN (trade_count + day(date)) % 7 = 0 THEN NULL'} ELSE {c} END AS {c}" for c in C.PRICES)}) FROM ({DAILY}) q)"""
+_OHLCV = 'date, ticker, open AS o, high AS h, low AS l, close AS c, volume AS v'
+
+
+def _short(df: DataFrame) -> DataFrame:
+    return df.select("date", "ticker", *(F.col(a).alias(b) for a, b in zip(("Open", "High", "Low", "Close", "Volume"), "ohlcv", strict=True)))
+
+
+@register(f"WITH {_HOLES} SELECT {_OHLCV} FROM h WHERE NOT coalesce(open = 0 AND high = 0 AND low = 0 AND close = 0, FALSE)")
+def ohlcv_without_zeros(spark, sf_dir):
+    return _short(T.treat_ohlcv_drop0(holes(spark, sf_dir)))
+
+
+@register(
+    f"""WITH {_HOLES}, z AS (SELECT date, ticker, volume, {", ".join(f"CASE WHEN coalesce(open = 0 AND high = 0 AND low = 0 AND close = 0, FALSE) THEN NULL ELSE {c} END AS {c}" for c in C.PRICES)} FROM h)
+SELECT date, ticker, {", ".join(f"last_value({c} IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {c[0]}" for c in C.PRICES)}, volume AS v FROM z"""
+)
+def ohlcv_carried_forward(spark, sf_dir):
+    return _short(T.treat_ohlcv_locf(holes(spark, sf_dir)))
+
+
+@register(f"WITH {_HOLES}, q AS (SELECT * FROM h), mat AS {_MATURITY} SELECT h.date, h.root, h.ticker, open, high, low, close, volume, volume_qty, maturity FROM h JOIN mat USING (ticker) WHERE h.root IN ('WIN', 'BGI') AND h.date >= DATE '1995-01-01' AND h.date <= DATE '1997-12-31' AND open <> 0 AND high <> 0 AND low <> 0 AND close <> 0")
+def clean_bulletins(spark, sf_dir):
+    return R.get_bulletins(holes(spark, sf_dir), ["win", " BGI "], "1995-01-01", "1997-12-31", "clean_data_drop0")
+
+
+@register(f"WITH {_HOLES} SELECT {_OHLCV} FROM h WHERE ticker IN ('WINM96', 'DI1F97') AND date >= DATE '1996-02-01' AND NOT coalesce(open = 0 AND high = 0 AND low = 0 AND close = 0, FALSE)")
+def contracts_by_ticker(spark, sf_dir):
+    return _short(R.get_contracts(holes(spark, sf_dir), ["winm96", "DI1F97"], start="1996-02-01"))
+
+
+@register(f"WITH q AS (SELECT DISTINCT root, ticker FROM ({DAILY}) x) SELECT root, ticker, CASE WHEN root = 'CCM' THEN 450.0 END AS multiplier, CASE WHEN root = 'CCM' THEN 'USD' END AS currency FROM q")
+def specified_contracts(spark, sf_dir):
+    q = quotes(spark, sf_dir).select("root", "ticker").distinct()
+    return C.contract_specs(q).select("root", "ticker", "multiplier", "currency")
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backward_adjusted(spark, sf_dir)
+
+
+def queries() -> dict[str, Callable]:
+    return {name: f for name, (f, _) in _FOUND.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in _FOUND.items()}
