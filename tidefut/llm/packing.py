@@ -19,6 +19,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 2048, 128, 2048
 WAITING = 256
 #: The id after each document.
 END_ID = 1
-REMEMBERED = 250_000
+REMEMBERED = 600_000
 
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, n_loss long"
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -42,8 +43,9 @@ _ODD_SPACE = re.compile("[\x1c-\x1f]")
 class WordEncoder:
     """Ids of whole texts (4 bytes each, little-endian) by a tokenizer that never joins across white space.
 
-    Each distinct chunk between white space is encoded once, many of them in one call; a
-    vocabulary whose words end in a mark tells where one ends.
+    Each distinct chunk between white space is encoded once, from the ids of its words, and
+    each distinct word once, by the tokenizer's merge model. Chunks beyond the Latin letters
+    go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -54,34 +56,44 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocab = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        self.model = self.tokenizer.model
+        self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        self.other = re.compile("[^\x20-\x7e\u00a1-\u024f]|<\\|")
+        # the printable stand-ins of byte-level vocabularies: printable Latin-1 for itself, the others from 256 on
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        rest = iter(range(256, 512))
+        self.stand_in = {i: i if i in plain else next(rest) for i in range(256)}
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(max(self.tokenizer.get_vocab().values()) + 1)]
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def one(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def count(self, chunk: str) -> int:
+    def word(self, word: str) -> bytes:
+        mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.stand_in)
+        return b"".join([self.id_bytes[t.id] for t in self.model.tokenize(mapped)])
+
+    def split(self, chunk: str) -> list[str]:
         if chunk.isascii():
-            return 1 if chunk.isalpha() else len(self.words.findall(chunk.lower()))
-        return len(self.words.findall(unicodedata.normalize("NFC", chunk).lower()))
+            return [chunk.lower()] if chunk.isalpha() else self.pattern.findall(chunk.lower())
+        return self.pattern.findall(unicodedata.normalize("NFC", chunk).lower())
 
     def learn(self, chunks: list[str]) -> None:
-        plain = [c for c in chunks if "<|" not in c]
-        self.known.update((c, self.one(c)) for c in chunks if "<|" in c)
-        for i in range(0, len(plain), 500):
-            part = plain[i : i + 500]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            last = np.cumsum([self.count(c) for c in part])
-            if len(ends) != last[-1]:
-                self.known.update((c, self.one(c)) for c in part)
+        if len(self.words) > REMEMBERED:
+            self.words = {}
+        words, other = self.words, self.other.search
+        for c in chunks:
+            if other(c):
+                self.known[c] = self.one(c)
                 continue
-            at = np.append(0, ends)[np.append(0, last)].tolist()
-            data = ids.tobytes()
-            self.known.update((c, data[4 * a : 4 * b]) for c, a, b in zip(part, at, at[1:], strict=False))
+            ids = []
+            for w in self.split(c):
+                got = words.get(w)
+                if got is None:
+                    got = words[w] = self.word(w)
+                ids.append(got)
+            self.known[c] = ids[0] if len(ids) == 1 else b"".join(ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
@@ -92,6 +104,12 @@ class WordEncoder:
         return [self.one(t) if _ODD_SPACE.search(t) else b"".join(map(at, s)) for t, s in zip(texts, split, strict=True)]
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder for all tasks of a worker: what it remembers stays useful."""
+    return WordEncoder(path)
+
+
 class Packer:
     """Places examples, one at a time; ``rows`` holds the finished pieces."""
 
@@ -196,7 +214,7 @@ def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, max
     end = np.array([END_ID], "<u4").tobytes()
 
     def packed(batches):
-        encoder = WordEncoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         packer = Packer(TaskContext.get().partitionId() << 33, max_tokens, max_segments, max_loss, waiting)
         kind = None
 
