@@ -7,7 +7,9 @@ cuts lineage, so a lost executor costs a re-read and no recomputation.
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -40,6 +42,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of tables that are written and no longer referred to."""
+    for _ in range(2):  # the first round lets go of the driver's handles, the second of what they held
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete a table that ``materialize`` wrote, when nothing reads it any more."""
     spark = df.sparkSession
@@ -129,6 +139,26 @@ def small_batches(texts: Iterable, size: int = 2_000_000) -> Iterator[tuple[int,
         yield start, i + 1
 
 
+def key_groups(batches, keys: int) -> Iterator[pa.RecordBatch]:
+    """Rows with equal values in the first ``keys`` columns, which come one after the other."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)], axis=1)
+        cuts = [0, *(np.flatnonzero((cols[1:] != cols[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            key = tuple(cols[a])
+            if last is not None and key != last:
+                yield pa.concat_batches(held)
+                held = []
+            last = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.concat_batches(held)
+
+
 def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """(node, component) of every node with a link: the smallest node reachable over ``a``-``b``.
 

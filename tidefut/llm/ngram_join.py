@@ -12,10 +12,9 @@ it also signs under further, independent divisions. Sets that share no signature
 Signatures are packed by hash range and dealt out by Spark; sets with equal signatures are
 first compared with the least of them only (a star, not all pairs), and the components of
 the links found so far are then checked for completeness: of sets that share a signature,
-those still in different components are compared with one another, in blocks inside a task,
-by size and by a parity sketch whose distance never exceeds the true one; pairs that these
-don't rule out go on. All candidates are
-verified on the full sets. Copies of one set are one node throughout.
+those still in different components are compared with one another, in square blocks of
+bounded size. Sizes, and a parity sketch whose distance never exceeds the true one, rule
+out most pairs; the others are verified on the full sets. Copies of one set are one node throughout.
 
 Words are runs of bytes other than white space after lower-casing A-Z; a text of fewer than
 five words is one shingle; null texts and texts without words have an empty set and link
@@ -35,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, connected_components, drop_table, materialize, mix64, small_batches
+from .common import WordTable, connected_components, drop_table, key_groups, materialize, mix64, release, small_batches
 from .exact_dedup import BROADCAST_IDS
 
 WIDTH = 5
@@ -46,7 +45,8 @@ LEVELS = 4
 BATCH_CHARS = 3_000_000
 #: Bits of a set's sketch; a multiple of 64.
 CELLS = 256
-MEMBER = np.dtype([("group", np.int64), ("n", np.int64), ("sketch", np.uint8, CELLS // 8)])
+#: Members of one run that are compared in one block with one another.
+SQUARE = 1024
 
 
 @lru_cache(maxsize=None)
@@ -134,7 +134,12 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found), np.concatenate(owners)
 
 
-def packed(sets: list[np.ndarray], nodes: np.ndarray, groups: np.ndarray, buckets: int) -> Iterator[dict]:
+def sketch(h: np.ndarray) -> bytes:
+    """Parities of a set's counts in ``CELLS`` cells: two sets differ in at least as many shingles as sketches in bits."""
+    return np.packbits(np.bincount((mix64(h, 31) >> np.uint64(40)).astype(np.int64) % CELLS, minlength=CELLS) & 1).tobytes()
+
+
+def packed(sets: list[np.ndarray], nodes: np.ndarray, buckets: int) -> Iterator[dict]:
     """Signatures by hash range: sorted, as differences, in byte planes, which compress well."""
     sig, of = signatures(sets)
     order = np.argsort(sig)
@@ -147,155 +152,127 @@ def packed(sets: list[np.ndarray], nodes: np.ndarray, groups: np.ndarray, bucket
             names, idx = np.unique(of[x:y], return_inverse=True)
             gaps = np.diff(sig[x:y], prepend=np.uint64(0))
             planes = gaps.view(np.uint8).reshape(-1, 8).T.tobytes()
-            yield {"bucket": b, "sigs": planes, "idx": idx.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), "nodes": nodes[names].tobytes(), "groups": groups[names].tobytes()}
+            yield {"bucket": b, "sigs": planes, "idx": idx.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), "nodes": nodes[names].tobytes()}
 
 
-def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
     planes = np.frombuffer(row["sigs"], np.uint8).reshape(8, -1)
     sig = np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
     idx = np.ascontiguousarray(np.frombuffer(row["idx"], np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
-    return sig, np.frombuffer(row["nodes"], np.int64)[idx], np.frombuffer(row["groups"], np.int64)[idx]
-
-
-def runs(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Members of signatures that several sets share: run number, node, group; and the run starts."""
-    sig, node, group = (np.concatenate(p) for p in zip(*parts, strict=True))
-    order = np.argsort(sig)
-    sig, node, group = sig[order], node[order], group[order]
-    new = np.append(True, sig[1:] != sig[:-1])
-    run = np.cumsum(new) - 1
-    shared = (np.bincount(run) > 1)[run]
-    run, node, group = run[shared], node[shared], group[shared]
-    if not len(run):
-        return run, node, group, run
-    run = np.unique(run, return_inverse=True)[1]
-    return run, node, group, np.flatnonzero(np.append(True, run[1:] != run[:-1]))
-
-
-def unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(a):
-        return a, b
-    pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
-    return pairs[:, 0], pairs[:, 1]
-
-
-def star(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    """Every member of a run with the least one."""
-    run, node, _, starts = runs([unpacked(r) for r in rows])
-    if not len(run):
-        return node, node
-    least = np.minimum.reduceat(node, starts)[run]
-    ok = node != least
-    return unique_pairs(node[ok], least[ok])
-
-
-def sketch(h: np.ndarray) -> np.ndarray:
-    """Parities of a set's counts in ``CELLS`` cells: two sets differ in at least as many shingles as sketches in bits."""
-    return np.packbits(np.bincount((mix64(h, 31) >> np.uint64(40)).astype(np.int64) % CELLS, minlength=CELLS) & 1)
-
-
-def across(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    """Members of a run that are in different groups, and whose sizes and sketches don't rule a link out."""
-    parts, base = [], 0
-    for r in rows:  # members by their row in one table of (group, size, sketch)
-        own = np.frombuffer(r["groups"], MEMBER)
-        sig, node, at = unpacked({**r, "groups": np.arange(base, base + len(own), dtype=np.int64).tobytes()})
-        parts.append((sig, node, at, own))
-        base += len(own)
-    info = np.concatenate([x[3] for x in parts])
-    run, node, at, starts = runs([x[:3] for x in parts])
-    if not len(run):
-        return node, node
-    group = info["group"][at]
-    mixed = np.minimum.reduceat(group, starts) != np.maximum.reduceat(group, starts)
-    ends = np.append(starts[1:], len(run))
-    seen, a, b = set(), [], []
-    for s, e in zip(starts[mixed], ends[mixed], strict=True):
-        members, first = np.unique(node[s:e], return_index=True)
-        key = hash(members.tobytes())
-        if key in seen:
-            continue
-        seen.add(key)
-        own = info[at[s:e][first]]
-        order = np.argsort(own["n"], kind="stable")
-        members, own = members[order], own[order]
-        bits = np.ascontiguousarray(own["sketch"]).view(np.uint64).reshape(len(own), -1)
-        n = own["n"]
-        reach = np.searchsorted(n, n * DEN // NUM, "right")  # larger ones that are not too large
-        for x in range(0, len(n), 128):
-            y, z = min(x + 128, len(n)), reach[min(x + 128, len(n)) - 1]
-            differ = np.bitwise_count(bits[x:y, None, :] ^ bits[None, x:z, :]).sum(axis=2)
-            ok = differ <= (n[x:y, None] + n[None, x:z]) * (DEN - NUM) // (DEN + NUM)
-            ok &= own["group"][x:y, None] != own["group"][None, x:z]
-            i, j = np.nonzero(ok)
-            i, j = i[j > i], j[j > i]
-            a.append(members[x + i])
-            b.append(members[x + j])
-    return unique_pairs(np.concatenate(a), np.concatenate(b)) if a else (node[:0], node[:0])
-
-
-def _by_bucket(batches) -> Iterator[list[dict]]:
-    held: list[dict] = []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if held and held[0]["bucket"] != row["bucket"]:
-                yield held
-                held = []
-            held.append(row)
-    if held:
-        yield held
-
-
-PACKED = "bucket int, sigs binary, idx binary, nodes binary, groups binary"
-
-
-def _records(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(rows), 64):
-        yield pa.RecordBatch.from_pylist(rows[i : i + 64], pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in ("sigs", "idx", "nodes", "groups"))]))
+    return sig, np.frombuffer(row["nodes"], np.int64)[idx]
+
+
+def shared_runs(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Members of signatures that several sets share, as (key of the run, node); runs with the same members once."""
+    sig, node = (np.concatenate(p) for p in zip(*map(unpacked, rows), strict=True))
+    order = np.lexsort((node, sig))
+    sig, node = sig[order], node[order]
+    once = np.append(True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]))
+    sig, node = sig[once], node[once]
+    starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+    sizes = np.diff(np.append(starts, len(sig)))
+    key = np.add.reduceat(mix64(node.view(np.uint64), 41), starts)
+    keep = np.zeros(len(starts), bool)
+    keep[np.unique(key, return_index=True)[1]] = True
+    keep &= sizes > 1
+    each = np.repeat(np.arange(len(starts)), sizes)
+    ok = keep[each]
+    return mix64(key, 43)[each[ok]].view(np.int64), node[ok]
+
+
+def block_pairs(node: np.ndarray, n: np.ndarray, group: np.ndarray, bits: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs in different groups that sizes and sketches don't rule out; with two sides, pairs across only."""
+    order = np.argsort(n, kind="stable")
+    node, n, group, bits, side = node[order], n[order], group[order], bits[order], side[order]
+    both = side.min() != side.max()
+    reach = np.searchsorted(n, n * DEN // NUM, "right")  # larger ones that are not too large
+    a, b = [node[:0]], [node[:0]]
+    for x in range(0, len(n), 128):
+        y = min(x + 128, len(n))
+        z = reach[y - 1]
+        differ = np.bitwise_count(bits[x:y, None, :] ^ bits[None, x:z, :]).sum(axis=2)
+        ok = differ <= (n[x:y, None] + n[None, x:z]) * (DEN - NUM) // (DEN + NUM)
+        ok &= group[x:y, None] != group[None, x:z]
+        if both:
+            ok &= side[x:y, None] != side[None, x:z]
+        i, j = np.nonzero(ok)
+        i, j = i[j > i], j[j > i]
+        a.append(node[x + i])
+        b.append(node[x + j])
+    a, b = np.concatenate(a), np.concatenate(b)
+    return np.maximum(a, b), np.minimum(a, b)
+
+
+PACKED = "bucket int, sigs binary, idx binary, nodes binary"
 
 
 def describe(docs: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, node, node2) of every row, and candidate pairs (a, b) of nodes; one pass over the texts."""
+    """(doc_id, n, node, node2, sketch) of every row, and (run, node) of shared signatures; one pass over the texts."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    own = [("n", pa.int64()), ("node", pa.int64()), ("node2", pa.int64()), ("sketch", pa.binary())]
+    blobs = [("bucket", pa.int32()), ("sigs", pa.binary()), ("idx", pa.binary()), ("nodes", pa.binary())]
 
     def signed(batches):
         table = WordTable(word_hashes)
         for batch in batches:
+            doc = batch.schema.field(0).type
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in small_batches(texts, BATCH_CHARS):
                 sets = shingle_sets(texts[a:b], table)
                 names = np.array([set_hash(h) for h in sets], np.uint64).reshape(-1, 2).view(np.int64)
-                n = np.fromiter(map(len, sets), np.int64, len(sets))
                 once = np.unique(names[:, 0], return_index=True)[1]
-                nodes = np.ascontiguousarray(names[once, 0])
-                for part in _records(list(packed([sets[i] for i in once], nodes, nodes, buckets))):
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.nulls(part.num_rows, batch.column(0).type), *(pa.nulls(part.num_rows, pa.int64()) for _ in range(3))], names=[*part.schema.names, "doc_id", "n", "node", "node2"])
+                rows = list(packed([sets[i] for i in once], np.ascontiguousarray(names[once, 0]), buckets))
+                part = pa.RecordBatch.from_pylist(rows, pa.schema(blobs))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.nulls(len(rows), doc), *(pa.nulls(len(rows), t) for _, t in own)], names=[*part.schema.names, "doc_id", *(c for c, _ in own)])
                 m = b - a
+                values = [np.fromiter(map(len, sets), np.int64, m), names[:, 0], names[:, 1], [sketch(h) for h in sets]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((np.arange(m) % buckets).astype(np.int32)), *(pa.nulls(m, pa.binary()) for _ in range(4)), batch.column(0).slice(a, m), pa.array(n), pa.array(names[:, 0]), pa.array(names[:, 1])],
-                    names=["bucket", "sigs", "idx", "nodes", "groups", "doc_id", "n", "node", "node2"],
+                    [pa.array((np.arange(m) % buckets).astype(np.int32)), *(pa.nulls(m, t) for _, t in blobs[1:]), batch.column(0).slice(a, m), *(pa.array(v, t) for v, (_, t) in zip(values, own, strict=True))],
+                    names=[*(c for c, _ in blobs), "doc_id", *(c for c, _ in own)],
                 )
 
-    out = ["doc_id", "n", "node", "node2", "a", "b"]
-
-    def paired(batches):
-        none = pa.int64()
+    def shared(batches):
+        doc = None
         for rows in _by_bucket(batches):
-            plain = [r for r in rows if r["sigs"] is None]
+            doc = rows[0][1]
+            plain = [r for r, _ in rows if r["sigs"] is None]
             if plain:
-                yield pa.RecordBatch.from_arrays([pa.array([r["doc_id"] for r in plain], kinds["doc"]), *(pa.array([r[c] for r in plain], none) for c in ("n", "node", "node2")), *(pa.nulls(len(plain), none) for _ in range(2))], names=out)
-            full = [r for r in rows if r["sigs"] is not None]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(plain), pa.int64()), *(pa.array([r[c] for r in plain], t) for c, t in [("node", pa.int64()), ("doc_id", doc), ("n", pa.int64()), ("node2", pa.int64()), ("sketch", pa.binary())])], names=out)
+            full = [r for r, _ in rows if r["sigs"] is not None]
             if full:
-                a, b = star(full)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(a), kinds["doc"]), *(pa.nulls(len(a), none) for _ in range(3)), pa.array(a), pa.array(b)], names=out)
+                run, node = shared_runs(full)
+                yield pa.RecordBatch.from_arrays([pa.array(run), pa.array(node), pa.nulls(len(run), doc), pa.nulls(len(run), pa.int64()), pa.nulls(len(run), pa.int64()), pa.nulls(len(run), pa.binary())], names=out)
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    kinds = {"doc": to_arrow_type(docs.schema["doc_id"].dataType)}
-    rows = docs.select("doc_id", "text").mapInArrow(signed, f"{PACKED}, doc_id {kind}, n long, node long, node2 long")
+    out = ["run", "node", "doc_id", "n", "node2", "sketch"]
+    rows = docs.select("doc_id", "text").mapInArrow(signed, f"{PACKED}, doc_id {kind}, n long, node long, node2 long, sketch binary")
     rows = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    both = materialize(rows.mapInArrow(paired, f"doc_id {kind}, n long, node long, node2 long, a long, b long"), "jaccard-pass")
-    return both.where("a is null").select("doc_id", "n", "node", "node2"), both.where("a is not null").select("a", "b").distinct()
+    both = materialize(rows.mapInArrow(shared, f"run long, node long, doc_id {kind}, n long, node2 long, sketch binary"), "jaccard-pass")
+    return both.where("run is null").drop("run"), both.where("run is not null").select("run", "node")
+
+
+def _by_bucket(batches) -> Iterator[list[tuple[dict, pa.DataType]]]:
+    held: list = []
+    for batch in batches:
+        doc = batch.schema.field("doc_id").type
+        for row in batch.to_pylist():
+            if held and held[0][0]["bucket"] != row["bucket"]:
+                yield held
+                held = []
+            held.append((row, doc))
+    if held:
+        yield held
+
+
+def not_ruled_out(pairs: DataFrame, info: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose sizes and sketches allow a link."""
+    for c in "ab":
+        pairs = pairs.join(info.select(F.col("node").alias(c), F.col("n").alias("n" + c), F.col("sketch").alias("s" + c)), c)
+    far = F.lit(0)
+    for i in range(CELLS // 32):
+        word = lambda c, i=i: F.conv(F.hex(F.substring(c, 4 * i + 1, 4)), 16, 10).cast("long")
+        far = far + F.bit_count(word("sa").bitwiseXOR(word("sb")))
+    near = F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM
+    return pairs.where(near).where(far * (DEN + NUM) <= (F.col("na") + F.col("nb")) * (DEN - NUM)).select("a", "b")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -319,59 +296,61 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(measured, "node long, n long, shingles array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sets are similar enough."""
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs whose full sets are similar enough."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = materialize(sets_of(docs, classes.join(ends, "node", "left_semi").select("doc_id", "node")).dropDuplicates(["node"]), "jaccard-sets")
     x = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     y = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    near = F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM
     common = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(x, "a").join(y, "b").where(near).withColumn("i", common).where(F.col("i") * DEN >= (F.col("na") + F.col("nb") - F.col("i")) * NUM).select("a", "b")
+    joined = pairs.join(x, "a").join(y, "b").withColumn("i", common)
+    links = materialize(joined.where(F.col("i") * DEN >= (F.col("na") + F.col("nb") - F.col("i")) * NUM).select("a", "b"), "jaccard-links")
+    drop_table(sets)
+    return links
 
 
-def unconnected(sets: DataFrame, components: DataFrame, buckets: int) -> DataFrame:
-    """Pairs of sets that share a signature but no component yet."""
-    rows = sets.join(components, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "shingles")
+def unconnected(runs: DataFrame, info: DataFrame, components: DataFrame) -> DataFrame:
+    """Pairs of sets of one run that are in different components so far and not ruled out."""
+    group = info.select("node").join(components, "node", "left").select("node", F.coalesce("component", "node").alias("grp"))
+    named = materialize(runs.join(group, "node"), "jaccard-members")
+    mixed = named.groupBy("run").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.ceil(F.count("*") / SQUARE).alias("cells")).where("lo <> hi")
+    members = named.join(mixed.select("run", "cells"), "run").join(info, "node").withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")))
+    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)))
+    key = ["run", "i", "j"]
+    dealt = dealt.select("run", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), "node", "n", "grp", "sketch", (F.col("cell") > F.col("other")).cast("int").alias("side"))
 
-    def signed(batches):
-        for batch in batches:
-            step = 2000
-            for a in range(0, batch.num_rows, step):
-                part = batch.slice(a, step)
-                sets = [np.array(x, np.int64).view(np.uint64) for x in part.column(2).to_pylist()]
-                info = np.zeros(len(sets), MEMBER)
-                info["group"], info["n"], info["sketch"] = part.column(1).to_numpy(), [len(h) for h in sets], [sketch(h) for h in sets]
-                yield from _records(list(packed(sets, part.column(0).to_numpy(), info, buckets)))
-
-    def paired(batches):
-        for rows in _by_bucket(batches):
-            a, b = across(rows)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    def compared(batches):
+        for g in key_groups(batches, 3):
+            if g.num_rows > 1:
+                bits = np.frombuffer(b"".join(g.column(6).to_pylist()), np.uint64).reshape(g.num_rows, -1)
+                a, b = block_pairs(*(g.column(k).to_numpy() for k in (3, 4, 5)), bits, g.column(7).to_numpy())
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    packed_rows = rows.mapInArrow(signed, PACKED).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return packed_rows.mapInArrow(paired, "a long, b long").distinct()
+    return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(compared, "a long, b long").distinct()
 
 
 def jaccard_join(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
     spark = docs.sparkSession
     buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows, pairs = describe(docs, buckets)
-    classes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
-    sizes = lambda c: classes.select(F.col("node").alias(c), F.col("n").alias("n" + c))
-    near = F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM
-    pairs = materialize(pairs.join(sizes("a"), "a").join(sizes("b"), "b").where(near).select("a", "b"), "jaccard-pairs")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = materialize(sets_of(docs, classes.join(ends, "node", "left_semi").select("doc_id", "node")), "jaccard-sets")
-    sets_once = sets.dropDuplicates(["node"]) if sets.groupBy("node").count().where("count > 1").limit(1).count() else sets
-    links = materialize(verified(pairs, sets_once), "jaccard-links")
+    rows, runs = describe(docs, buckets)
+    release(spark)
+    classes = materialize(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "jaccard-classes")
+    info = classes.select("node", "n", "sketch")
+    runs = materialize(runs.distinct(), "jaccard-runs")
+    least = runs.groupBy("run").agg(F.min("node").alias("b"))
+    star = runs.withColumnRenamed("node", "a").join(least, "run").where("a <> b").select("a", "b").distinct()
+    star = materialize(not_ruled_out(star, info), "jaccard-pairs")
+    release(spark)
+    links = verified(star, docs, classes)
     components = connected_components(links, "jaccard-cc")
-    more = unconnected(sets_once, components, max(8, buckets // 4)).join(pairs, ["a", "b"], "left_anti")
-    more = materialize(more, "jaccard-pairs")
-    extra = materialize(verified(more, sets_once), "jaccard-links")
-    if extra.limit(1).count():
+    release(spark)
+    more = materialize(unconnected(runs, info, components).join(star, ["a", "b"], "left_anti"), "jaccard-pairs")
+    if more.limit(1).count():
+        extra = verified(more, docs, classes)
         components = connected_components(links.unionByName(extra), "jaccard-cc")
-    drop_table(sets)
+    release(spark)
     named = classes.join(components, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = components.join(named, "component").select("node", "component_id")
     whole = classes.join(named, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
