@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from base64 import b64decode
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from .common import small_batches
 
 #: Words and chunks that a task remembers between batches; more are encoded anew.
-REMEMBERED = 250_000
+REMEMBERED = 600_000
 
 
 class Ranks:
@@ -187,12 +188,18 @@ class Encoder:
         return b"".join(map(self.table.tokens.__getitem__, ids))
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str, pattern: str) -> Encoder:
+    """One encoder for all tasks of a worker: what it remembers stays useful."""
+    return Encoder(path, pattern)
+
+
 def encode_decode(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     """doc_id, ids (array) is too large to keep: n_tokens, and digests of the ids and of the decoded bytes."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def coded(batches):
-        encoder = Encoder(rank_path, pattern)
+        encoder = encoder_of(rank_path, pattern)
         names = [str(i) for i in range(encoder.table.size)]
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
@@ -213,7 +220,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def coded(batches):
-        encoder = Encoder(rank_path, pattern)
+        encoder = encoder_of(rank_path, pattern)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in small_batches(texts):
