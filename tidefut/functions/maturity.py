@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scalars as S
@@ -21,22 +21,26 @@ OFFSETS = {
 }
 
 
-def by_rule(rule: Column, first: Column) -> Column:
-    """The maturity in the month that begins at ``first``."""
-    base = F.when(rule == "last_bd", F.last_day(first)).otherwise(first)
-    table = F.create_map(*(x for r, days in OFFSETS.items() for x in (F.lit(r), F.array(*map(F.lit, days)))))
-    return F.date_add(base, table[rule][F.weekday(base)])
-
-
 def estimate_maturity(df: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
-    """Adds ``maturity``; null where ticker or root tell none. Column expressions only, no shuffle."""
+    """Adds ``maturity``; null where ticker or root tell none. Column expressions only, no shuffle.
+
+    The rules of all roots are one literal table of day offsets, so the expression stays small
+    enough for code generation wherever the optimizer copies it to.
+    """
     if "ticker" not in df.columns:
         return df
-    parts = F.struct(*(S.ticker_part(F.upper("ticker"), i).alias(n) for i, n in ((1, "root"), (2, "letter"), (3, "yy"))))
-    root = F.coalesce(S.normalize_root(F.col("root")), F.col("_p.root")) if "root" in df.columns else F.col("_p.root")
-    year = S.contract_year(F.col("_p.yy"), F.col("date") if "date" in df.columns else None)
-    out = df.withColumn("_p", parts).withColumn("_rule", S.lookup(RULES | (rules or {}), root)).withColumn("_first", F.make_date(year, S.month_number(F.col("_p.letter")), F.lit(1)))
-    return out.withColumn("maturity", by_rule(F.col("_rule"), F.col("_first"))).drop("_p", "_rule", "_first")
+    known = RULES | (rules or {})
+    t = F.upper("ticker")
+    root = F.expr("substring(upper(ticker), 1, length(ticker) - 3)")
+    if "root" in df.columns:
+        root = F.coalesce(S.normalize_root(F.col("root")), root)
+    number = F.array_position(F.lit(list(known)), root)
+    year = S.contract_year(F.right(t, F.lit(2)).try_cast("int"), F.col("date") if "date" in df.columns else None)
+    month = F.position(F.expr("left(right(upper(ticker), 3), 1)"), F.lit(S.MONTH_LETTERS))
+    first = F.when(t.rlike(S.TICKER_FORM) & (number > 0), F.make_date(year, month, F.lit(1)))
+    base = F.when(F.get(F.lit([int(r == "last_bd") for r in known.values()]), (number - 1).cast("int")) == 1, F.last_day(first)).otherwise(first)
+    days = F.get(F.lit([d for r in known.values() for d in OFFSETS[r]]), ((number - 1) * 7 + F.weekday(base)).cast("int"))
+    return df.withColumn("maturity", F.date_add(base, days))
 
 
 def contract_calendar(df: DataFrame) -> DataFrame:

@@ -62,12 +62,12 @@ def ticker_of(code: Column, root: Column) -> Column:
     return F.when(code.startswith(root), code).otherwise(F.concat(root, code))
 
 
-_TICKER = f"^([A-Z0-9]{{3,4}})([{MONTH_LETTERS}])([0-9]{{2}})$"
+TICKER_FORM = f"^([A-Z0-9]{{3,4}})([{MONTH_LETTERS}])([0-9]{{2}})$"
 
 
 def ticker_part(ticker: Column, part: int) -> Column:
     """1: root, 2: month letter, 3: two-digit year; null where the ticker has another form."""
-    t = F.regexp_extract(ticker, _TICKER, part)
+    t = F.regexp_extract(ticker, TICKER_FORM, part)
     return F.when(t != "", t)
 
 

@@ -39,7 +39,8 @@ def select_universe(quotes: DataFrame, series: dict[str, list[str]], months: str
     out = quotes.join(F.broadcast(pairs), "root").where("date is not null and maturity is not null").withColumn("ticker", F.upper("ticker"))
     if months:
         out = out.where(S.month_code(F.col("ticker"), [r for _, r in roots]).isin(list(months)))
-    return out.withColumn("days_to_maturity", F.datediff("maturity", "date"))
+    # one exchange serves the choice of fronts (series, date) and the daily prices (series, date, ticker)
+    return out.withColumn("days_to_maturity", F.datediff("maturity", "date")).repartition("series", "date")
 
 
 def pick_front_contract(universe: DataFrame, days_before_roll: int) -> DataFrame:
