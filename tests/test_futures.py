@@ -52,7 +52,8 @@ def test_unknown_treatment():
 @pytest.mark.parametrize("name", ["localized_numbers", "deduplicated_rows", "missing_sessions", "merged_days", "ohlcv_carried_forward", "clean_bulletins", "active_contracts"])
 def test_query_matches_sql(spark, name):
     db = duckdb.connect()
-    db.sql(f"create view lineitem as select * from '{SF}/lineitem.parquet'")
+    for t in ("lineitem", "part"):
+        db.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got = registry.queries()[name](spark, SF)
     cols = sorted(got.columns)
     want = db.sql(registry.oracle_sql()[name]).df()

@@ -26,10 +26,10 @@ def lookup(values: dict, key: Column) -> Column:
 def pt_number(col: Column) -> Column:
     """Text such as ``1.234,5-`` as a double; blanks, ``&nbsp;`` and other text are null."""
     t = F.btrim(col, F.lit(_SPACE))
-    sign = F.when(t.endswith("-"), -1.0).otherwise(1.0)
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"[+-]$", ""), r"\.", ""), ",", ".")
     plain = F.btrim(plain, F.lit(_SPACE))
-    return F.when(plain.rlike(_NUMBER), sign * plain.try_cast("double"))
+    value = F.when(plain.rlike(_NUMBER), plain.try_cast("double"))
+    return F.when(t.endswith("-"), -F.abs(value)).otherwise(value)
 
 
 def fold_accents(col: Column) -> Column:

@@ -13,6 +13,7 @@ from ..operators import continuous as C
 from ..operators import merge as M
 from ..operators import treatments as T
 from . import retrieve as R
+from .report_queries import QUERIES
 from .quotes import DAILY, WEEKLY, quotes
 
 ROOTS = ("DOL", "WIN", "CCM", "BGI", "ICF", "DI1")
@@ -255,8 +256,8 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable]:
-    return {name: f for name, (f, _) in _FOUND.items()}
+    return {name: f for name, (f, _) in (_FOUND | QUERIES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _FOUND.items()}
+    return {name: sql for name, (_, sql) in (_FOUND | QUERIES).items()}

@@ -29,6 +29,6 @@ def get_bulletins(df: DataFrame, roots: list[str] | None = None, start: str | No
     """The root filter comes before old tickers are mapped."""
     if roots:
         df = df.where(F.col("root").isin([r.strip().upper() for r in roots]))
-    out = normalize_old_tickers(filter_date_range(df, start, end)).transform(resolve_treatment(treatment))
-    out = estimate_maturity(out)
+    out = normalize_old_tickers(filter_date_range(df, start, end)).transform(resolve_treatment(treatment, aggregate=True))
+    out = estimate_maturity(out) if "ticker" in out.columns else out
     return out.orderBy("date", "root", "ticker") if ordered else out

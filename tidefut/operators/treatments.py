@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 from pyspark.sql.window import Window
 
+from ..functions import names as N
 from ..functions import scalars as S
 
 OHLC = ["Open", "High", "Low", "Close"]
@@ -18,15 +19,42 @@ SERIES = {"open": "Open", "high": "High", "low": "Low", "close": "Close", "volum
 
 def number(df: DataFrame, name: str):
     """A number column as a double; text by the localized rules."""
-    return F.col(name).cast("double") if isinstance(df.schema[name].dataType, NumericType) else S.pt_number(F.col(name))
+    col = F.col("`" + name.replace("`", "``") + "`")
+    return col.cast("double") if isinstance(df.schema[name].dataType, NumericType) else S.pt_number(col)
 
 
 def treat_raw(df: DataFrame) -> DataFrame:
     return df
 
 
+def _renamed(df: DataFrame, name_of: Callable[[str], str], numeric: Callable[[str, str], bool]) -> DataFrame:
+    """Columns under new names (the first of each), those that ``numeric(old, new)`` picks as doubles."""
+    first: dict[str, str] = {}
+    for c in df.columns:
+        first.setdefault(name_of(c), c)
+    quoted = lambda c: "`" + c.replace("`", "``") + "`"
+    return df.select([(number(df, c) if numeric(c, n) else F.col(quoted(c))).alias(n) for n, c in first.items()])
+
+
+def treat_regular(df: DataFrame) -> DataFrame:
+    """Localized numbers as doubles; names stay."""
+    return _renamed(df, lambda c: c, lambda c, _: N.sanitize(c) in N.NUMERIC)
+
+
+def treat_standard(df: DataFrame) -> DataFrame:
+    """Localized numbers as doubles, canonical names, the first of equal names."""
+    counts = ("contracts_traded", "open_interest", "close_interest", "volume")
+    return _renamed(df, N.canonical, lambda c, n: N.sanitize(c) in N.NUMERIC or n in counts)
+
+
+def treat_agg_standard(df: DataFrame) -> DataFrame:
+    """The aggregate's flavour: sanitized names, no canonical ones."""
+    return _renamed(df, lambda c: N.sanitize(c) or c, lambda _, n: n in N.NUMERIC)
+
+
 def treat_ohlcv(df: DataFrame) -> DataFrame:
     """date, ticker and the series columns that are there, as doubles; rows without a date go."""
+    df = treat_standard(df)
     have = [c for c in SERIES if c in df.columns]
     keys = ["date", *(["ticker"] if "ticker" in df.columns else [])]
     return df.where("date is not null").select(*keys, *(number(df, c).alias(SERIES[c]) for c in have))
@@ -60,38 +88,49 @@ def treat_ohlcv_locf(df: DataFrame, zero_to_na_first: bool = True, cols: list[st
     return out.dropna("all", subset=cols) if leading == "drop" and cols else out
 
 
-# fixed values: names in the clean table
-CLEAN = {"contracts_traded": "volume_qty"}
+# fixed values: names in the clean table, and columns that it leaves out
+CLEAN = {
+    "contr_negoc": "volume_qty", "contract_negoc": "volume_qty", "contracts_traded": "volume_qty", "vol": "volume",
+    "preco_abert": "open", "preco_min": "low", "preco_max": "high", "ult_preco": "close",
+}
 CLEAN_DROPPED = [
-    "open_interest", "close_interest", "trade_count", "average_price", "settlement_price", "previous_settlement",
-    "corrected_settlement", "change_percent", "change_points", "last_bid", "last_ask",
+    "contract_code", "vencto", "contr_abert_1", "open_interest", "contr_fech_2", "close_interest", "num_negoc", "trade_count",
+    "preco_med", "average_price", "ajuste", "settlement_price", "var_ptos", "change_points", "ult_of_compra", "last_bid", "ult_of_venda", "last_ask",
 ]
 
 
 def treat_clean_data(df: DataFrame) -> DataFrame:
-    numeric = [c for c in ("open", "high", "low", "close", "volume", "contracts_traded") if c in df.columns]
-    return df.withColumns({c: number(df, c) for c in numeric}).drop(*CLEAN_DROPPED).withColumnsRenamed(CLEAN)
+    """Sanitized names and numbers without the redundant columns, volumes and prices under short names."""
+    out = treat_agg_standard(df).drop(*CLEAN_DROPPED)
+    return _renamed(out, lambda c: CLEAN.get(c, c), lambda *_: False)
 
 
-def treat_clean_data_drop0(df: DataFrame, cols: tuple[str, ...] = ("open", "high", "low", "close")) -> DataFrame:
-    """Keeps rows whose prices are all known and not zero."""
+def treat_clean_data_drop0(df: DataFrame, cols: tuple[str, ...] = ("volume_qty", "volume", "open", "low", "high", "close")) -> DataFrame:
+    """Keeps rows whose volumes and prices are all known and not zero."""
     out = treat_clean_data(df)
     for c in cols:
         if c in out.columns:
-            out = out.where(F.coalesce(F.col(c) != 0, F.lit(False)))
+            out = out.where(F.coalesce(F.col(c).try_cast("double") != 0, F.lit(False)))
     return out
 
 
 TREATMENTS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "raw": treat_raw, "ohlcv": treat_ohlcv, "standard_xts": treat_ohlcv, "ohlcv_xts": treat_ohlcv, "ohlcv_drop0": treat_ohlcv_drop0,
-    "ohlcv_locf": treat_ohlcv_locf, "clean_data": treat_clean_data, "clean_data_drop0": treat_clean_data_drop0,
+    "raw": treat_raw, "regular": treat_regular, "standard": treat_standard, "standard_xts": treat_ohlcv,
+    "ohlcv": treat_ohlcv, "ohlcv_xts": treat_ohlcv, "ohlcv_drop0": treat_ohlcv_drop0, "ohlcv_locf": treat_ohlcv_locf,
+    "ohlcv_drop0_xts": treat_ohlcv_drop0, "ohlcv_locf_xts": treat_ohlcv_locf,
+}
+#: Looked up first for the aggregate table.
+AGGREGATE_TREATMENTS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "standard": treat_agg_standard, "clean_data": treat_clean_data, "clean_data_drop0": treat_clean_data_drop0,
 }
 
 
-def resolve_treatment(name: str | Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+def resolve_treatment(name: str | Callable[[DataFrame], DataFrame], aggregate: bool = False) -> Callable[[DataFrame], DataFrame]:
+    """A treatment by its name in any case (``_tibble`` names are the same data), or the callable given."""
     if callable(name):
         return name
-    found = TREATMENTS.get(name.strip().lower())
+    known = TREATMENTS | AGGREGATE_TREATMENTS if aggregate else TREATMENTS
+    found = known.get(name.strip().lower().removesuffix("_tibble"))
     if found is None:
-        raise ValueError(f"unknown treatment {name!r}; known: {', '.join(sorted(TREATMENTS))}")
+        raise ValueError(f"unknown treatment {name!r}; known: {', '.join(sorted(known))}")
     return found
