@@ -43,8 +43,8 @@ NUM, DEN = 80, 100
 BAND = 1.6
 LEVELS = 4
 BATCH_CHARS = 3_000_000
-#: Bits of a set's sketch; a multiple of 64.
-CELLS = 256
+#: Bits of the smallest and largest sketch of a set, powers of two; between them, two to four bits a shingle.
+CELLS, MOST_CELLS = 256, 1 << 16
 #: Members of one run that are compared in one block with one another.
 SQUARE = 1024
 
@@ -135,8 +135,36 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(h: np.ndarray) -> bytes:
-    """Parities of a set's counts in ``CELLS`` cells: two sets differ in at least as many shingles as sketches in bits."""
-    return np.packbits(np.bincount((mix64(h, 31) >> np.uint64(40)).astype(np.int64) % CELLS, minlength=CELLS) & 1).tobytes()
+    """Parities of a set's counts in cells: two sets differ in at least as many shingles as sketches in bits.
+
+    The number of cells grows with the set, as a small sketch of a large set says nothing.
+    """
+    cells = min(MOST_CELLS, max(CELLS, 1 << (2 * len(h) - 1).bit_length())) if len(h) else CELLS
+    return np.packbits(np.bincount((mix64(h, 31) >> np.uint64(40)).astype(np.int64) % cells, minlength=cells) & 1).tobytes()
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """The sketch of the same set with fewer cells, ``size`` bytes of them."""
+    while len(bits) > size:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
+def near(raw: list[np.ndarray], n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each pair of positions, whether the finest sketches that both have allow a link."""
+    keep = np.zeros(len(i), bool)
+    lens = np.fromiter(map(len, raw), np.int64, len(raw))
+    size = np.minimum(lens[i], lens[j])
+    for s in np.unique(size).tolist():
+        at = np.flatnonzero(size == s)
+        rows, back = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
+        bits = np.stack([folded(raw[r], s) for r in rows]).view(np.uint64)
+        left, right = back[: len(at)], back[len(at) :]
+        for a in range(0, len(at), 4096):
+            part = at[a : a + 4096]
+            differ = np.bitwise_count(bits[left[a : a + 4096]] ^ bits[right[a : a + 4096]]).sum(axis=1, dtype=np.int64)
+            keep[part] = differ * (DEN + NUM) <= (n[i[part]] + n[j[part]]) * (DEN - NUM)
+    return keep
 
 
 def packed(sets: list[np.ndarray], nodes: np.ndarray, buckets: int) -> Iterator[dict]:
@@ -180,10 +208,11 @@ def shared_runs(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     return mix64(key, 43)[each[ok]].view(np.int64), node[ok]
 
 
-def block_pairs(node: np.ndarray, n: np.ndarray, group: np.ndarray, bits: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def block_pairs(node: np.ndarray, n: np.ndarray, group: np.ndarray, raw: list[np.ndarray], side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs in different groups that sizes and sketches don't rule out; with two sides, pairs across only."""
     order = np.argsort(n, kind="stable")
-    node, n, group, bits, side = node[order], n[order], group[order], bits[order], side[order]
+    node, n, group, raw, side = node[order], n[order], group[order], [raw[k] for k in order], side[order]
+    bits = np.stack([folded(r, CELLS // 8) for r in raw]).view(np.uint64)
     both = side.min() != side.max()
     reach = np.searchsorted(n, n * DEN // NUM, "right")  # larger ones that are not too large
     a, b = [node[:0]], [node[:0]]
@@ -197,6 +226,8 @@ def block_pairs(node: np.ndarray, n: np.ndarray, group: np.ndarray, bits: np.nda
             ok &= side[x:y, None] != side[None, x:z]
         i, j = np.nonzero(ok)
         i, j = i[j > i], j[j > i]
+        fine = near(raw, n, x + i, x + j)
+        i, j = i[fine], j[fine]
         a.append(node[x + i])
         b.append(node[x + j])
     a, b = np.concatenate(a), np.concatenate(b)
@@ -267,12 +298,17 @@ def not_ruled_out(pairs: DataFrame, info: DataFrame) -> DataFrame:
     """Pairs (a, b) whose sizes and sketches allow a link."""
     for c in "ab":
         pairs = pairs.join(info.select(F.col("node").alias(c), F.col("n").alias("n" + c), F.col("sketch").alias("s" + c)), c)
-    far = F.lit(0)
-    for i in range(CELLS // 32):
-        word = lambda c, i=i: F.conv(F.hex(F.substring(c, 4 * i + 1, 4)), 16, 10).cast("long")
-        far = far + F.bit_count(word("sa").bitwiseXOR(word("sb")))
-    near = F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM
-    return pairs.where(near).where(far * (DEN + NUM) <= (F.col("na") + F.col("nb")) * (DEN - NUM)).select("a", "b")
+    alike = F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM
+
+    def compared(batches):
+        for batch in batches:
+            raw = [np.frombuffer(x, np.uint8) for c in ("sa", "sb") for x in batch.column(c).to_pylist()]
+            n = np.concatenate([batch.column(c).to_numpy() for c in ("na", "nb")])
+            i = np.arange(batch.num_rows)
+            ok = pa.array(near(raw, n, i, i + batch.num_rows))
+            yield batch.select(["a", "b"]).filter(ok)
+
+    return pairs.where(alike).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(compared, "a long, b long")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -322,8 +358,8 @@ def unconnected(runs: DataFrame, info: DataFrame, components: DataFrame) -> Data
     def compared(batches):
         for g in key_groups(batches, 3):
             if g.num_rows > 1:
-                bits = np.frombuffer(b"".join(g.column(6).to_pylist()), np.uint64).reshape(g.num_rows, -1)
-                a, b = block_pairs(*(g.column(k).to_numpy() for k in (3, 4, 5)), bits, g.column(7).to_numpy())
+                raw = [np.frombuffer(x, np.uint8) for x in g.column(6).to_pylist()]
+                a, b = block_pairs(*(g.column(k).to_numpy() for k in (3, 4, 5)), raw, g.column(7).to_numpy())
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
