@@ -9,8 +9,9 @@ signature: the differences touch at most ``k`` partitions, so at least ``1 + spa
 partitions agree. A set with that many empty partitions could agree on empty ones alone, so
 it also signs under further, independent divisions. Sets that share no signature can't link.
 
-Signatures are packed by hash range and dealt out by Spark; sets with equal signatures are
-first compared with the least of them only (a star, not all pairs), and the components of
+Signatures are packed by hash range and dealt out by Spark. Each set is first compared with
+the least set of the runs that most of its signatures fall into, then with the least of its
+other runs where those are not connected yet (stars, not all pairs), and the components of
 the links found so far are then checked for completeness: of sets that share a signature,
 those still in different components are compared with one another, in square blocks of
 bounded size. Sizes, and a parity sketch whose distance never exceeds the true one, rule
@@ -47,6 +48,8 @@ BATCH_CHARS = 3_000_000
 CELLS, MOST_CELLS = 256, 1 << 16
 #: Members of one run that are compared in one block with one another.
 SQUARE = 1024
+#: Pairs of one set in a block that are verified before all that are left.
+NEAREST = 2
 
 
 @lru_cache(maxsize=None)
@@ -151,8 +154,8 @@ def folded(bits: np.ndarray, size: int) -> np.ndarray:
 
 
 def near(raw: list[np.ndarray], n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For each pair of positions, whether the finest sketches that both have allow a link."""
-    keep = np.zeros(len(i), bool)
+    """For each pair of positions, how far below the limit the finest sketches that both have differ, by size; below zero rules it out."""
+    room = np.zeros(len(i))
     lens = np.fromiter(map(len, raw), np.int64, len(raw))
     size = np.minimum(lens[i], lens[j])
     for s in np.unique(size).tolist():
@@ -163,8 +166,9 @@ def near(raw: list[np.ndarray], n: np.ndarray, i: np.ndarray, j: np.ndarray) ->
         for a in range(0, len(at), 4096):
             part = at[a : a + 4096]
             differ = np.bitwise_count(bits[left[a : a + 4096]] ^ bits[right[a : a + 4096]]).sum(axis=1, dtype=np.int64)
-            keep[part] = differ * (DEN + NUM) <= (n[i[part]] + n[j[part]]) * (DEN - NUM)
-    return keep
+            both = n[i[part]] + n[j[part]]
+            room[part] = (both * (DEN - NUM) - differ * (DEN + NUM)) / both
+    return room
 
 
 def packed(sets: list[np.ndarray], nodes: np.ndarray, buckets: int) -> Iterator[dict]:
@@ -208,14 +212,17 @@ def shared_runs(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     return mix64(key, 43)[each[ok]].view(np.int64), node[ok]
 
 
-def block_pairs(node: np.ndarray, n: np.ndarray, group: np.ndarray, raw: list[np.ndarray], side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs in different groups that sizes and sketches don't rule out; with two sides, pairs across only."""
+def block_pairs(node: np.ndarray, n: np.ndarray, group: np.ndarray, raw: list[np.ndarray], side: np.ndarray, nearest: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs in different groups that sizes and sketches don't rule out; with two sides, pairs across only.
+
+    With ``nearest``, only those that are among so many nearest ones of one of their sets.
+    """
     order = np.argsort(n, kind="stable")
     node, n, group, raw, side = node[order], n[order], group[order], [raw[k] for k in order], side[order]
     bits = np.stack([folded(r, CELLS // 8) for r in raw]).view(np.uint64)
     both = side.min() != side.max()
     reach = np.searchsorted(n, n * DEN // NUM, "right")  # larger ones that are not too large
-    a, b = [node[:0]], [node[:0]]
+    a, b, room = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
     for x in range(0, len(n), 128):
         y = min(x + 128, len(n))
         z = reach[y - 1]
@@ -226,12 +233,20 @@ def block_pairs(node: np.ndarray, n: np.ndarray, group: np.ndarray, raw: list[np
             ok &= side[x:y, None] != side[None, x:z]
         i, j = np.nonzero(ok)
         i, j = i[j > i], j[j > i]
-        fine = near(raw, n, x + i, x + j)
-        i, j = i[fine], j[fine]
-        a.append(node[x + i])
-        b.append(node[x + j])
-    a, b = np.concatenate(a), np.concatenate(b)
-    return np.maximum(a, b), np.minimum(a, b)
+        score = near(raw, n, x + i, x + j)
+        fine = score >= 0
+        a.append(x + i[fine])
+        b.append(x + j[fine])
+        room.append(score[fine])
+    a, b, room = np.concatenate(a), np.concatenate(b), np.concatenate(room)
+    if nearest is not None and len(a):
+        end, pair = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2)
+        order = np.lexsort((-room[pair], end))
+        starts = np.flatnonzero(np.append(True, end[order][1:] != end[order][:-1]))
+        rank = np.arange(len(end)) - np.repeat(starts, np.diff(np.append(starts, len(end))))
+        best = np.unique(pair[order][rank < nearest])
+        a, b = a[best], b[best]
+    return np.maximum(node[a], node[b]), np.minimum(node[a], node[b])
 
 
 PACKED = "bucket int, sigs binary, idx binary, nodes binary"
@@ -305,7 +320,7 @@ def not_ruled_out(pairs: DataFrame, info: DataFrame) -> DataFrame:
             raw = [np.frombuffer(x, np.uint8) for c in ("sa", "sb") for x in batch.column(c).to_pylist()]
             n = np.concatenate([batch.column(c).to_numpy() for c in ("na", "nb")])
             i = np.arange(batch.num_rows)
-            ok = pa.array(near(raw, n, i, i + batch.num_rows))
+            ok = pa.array(near(raw, n, i, i + batch.num_rows) >= 0)
             yield batch.select(["a", "b"]).filter(ok)
 
     return pairs.where(alike).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(compared, "a long, b long")
@@ -345,10 +360,23 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
     return links
 
 
-def unconnected(runs: DataFrame, info: DataFrame, components: DataFrame) -> DataFrame:
-    """Pairs of sets of one run that are in different components so far and not ruled out."""
+def grouped(runs: DataFrame, info: DataFrame, components: DataFrame) -> DataFrame:
+    """(run, node, grp): members of runs with their components so far."""
     group = info.select("node").join(components, "node", "left").select("node", F.coalesce("component", "node").alias("grp"))
-    named = materialize(runs.join(group, "node"), "jaccard-members")
+    return materialize(runs.join(group, "node"), "jaccard-members")
+
+
+def starred(members: DataFrame, one: bool) -> DataFrame:
+    """Pairs of a set and the least set of a run of both, in different components; with ``one``, of each set the pair of most runs."""
+    least = members.groupBy("run").agg(F.min(F.struct("node", "grp")).alias("least"))
+    pairs = members.join(least, "run").where("grp <> least.grp").groupBy(F.col("node").alias("a"), F.col("least.node").alias("b")).count()
+    if one:
+        pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
+    return pairs.select("a", "b")
+
+
+def unconnected(named: DataFrame, info: DataFrame, nearest: int | None) -> DataFrame:
+    """Pairs of sets of one run that are in different components so far and not ruled out: all, or each set's nearest."""
     mixed = named.groupBy("run").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.ceil(F.count("*") / SQUARE).alias("cells")).where("lo <> hi")
     members = named.join(mixed.select("run", "cells"), "run").join(info, "node").withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")))
     dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)))
@@ -359,7 +387,7 @@ def unconnected(runs: DataFrame, info: DataFrame, components: DataFrame) -> Data
         for g in key_groups(batches, 3):
             if g.num_rows > 1:
                 raw = [np.frombuffer(x, np.uint8) for x in g.column(6).to_pylist()]
-                a, b = block_pairs(*(g.column(k).to_numpy() for k in (3, 4, 5)), raw, g.column(7).to_numpy())
+                a, b = block_pairs(*(g.column(k).to_numpy() for k in (3, 4, 5)), raw, g.column(7).to_numpy(), nearest)
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
@@ -375,18 +403,22 @@ def jaccard_join(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     classes = materialize(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "jaccard-classes")
     info = classes.select("node", "n", "sketch")
     runs = materialize(runs.distinct(), "jaccard-runs")
-    least = runs.groupBy("run").agg(F.min("node").alias("b"))
-    star = runs.withColumnRenamed("node", "a").join(least, "run").where("a <> b").select("a", "b").distinct()
-    star = materialize(not_ruled_out(star, info), "jaccard-pairs")
-    release(spark)
-    links = verified(star, docs, classes)
-    components = connected_components(links, "jaccard-cc")
-    release(spark)
-    more = materialize(unconnected(runs, info, components).join(star, ["a", "b"], "left_anti"), "jaccard-pairs")
-    if more.limit(1).count():
-        extra = verified(more, docs, classes)
-        components = connected_components(links.unionByName(extra), "jaccard-cc")
-    release(spark)
+    members, tried, links, moved = runs.withColumn("grp", F.col("node")), None, None, False
+    # stars first, then each set's nearest ones in other components, then all that is left: only this last step decides completeness
+    for step in (lambda m: starred(m, True), lambda m: starred(m, False), lambda m: unconnected(m, info, NEAREST), lambda m: unconnected(m, info, None)):
+        if moved:
+            members, moved = grouped(runs, info, components), False
+        pairs = step(members)
+        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = materialize(not_ruled_out(pairs, info), "jaccard-pairs")
+        release(spark)
+        if tried is not None and not pairs.limit(1).count():
+            continue
+        found = verified(pairs, docs, classes)
+        tried, links = (pairs, found) if tried is None else (tried.unionByName(pairs), links.unionByName(found))
+        components = connected_components(links, "jaccard-cc")
+        release(spark)
+        moved = True
     named = classes.join(components, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = components.join(named, "component").select("node", "component_id")
     whole = classes.join(named, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
