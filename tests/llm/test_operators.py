@@ -118,6 +118,33 @@ def test_nn_descent(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in range(len(x), len(rows)))
 
 
+def brute_vectors(x, threshold=0.95):
+    """Links and least member of the component of each vector."""
+    m = np.array(x, np.float32).astype(float)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    near = m @ m.T >= threshold
+    low = np.arange(len(m))
+    while True:
+        nxt = np.where(near, low[None, :], len(m)).min(axis=1)
+        if (nxt == low).all():
+            return (near.sum(axis=1) - 1).tolist(), low.tolist()
+        low = nxt
+
+
+def test_nn_descent_joins_dense_groups(spark):
+    """Each vector has far more than k links inside its group; the weaker links across join the groups."""
+    rng = np.random.default_rng(7)
+    centre = np.zeros((2, 16))
+    centre[0, 0], centre[1, :2] = 1, (0.957, np.sqrt(1 - 0.957**2))
+    x = np.concatenate([centre[i] + 0.015 * rng.standard_normal((150, 16)) for i in (0, 1)] + [rng.standard_normal((40, 16))])
+    rows = [(i, list(map(float, v))) for i, v in enumerate(x)]
+    deg, low = brute_vectors(x)
+    assert 0 < sum(deg[:150]) - 150 * 149 and low[150] == 0
+    got = {r.vec_id: r for r in nn_descent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)).collect()}
+    assert [got[i].n_links for i in range(len(x))] == deg
+    assert [got[i].component_id for i in range(len(x))] == low
+
+
 def test_sharding(docs, empty):
     got = sharding.extendible_shards(docs, limit_bytes=600).collect()
     held = {}

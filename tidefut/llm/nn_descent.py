@@ -2,14 +2,19 @@
 
 Every vector has a list of its nearest neighbours so far. A round joins each vector's
 neighbours and reverse neighbours with one another, in blocks of bounded size (a hub with
-very many reverse neighbours is dealt into several blocks), and keeps the best ``k`` for
-each. Lists start from sorted sign codes of random rotations. After each round an audit
-compares a fixed number of vectors with all others by brute force; rounds go on until the
-audit finds ``target`` of the true links inside one component, or ``max_rounds`` is reached.
+very many reverse neighbours is dealt into several blocks), and keeps two lists for each: the
+best ``k`` of its component so far and the best ``k`` outside of it. Lists start from sorted
+sign codes of random rotations.
 
-Where a list is saturated with links at or above the threshold it is enlarged, to the whole
-of the component that the links so far connect: members are compared in square blocks, which
-gives the exact number of links of each. Equal vectors are one node with a weight.
+No list of outside neighbours is ever saturated: one at or above the threshold is a link,
+joins the two components, and makes room in the lists of all their members. Rounds go on
+until one adds no link. Then an audit compares some vectors with all others by brute force;
+the links it finds missing are added, and below ``target`` further rotations and rounds
+follow. Every audit that fails joins components, so this ends.
+
+The list inside is at last enlarged to the whole component: members are compared in square
+blocks, which gives the exact number of links of each. Equal vectors are one node with a
+weight.
 
 Cosines are in double precision. Vectors that are null, zero, or hold null or non-finite
 components, link with nothing; vectors of different lengths don't link. Rows that repeat a
@@ -24,11 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import connected_components, key_groups, materialize
+from .common import connected_components, drop_table, key_groups, materialize
 
 K, ROTATIONS, BITS, BLOCK, TOP = 10, 8, 16, 64, 5
 SQUARE = 256
-AUDITED, TARGET, MAX_ROUNDS = 200, 0.99, 6
+AUDITED, TARGET = 200, 0.99
 
 
 def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -55,27 +60,30 @@ def _cosines(x: np.ndarray, sizes: np.ndarray, y: np.ndarray, other: np.ndarray)
     return np.where(sizes[:, None] == other[None, :], _unit(x) @ _unit(y).T, -2.0)
 
 
-def _best(ids: np.ndarray, cos: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each row's ``top`` best others."""
-    np.fill_diagonal(cos, -3.0)
+def _best(ids: np.ndarray, group: np.ndarray, cos: np.ndarray, top: int):
+    """Batches of each row's ``top`` best others of its own group, and of other groups."""
     cos[ids[:, None] == ids[None, :]] = -3.0
     top = min(top, len(ids) - 1)
-    at = np.argpartition(-cos, top - 1, axis=1)[:, :top]
-    sim = np.take_along_axis(cos, at, axis=1)
-    u, v, s = np.repeat(ids, top), ids[at].ravel(), sim.ravel()
-    ok = s > -1.5
-    return u[ok], v[ok], s[ok]
+    outside = group[:, None] != group[None, :]
+    for far in (True, False):
+        allowed = outside if far else ~outside
+        left = np.where(allowed, cos, -3.0)
+        at = np.argpartition(-left, top - 1, axis=1)[:, :top]
+        s = np.take_along_axis(left, at, axis=1).ravel()
+        ok = s > -1.5
+        if ok.any():
+            yield _edges(np.repeat(ids, top)[ok], ids[at].ravel()[ok], s[ok], far)
 
 
-EDGE = "u long, v long, sim double"
+EDGE = "u long, v long, sim double, far boolean"
 
 
-def _edges(u, v, s) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(s)], names=["u", "v", "sim"])
+def _edges(u, v, s, far: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(s), pa.array(np.full(len(u), far))], names=["u", "v", "sim", "far"])
 
 
-def starting_lists(nodes: DataFrame, k: int) -> DataFrame:
-    """Neighbours within blocks of vectors whose sign codes, under some rotation, are next to one another."""
+def starting_lists(placed: DataFrame, k: int, step: int = 0) -> DataFrame:
+    """Neighbours within blocks of vectors whose sign codes, under some rotation, are next to one another; each step has its own rotations."""
 
     def coded(batches):
         planes: dict[int, np.ndarray] = {}
@@ -83,52 +91,65 @@ def starting_lists(nodes: DataFrame, k: int) -> DataFrame:
             x, _ = _matrix(batch.column(1))
             d = x.shape[1]
             if d not in planes:
-                planes[d] = np.random.default_rng(d).standard_normal((d, ROTATIONS * BITS))
+                planes[d] = np.random.default_rng([d, step]).standard_normal((d, ROTATIONS * BITS))
             signs = (x @ planes[d] > 0).reshape(len(x), ROTATIONS, BITS)
             codes = signs @ (1 << np.arange(BITS)[::-1])
             for r in range(ROTATIONS):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), r)), pa.array(codes[:, r].astype(np.int64)), batch.column(0), batch.column(1)], names=["rot", "code", "nid", "e"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), r)), pa.array(codes[:, r].astype(np.int64)), *batch.columns], names=["rot", "code", "nid", "e", "grp"])
 
     def compared(batches):
         for batch in batches:
-            ids = batch.column(2).to_numpy()
+            ids, group = batch.column(2).to_numpy(), batch.column(4).to_numpy()
             for a in range(0, len(ids), BLOCK):
                 x, sizes = _matrix(batch.column(3).slice(a, BLOCK))
                 if len(x) > 1:
-                    yield _edges(*_best(ids[a : a + BLOCK], _cosines(x, sizes, x, sizes), k))
+                    yield from _best(ids[a : a + BLOCK], group[a : a + BLOCK], _cosines(x, sizes, x, sizes), k)
 
-    rows = nodes.select("nid", "e").mapInArrow(coded, "rot long, code long, nid long, e array<double>")
+    rows = placed.select("nid", "e", "grp").mapInArrow(coded, "rot long, code long, nid long, e array<double>, grp long")
     order = ["rot", "code", "nid"]
     return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(compared, EDGE)
 
 
 def best_k(edges: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("u").orderBy(F.desc("sim"), "v")
-    return edges.groupBy("u", "v").agg(F.max("sim").alias("sim")).withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")
+    """The best ``k`` of each vector inside its component, and the best ``k`` outside."""
+    w = Window.partitionBy("u", "far").orderBy(F.desc("sim"), "v")
+    return edges.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.max("far").alias("far")).withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")
+
+
+def placed_in(nodes: DataFrame, components: DataFrame) -> DataFrame:
+    """(nid, e, grp): nodes with their components so far."""
+    return nodes.join(components.withColumnRenamed("node", "nid"), "nid", "left").select("nid", "e", F.coalesce("component", "nid").alias("grp"))
+
 
+def marked(lists: DataFrame, components: DataFrame) -> DataFrame:
+    """The lists, told apart anew by the components so far."""
+    cu, cv = (components.select(F.col("node").alias(x), F.col("component").alias("c" + x)) for x in "uv")
+    both = lists.drop("far").join(cu, "u", "left").join(cv, "v", "left")
+    return both.select("u", "v", "sim", (F.coalesce("cu", "u") != F.coalesce("cv", "v")).alias("far"))
 
-def local_join(nodes: DataFrame, lists: DataFrame) -> DataFrame:
+
+def local_join(placed: DataFrame, lists: DataFrame) -> DataFrame:
     """Compare the neighbours and reverse neighbours of each vector with one another."""
     near = lists.select(F.col("u").alias("w"), F.col("v").alias("m"))
     both = near.unionByName(near.select(F.col("m").alias("w"), F.col("w").alias("m"))).unionByName(near.select("w", F.col("w").alias("m"))).distinct()
     degree = both.groupBy("w").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     dealt = both.join(degree, "w").withColumn("salt", F.pmod(F.xxhash64("m", "w"), F.col("blocks"))).select("w", "salt", "m")
-    members = dealt.join(nodes.select(F.col("nid").alias("m"), "e"), "m").select("w", "salt", "m", "e")
+    members = dealt.join(placed.select(F.col("nid").alias("m"), "e", "grp"), "m").select("w", "salt", "m", "e", "grp")
 
     def compared(batches):
         for group in key_groups(batches, 2):
             ids = group.column(2).to_numpy()
             if len(ids) > 1:
                 x, sizes = _matrix(group.column(3))
-                yield _edges(*_best(ids, _cosines(x, sizes, x, sizes), TOP))
+                yield from _best(ids, group.column(4).to_numpy(), _cosines(x, sizes, x, sizes), TOP)
 
     return members.repartition("w", "salt").sortWithinPartitions("w", "salt").mapInArrow(compared, EDGE)
 
 
-def audit(nodes: DataFrame, components: DataFrame, threshold: float) -> float:
-    """Of the links of ``AUDITED`` vectors, found by brute force, the share whose ends are in one component."""
+def audit(nodes: DataFrame, components: DataFrame, threshold: float, step: int = 0) -> tuple[float, DataFrame]:
+    """Of the links of ``AUDITED`` vectors, found by brute force, the share whose ends are in one component, and the other links."""
     spark = nodes.sparkSession
-    probe = nodes.select("nid", "e").orderBy(F.xxhash64("nid"), "nid").limit(AUDITED).collect()
+    probe = nodes.select("nid", "e").orderBy(F.xxhash64("nid", F.lit(step)), "nid").limit(AUDITED).collect()
     sent = spark.sparkContext.broadcast([(r["nid"], r["e"]) for r in probe])
 
     def brute(batches):
@@ -143,10 +164,10 @@ def audit(nodes: DataFrame, components: DataFrame, threshold: float) -> float:
 
     true = nodes.select("nid", "e").mapInArrow(brute, "a long, b long")
     ca, cb = (components.select(F.col("node").alias(x), F.col("component").alias("c" + x)) for x in "ab")
-    got = true.join(ca, "a", "left").join(cb, "b", "left")
     same = F.coalesce(F.col("ca"), F.col("a")) == F.coalesce(F.col("cb"), F.col("b"))
-    row = got.agg(F.count("*").alias("n"), F.count_if(same).alias("found")).first()
-    return row["found"] / row["n"] if row["n"] else 1.0
+    got = materialize(true.join(ca, "a", "left").join(cb, "b", "left").select("a", "b", same.alias("same")), "nn-audit")
+    row = got.agg(F.count("*").alias("n"), F.count_if("same").alias("found")).first()
+    return row["found"] / row["n"] if row["n"] else 1.0, got.where("not same").select("a", "b")
 
 
 def count_links(nodes: DataFrame, components: DataFrame, threshold: float) -> DataFrame:
@@ -173,22 +194,38 @@ def count_links(nodes: DataFrame, components: DataFrame, threshold: float) -> Da
     return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(counted, "nid long, links long").groupBy("nid").agg(F.sum("links").alias("links"))
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, k: int = K, max_rounds: int = MAX_ROUNDS, target: float = TARGET) -> DataFrame:
+def joined(components: DataFrame, links: DataFrame) -> DataFrame:
+    """The components that further links leave."""
+    return connected_components(components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links), "nn-cc")
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, k: int = K, target: float = TARGET) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
     finite = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.coalesce(finite & F.exists("e", lambda x: x != 0), F.lit(False))
     good = rows.where(usable)
     nodes = materialize(good.groupBy("e").agg(F.count("*").alias("mult"), F.min("vec_id").alias("low")).withColumn("nid", F.monotonically_increasing_id()), "nn-nodes")
-    lists = materialize(best_k(starting_lists(nodes, k), k), "nn-lists")
-    links = lists.where(F.col("sim") >= threshold)
-    for step in range(max_rounds):
-        nxt = materialize(best_k(lists.unionByName(local_join(nodes, lists)), k), "nn-lists")
-        links = links.unionByName(nxt.where(F.col("sim") >= threshold))
+    lists = materialize(best_k(starting_lists(nodes.select("nid", "e", F.col("nid").alias("grp")), k), k), "nn-lists")
+    ends = [F.col("u").alias("a"), F.col("v").alias("b")]
+    links, step = lists.where(F.col("sim") >= threshold).select(*ends), 0
+    components = connected_components(links, "nn-cc")
+    while True:
+        placed = placed_in(nodes, components)
+        nxt = materialize(best_k(marked(lists, components).unionByName(local_join(placed, lists)), k), "nn-lists")
+        drop_table(lists)
         lists = nxt
-        components = connected_components(links.select(F.col("u").alias("a"), F.col("v").alias("b")), "nn-cc")
-        if audit(nodes, components, threshold) >= target:
-            break
+        links = lists.where(F.col("far") & (F.col("sim") >= threshold)).select(*ends)
+        if not links.limit(1).count():
+            share, links = audit(nodes, components, threshold, step)
+            if share >= target:
+                components = joined(components, links)
+                break
+            step += 1
+            again = materialize(best_k(starting_lists(placed, k, step), k), "nn-lists")
+            links = links.unionByName(again.where(F.col("far") & (F.col("sim") >= threshold)).select(*ends))
+            lists = materialize(best_k(lists.unionByName(again), k), "nn-lists")
+        components = joined(components, links)
     counts = count_links(nodes, components, threshold)
     found = nodes.join(components.withColumnRenamed("node", "nid"), "nid", "left").join(counts, "nid", "left").withColumn("component", F.coalesce("component", "nid"))
     lowest = found.groupBy("component").agg(F.min("low").alias("component_id"))
