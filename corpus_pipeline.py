@@ -40,10 +40,19 @@ def stage_exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def stage_ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest identifier stays."""
-    found = common.materialize(ngram_join.jaccard_join(docs), "pipeline-groups")
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    return exact_dedup.only(docs, gone, "left_anti").select(*COLUMNS)
+    """Of each group of near copies the row with the smallest identifier stays, one without identifier only if all have none.
+
+    Rows are told apart by a number of their own, as identifiers may be null or stand on several texts.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("row_no"), *COLUMNS)
+    rows = common.materialize(rows, "pipeline-rows")
+    found = ngram_join.jaccard_join(rows.select(F.col("row_no").alias("doc_id"), "text")).toDF("row_no", "n_shingles", "component")
+    members = common.materialize(found.join(rows.select("row_no", "doc_id"), "row_no").select("row_no", "doc_id", "component"), "pipeline-groups")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_no"))
+    kept = members.groupBy("component").agg(first.alias("first")).select(F.col("first.row_no").alias("row_no"))
+    gone = members.join(kept, "row_no", "left_anti").select(F.col("row_no").alias("doc_id"))
+    numbered = rows.withColumnRenamed("doc_id", "own_id").withColumnRenamed("row_no", "doc_id")
+    return exact_dedup.only(numbered, gone, "left_anti").drop("doc_id").withColumnRenamed("own_id", "doc_id").select(*COLUMNS)
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
