@@ -10,8 +10,8 @@ A text's toxic and ordinary log-likelihoods are compared per character, over the
 and over its windows of words; a logistic curve on these differences, fitted on a bounded
 sample of other labelled rows (``max_rows``), gives the published score.
 
-All labelled training rows are counted. The models that are broadcast hold at most
-``max_ngrams`` n-grams (those that weigh most); the others back off to the shared counts.
+All labelled training rows outside that sample are counted, and the models that are broadcast
+hold every n-gram and context of them: 12 bytes each, so they grow with the labelled text.
 Null texts count as empty and get a score too. Null labels are left out; of repeated labels
 of one document the largest counts. With only one class all scores are 0.5 or less.
 """
@@ -29,7 +29,7 @@ from .common import WordTable, crc_mod, drop_table, materialize, mix64, small_ba
 from .language_id import by_length, count_words, split_words
 
 ORDER, DISCOUNT = 5, 0.75
-MAX_NGRAMS, MAX_ROWS = 1 << 20, 20_000
+MAX_ROWS = 20_000
 WINDOW = 6
 N_FEATURES = 4
 
@@ -139,7 +139,7 @@ def count_ngrams(words: DataFrame) -> DataFrame:
 
 
 def log_ratios(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(gram, ratio, weight) and (context, ratio, weight), with Kneser-Ney smoothing in DataFrame operations."""
+    """(gram, ratio) and (context, ratio), with Kneser-Ney smoothing in DataFrame operations."""
     d = DISCOUNT
     g = grams.withColumn("ctx", F.expr("substring(gram, 1, length(gram) - 1)")).withColumn("g3", F.expr("right(gram, 3)"))
     ctx = g.groupBy("ctx").agg(F.sum("t").alias("nt"), F.sum("o").alias("no"), F.count_if(F.col("t") > 0).alias("kt"), F.count_if(F.col("o") > 0).alias("ko"))
@@ -154,13 +154,13 @@ def log_ratios(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     p = lambda n, total, l: F.when(F.col(total) > 0, F.greatest(F.col(n) - d, F.lit(0.0)) / F.col(total)).otherwise(0.0) + F.col(l) * F.col("p3")  # noqa: E731, E741
     full = g.join(ctx, "ctx").join(shared, "g3")
-    top = full.select("gram", F.log(p("t", "nt", "lt") / p("o", "no", "lo")).alias("ratio"), (F.col("t") + F.col("o")).alias("weight"))
-    low = ctx.select(F.col("ctx").alias("gram"), F.log(F.col("lt") / F.col("lo")).alias("ratio"), (F.col("nt") + F.col("no")).alias("weight"))
+    top = full.select("gram", F.log(p("t", "nt", "lt") / p("o", "no", "lo")).alias("ratio"))
+    low = ctx.select(F.col("ctx").alias("gram"), F.log(F.col("lt") / F.col("lo")).alias("ratio"))
     return top, low
 
 
-def _collect(table: DataFrame, context: bool, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes in order and their log ratios; at most ``most`` rows reach the driver."""
+def _collect(table: DataFrame, context: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes in order and their log ratios, of all rows."""
 
     def hashed(batches):
         for batch in batches:
@@ -177,8 +177,7 @@ def _collect(table: DataFrame, context: bool, most: int) -> tuple[np.ndarray, np
                 out[at] = mix64(h, 2 if context else 1)
             yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64)), batch.column(1)], names=["h", "ratio"])
 
-    top = table.orderBy(F.desc(F.abs("ratio") * F.sqrt("weight")), "gram").limit(most) if table.count() > most else table
-    got = top.select("gram", "ratio").mapInArrow(hashed, "h long, ratio double").toPandas()
+    got = table.select("gram", "ratio").mapInArrow(hashed, "h long, ratio double").toPandas()
     keys = got["h"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
     return keys[order], got["ratio"].to_numpy(np.float32)[order]
@@ -196,16 +195,16 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_ngrams: int = MAX_NGRAMS, max_rows: int = MAX_ROWS) -> ToxicModel:
-    """Count n-grams on three quarters of the labelled rows, fit the curve on the rest."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS) -> ToxicModel:
+    """Fit the curve on a quarter of the labelled rows, ``max_rows`` at most, and count n-grams on all others."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     curve_fold = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
-    train = docs.select("doc_id", "text").join(known.where(~curve_fold), "doc_id")
+    sample = materialize(known.where(curve_fold).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows), "toxic-sample")
+    train = docs.select("doc_id", "text").join(known.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_anti"), "doc_id")
     grams = materialize(count_ngrams(materialize(count_words(train, "y"), "toxic-words")), "toxic-grams")
     top, low = log_ratios(grams)
-    model = ToxicModel(*_collect(top, False, max_ngrams), *_collect(low, True, max_ngrams), np.zeros(N_FEATURES + 1))
+    model = ToxicModel(*_collect(top, False), *_collect(low, True), np.zeros(N_FEATURES + 1))
     drop_table(grams)
-    sample = known.where(curve_fold).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("y", "text")  # at most max_rows rows are sent
     got = measure(rows, "y", model).toPandas().sort_values(["y", *(f"f{k}" for k in range(N_FEATURES))]).to_numpy(float)
     y, x = got[:, 0], got[:, 1:]
