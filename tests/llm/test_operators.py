@@ -145,6 +145,18 @@ def test_nn_descent_joins_dense_groups(spark):
     assert [got[i].component_id for i in range(len(x))] == low
 
 
+def test_nn_descent_audit_is_not_hidden_by_a_hot_group(spark):
+    """All pairs outside one large group are missed."""
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((61, 32))
+    x = np.concatenate([base[:1] + 0.01 * rng.standard_normal((400, 32)), *(base[i] + 0.01 * rng.standard_normal((2, 32)) for i in range(1, 61))])
+    nodes = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "nid long, e array<double>")
+    found = spark.createDataFrame([(i, 0) for i in range(400)], "node long, component long")
+    share, missing = nn_descent.audit(nodes, found, 0.95)
+    assert share < 0.5
+    assert {tuple(sorted((r.a, r.b))) for r in missing.collect()} == {(i, i + 1) for i in range(400, 520, 2)}
+
+
 def test_sharding(docs, empty):
     got = sharding.extendible_shards(docs, limit_bytes=600).collect()
     held = {}

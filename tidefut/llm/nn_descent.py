@@ -8,8 +8,8 @@ sign codes of random rotations.
 
 No list of outside neighbours is ever saturated: one at or above the threshold is a link,
 joins the two components, and makes room in the lists of all their members. Rounds go on
-until one adds no link. Then an audit compares some vectors with all others by brute force;
-the links it finds missing are added, and below ``target`` further rotations and rounds
+until one adds no link. Then an audit compares vectors from components of all sizes with
+all others by brute force (each component weighs the same, a hot one hides no other); the links it finds missing are added, and below ``target`` further rotations and rounds
 follow. Every audit that fails joins components, so this ends.
 
 The list inside is at last enlarged to the whole component: members are compared in square
@@ -23,6 +23,9 @@ vector link with one another. Empty tables give empty results; labels are not re
 
 from __future__ import annotations
 
+import logging
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -85,15 +88,17 @@ def _edges(u, v, s, far: bool) -> pa.RecordBatch:
 def starting_lists(placed: DataFrame, k: int, step: int = 0) -> DataFrame:
     """Neighbours within blocks of vectors whose sign codes, under some rotation, are next to one another; each step has its own rotations."""
 
+    bits = max(BITS, placed.count().bit_length())  # a larger table needs longer codes to tell neighbours apart
+
     def coded(batches):
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
             x, _ = _matrix(batch.column(1))
             d = x.shape[1]
             if d not in planes:
-                planes[d] = np.random.default_rng([d, step]).standard_normal((d, ROTATIONS * BITS))
-            signs = (x @ planes[d] > 0).reshape(len(x), ROTATIONS, BITS)
-            codes = signs @ (1 << np.arange(BITS)[::-1])
+                planes[d] = np.random.default_rng([d, step]).standard_normal((d, ROTATIONS * bits))
+            signs = (x @ planes[d] > 0).reshape(len(x), ROTATIONS, bits)
+            codes = signs @ (1 << np.arange(bits)[::-1])
             for r in range(ROTATIONS):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), r)), pa.array(codes[:, r].astype(np.int64)), *batch.columns], names=["rot", "code", "nid", "e", "grp"])
 
@@ -147,27 +152,38 @@ def local_join(placed: DataFrame, lists: DataFrame) -> DataFrame:
 
 
 def audit(nodes: DataFrame, components: DataFrame, threshold: float, step: int = 0) -> tuple[float, DataFrame]:
-    """Of the links of ``AUDITED`` vectors, found by brute force, the share whose ends are in one component, and the other links."""
-    spark = nodes.sparkSession
-    probe = nodes.select("nid", "e").orderBy(F.xxhash64("nid", F.lit(step)), "nid").limit(AUDITED).collect()
-    sent = spark.sparkContext.broadcast([(r["nid"], r["e"]) for r in probe])
+    """The share of linked vectors with all their links inside their component, and the missing links (a, b).
+
+    Up to ``AUDITED`` vectors of each class of component sizes are compared with all others;
+    every component weighs the same, whatever its size.
+    """
+    sizes = components.groupBy("component").agg(F.count("*").alias("size"))
+    placed = placed_in(nodes, components)
+    classes = placed.join(sizes.withColumnRenamed("component", "grp"), "grp", "left").withColumn("size", F.coalesce("size", F.lit(1))).withColumn("class", F.floor(F.log2("size")))
+    w = Window.partitionBy("class").orderBy(F.xxhash64("nid", F.lit(step)), "nid")
+    probe = classes.withColumn("n", F.row_number().over(w)).where(F.col("n") <= AUDITED).drop("n").collect()
+    rows = {r["class"]: r["count"] for r in classes.groupBy("class").count().collect()}
+    drawn = Counter(r["class"] for r in probe)
+    weight = {r["nid"]: rows[r["class"]] / drawn[r["class"]] / r["size"] for r in probe}
+    sent = nodes.sparkSession.sparkContext.broadcast([(r["nid"], r["grp"], r["e"]) for r in probe])
 
     def brute(batches):
-        ids = np.array([i for i, _ in sent.value], np.int64)
-        y, other = _matrix(pa.array([e for _, e in sent.value], pa.list_(pa.float64())))
+        ids, groups = (np.array([r[k] for r in sent.value], np.int64) for k in (0, 1))
+        y, other = _matrix(pa.array([r[2] for r in sent.value], pa.list_(pa.float64())))
         for batch in batches:
-            x, sizes = _matrix(batch.column(1))
-            mine = batch.column(0).to_numpy()
-            i, j = np.nonzero(_cosines(x, sizes, y, other) >= threshold)
-            ok = mine[i] != ids[j]
-            yield pa.RecordBatch.from_arrays([pa.array(mine[i[ok]]), pa.array(ids[j[ok]])], names=["a", "b"])
-
-    true = nodes.select("nid", "e").mapInArrow(brute, "a long, b long")
-    ca, cb = (components.select(F.col("node").alias(x), F.col("component").alias("c" + x)) for x in "ab")
-    same = F.coalesce(F.col("ca"), F.col("a")) == F.coalesce(F.col("cb"), F.col("b"))
-    got = materialize(true.join(ca, "a", "left").join(cb, "b", "left").select("a", "b", same.alias("same")), "nn-audit")
-    row = got.agg(F.count("*").alias("n"), F.count_if("same").alias("found")).first()
-    return row["found"] / row["n"] if row["n"] else 1.0, got.where("not same").select("a", "b")
+            x, lengths = _matrix(batch.column(1))
+            mine, own = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            hit = (_cosines(x, lengths, y, other) >= threshold) & (mine[:, None] != ids[None, :])
+            i, j = np.nonzero(hit & (own[:, None] != groups[None, :]))
+            linked = ids[hit.any(axis=0)]
+            yield pa.RecordBatch.from_arrays([pa.array([*mine[i].tolist(), *[None] * len(linked)], pa.int64()), pa.array(np.append(ids[j], linked))], names=["a", "b"])
+
+    true = materialize(placed.select("nid", "e", "grp").mapInArrow(brute, "a long, b long"), "nn-audit")
+    found = true.groupBy("b").agg(F.count("a").alias("missed")).collect()
+    total = sum(weight[r["b"]] for r in found)
+    share = sum(weight[r["b"]] for r in found if not r["missed"]) / total if total else 1.0
+    logging.getLogger(__name__).info("audit %d: %d vectors, share of components' linked vectors with all links: %.4f", step, len(probe), share)
+    return share, true.where("a is not null")
 
 
 def count_links(nodes: DataFrame, components: DataFrame, threshold: float) -> DataFrame:
