@@ -7,26 +7,34 @@ cuts lineage, so a lost executor costs a re-read and no recomputation.
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MASK = (1 << 64) - 1
 
 
+@lru_cache(maxsize=1)
+def _one_process_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables; a local one only where none is set (tests)."""
+    """The shared folder that the session names; a temporary one only where all of Spark runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _one_process_dir()
     return base.rstrip("/")
 
 
@@ -34,22 +42,29 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def settings(spark: SparkSession, **values: str):
+    """Session settings (dots written as double underscores) for the time of a block."""
+    named = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in named}
+    for k, v in named.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back."""
+    """Write a table to the shared folder and read it back; its shuffle files go when it is written."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of tables that are written and no longer referred to."""
-    for _ in range(2):  # the first round lets go of the driver's handles, the second of what they held
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def drop_table(df: DataFrame) -> None:
     """Delete a table that ``materialize`` wrote, when nothing reads it any more."""
     spark = df.sparkSession
@@ -101,42 +116,67 @@ def carried(rows: DataFrame, read: list[str], carry: tuple[str, ...], compute: C
 class WordTable:
     """Distinct words of the rows seen so far, numbered, each with values computed once.
 
-    ``compute(words)`` gives a tuple of arrays, one row per word. The table holds at most
-    ``limit`` words between batches; beyond that it starts anew. This bounds memory and
-    changes no result.
+    ``compute(words)`` gives a tuple of arrays, one row per word. The table holds about
+    ``limit`` words between batches; beyond that it starts anew, and words of more than
+    ``LONGEST`` characters never stay. This bounds memory and changes no result.
     """
 
-    def __init__(self, compute: Callable[[list], tuple[np.ndarray, ...]], limit: int = 250_000):
+    LONGEST = 64
+
+    def __init__(self, compute: Callable[[list], tuple[np.ndarray, ...]], limit: int = 400_000):
         self.compute, self.limit = compute, limit
         self.clear()
 
     def clear(self) -> None:
         self.index: dict = {}
         self.values: tuple | None = None
+        self.used = 0
 
     def ids(self, words: list) -> np.ndarray:
         """Row numbers of the words in ``values``."""
-        if len(self.index) > self.limit:
+        if self.used > self.limit:
             self.clear()
         new = list(set(words).difference(self.index))
         if new or self.values is None:
-            found = self.compute(new)
-            start = len(self.index)
-            self.index.update(zip(new, range(start, start + len(new)), strict=True))
-            self.values = found if self.values is None else tuple(np.concatenate(p) for p in zip(self.values, found, strict=True))
-        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-
-
-def small_batches(texts: Iterable, size: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about ``size`` characters each (at least one row)."""
-    start, total, i = 0, 0, -1
-    for i, t in enumerate(texts):
-        total += len(t)
+            self._add(self.compute(new), len(new))
+            start = self.used - len(new)
+            self.index.update(zip(new, range(start, self.used), strict=True))
+        out = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        for w in new:
+            if len(w) > self.LONGEST:
+                del self.index[w]
+        return out
+
+    def _add(self, found: tuple[np.ndarray, ...], n: int) -> None:
+        """Rows after those there are; the arrays double when they are full."""
+        if self.values is None:
+            self.values = tuple(np.zeros((max(4096, 2 * n), *x.shape[1:]), x.dtype) for x in found)
+        elif self.used + n > len(self.values[0]):
+            grown = tuple(np.zeros((2 * (self.used + n), *x.shape[1:]), x.dtype) for x in found)
+            for new, old in zip(grown, self.values, strict=True):
+                new[: self.used] = old[: self.used]
+            self.values = grown
+        for x, part in zip(self.values, found, strict=True):
+            x[self.used : self.used + n] = part
+        self.used += n
+
+
+def small_batches(texts: pa.Array, size: int = 1_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``size`` bytes each (at least one row)."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    start, total = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        total += n
         if total >= size:
             yield start, i + 1
             start, total = i + 1, 0
-    if start <= i:
-        yield start, i + 1
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def texts_of(column: pa.Array, a: int, b: int) -> list[str]:
+    """Some rows of a column of texts; null counts as empty."""
+    return [t or "" for t in column.slice(a, b - a).to_pylist()]
 
 
 def key_groups(batches, keys: int) -> Iterator[pa.RecordBatch]:

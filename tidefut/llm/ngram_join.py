@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, connected_components, drop_table, key_groups, materialize, mix64, release, small_batches
+from .common import WordTable, connected_components, drop_table, key_groups, materialize, mix64, small_batches, texts_of
 from .exact_dedup import BROADCAST_IDS
 
 WIDTH = 5
@@ -43,7 +43,6 @@ WIDTH = 5
 NUM, DEN = 80, 100
 BAND = 1.6
 LEVELS = 4
-BATCH_CHARS = 3_000_000
 #: Bits of the smallest and largest sketch of a set, powers of two; between them, two to four bits a shingle.
 CELLS, MOST_CELLS = 256, 1 << 16
 #: Members of one run that are compared in one block with one another.
@@ -262,9 +261,8 @@ def describe(docs: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
         table = WordTable(word_hashes)
         for batch in batches:
             doc = batch.schema.field(0).type
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in small_batches(texts, BATCH_CHARS):
-                sets = shingle_sets(texts[a:b], table)
+            for a, b in small_batches(batch.column(1)):
+                sets = shingle_sets(texts_of(batch.column(1), a, b), table)
                 names = np.array([set_hash(h) for h in sets], np.uint64).reshape(-1, 2).view(np.int64)
                 once = np.unique(names[:, 0], return_index=True)[1]
                 rows = list(packed([sets[i] for i in once], np.ascontiguousarray(names[once, 0]), buckets))
@@ -334,9 +332,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def measured(batches):
         table = WordTable(word_hashes)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in small_batches(texts, BATCH_CHARS):
-                sets = shingle_sets(texts[a:b], table)
+            for a, b in small_batches(batch.column(1)):
+                sets = shingle_sets(texts_of(batch.column(1), a, b), table)
                 named = np.array([set_hash(h)[0] for h in sets], np.uint64).view(np.int64)
                 ok = named == batch.column(0).slice(a, b - a).to_numpy()
                 sets = [h for h, k in zip(sets, ok, strict=True) if k]  # a repeated identifier may stand on another text too
@@ -399,7 +396,7 @@ def jaccard_join(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     spark = docs.sparkSession
     buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows, runs = describe(docs, buckets)
-    release(spark)
+
     classes = materialize(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "jaccard-classes")
     info = classes.select("node", "n", "sketch")
     runs = materialize(runs.distinct(), "jaccard-runs")
@@ -411,13 +408,13 @@ def jaccard_join(docs: DataFrame, buckets: int | None = None) -> DataFrame:
         pairs = step(members)
         pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(not_ruled_out(pairs, info), "jaccard-pairs")
-        release(spark)
+    
         if tried is not None and not pairs.limit(1).count():
             continue
         found = verified(pairs, docs, classes)
         tried, links = (pairs, found) if tried is None else (tried.unionByName(pairs), links.unionByName(found))
         components = connected_components(links, "jaccard-cc")
-        release(spark)
+    
         moved = True
     named = classes.join(components, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = components.join(named, "component").select("node", "component_id")

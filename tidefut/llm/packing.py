@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, texts_of
 
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 2048, 128, 2048
 #: Pieces that wait for a sequence, in each task.
@@ -226,9 +226,9 @@ def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, max
 
         for batch in batches:
             kind = batch.schema.field(0).type
-            keys, texts, prompts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()], batch.column(2).to_pylist()
-            for a, b in small_batches(texts):
-                for key, ids, prompt in zip(keys[a:b], encoder.encode(texts[a:b]), prompts[a:b], strict=True):
+            keys, prompts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for a, b in small_batches(batch.column(1)):
+                for key, ids, prompt in zip(keys[a:b], encoder.encode(texts_of(batch.column(1), a, b)), prompts[a:b], strict=True):
                     packer.add(key, ids + end, prompt)
                 yield from out()
         packer.pack(0)
