@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from tidefut.functions import scalars as S
 from tidefut.functions.maturity import estimate_maturity
 from tidefut.jobs import registry
+from tidefut.jobs import retrieve as R
+from tidefut.operators import continuous as C
 from tidefut.operators import merge as M
 from tidefut.operators import treatments as T
 
@@ -49,7 +51,61 @@ def test_unknown_treatment():
         T.resolve_treatment("nothing")
 
 
-@pytest.mark.parametrize("name", ["localized_numbers", "deduplicated_rows", "missing_sessions", "merged_days", "ohlcv_carried_forward", "clean_bulletins", "active_contracts"])
+QUOTES = "date date, root string, ticker string, maturity date, close double"
+
+
+def quote(day, ticker, close, root="AAA", maturity=dt.date(2025, 2, 10)):
+    return (dt.date(2025, 1, day), root, ticker, maturity, close)
+
+
+@pytest.mark.parametrize("odd", [float("nan"), float("inf"), 0.0, None, -3.0])
+def test_rolls_without_a_usable_price_change_nothing(spark, odd):
+    later = dt.date(2025, 3, 10)
+    rows = [quote(6, "AAAG25", 10.0), quote(6, "AAAH25", 11.0, maturity=later), quote(7, "AAAH25", 12.0, maturity=later), quote(7, "AAAG25", odd)]
+    rows = [(d, r, t, dt.date(2025, 1, 10) if t == "AAAG25" else m, c) for d, r, t, m, c in rows]
+    built = C.build_backward_adjusted(spark.createDataFrame(rows, QUOTES), {"s": [" aaa "]}, days_before_roll=3)
+    assert [(r.from_ticker, r.to_ticker, r.backward_factor, r.forward_factor) for r in built.rolls.collect()] == [("AAAG25", "AAAH25", 1.0, 1.0)]
+    assert {r.date.day: r.Close for r in built.rows.collect()} == {6: 10.0, 7: 12.0}
+
+
+def test_series_arguments(spark):
+    good = spark.createDataFrame([quote(6, "AAAG25", 10.0, root="aaa ")], QUOTES)
+    assert C.build_forward_adjusted(good, {"s": ["AAA"]}).rows.count() == 1
+    for bad, options in [(good.limit(0), {}), (good.drop("maturity"), {}), (good, {"days_before_roll": -1}), (good, {"days_before_roll": float("nan")}), (good, {"months": []}), (good, {"months": " "})]:
+        with pytest.raises(ValueError):
+            C.build_backward_adjusted(bad, {"s": ["AAA"]}, **options)
+
+
+def test_retrieval_errors(spark):
+    df = spark.createDataFrame([(dt.date(2024, 1, 2), "AAA", "AAAG25", 1.0)], "date date, root string, ticker string, close double")
+    assert R.get_contracts(df, [" aaag25"]).count() == 1
+    for call in (lambda: R.get_contracts(df, ["nothing"]), lambda: R.get_contracts(df.limit(0), ["AAAG25"]), lambda: R.get_bulletins(df.limit(0)), lambda: R.filter_date_range(df, start="2999-01-01"), lambda: R.filter_date_range(df, "2024-02-01", "2024-01-01")):
+        with pytest.raises(ValueError):
+            call()
+    assert R.get_bulletins(df, ["none"]).count() == 0
+
+
+def test_filling_by_other_keys(spark):
+    rows = [(dt.date(2024, 1, d), k, c) for k in "ab" for d, c in [(1, 1.0 if k == "a" else None), (2, None), (3, 3.0)]]
+    df = spark.createDataFrame(rows, "date date, market string, close double")
+    got = {(r.date.day, r.market): r.Close for r in T.treat_ohlcv_locf(df, keys=["market"]).collect()}
+    assert got == {(1, "a"): 1.0, (2, "a"): 1.0, (3, "a"): 3.0, (1, "b"): None, (2, "b"): None, (3, "b"): 3.0}
+    back = {(r.date.day, r.market): r.Close for r in T.treat_ohlcv_locf(df, keys=["market"], from_last=True).collect()}
+    assert back[(1, "b")] == 3.0 and T.treat_ohlcv_locf(df, keys=["market"], leading="drop").count() == 4
+
+
+def test_offsets_are_the_weekday_rules(spark):
+    """The literal table of maturities against the weekday functions."""
+    months = spark.sql("select explode(sequence(date'1999-01-01', date'2030-12-01', interval 1 month)) as d").selectExpr("year(d) as y", "month(d) as m")
+    y, m = F.col("y"), F.col("m")
+    rule = {"DOL": S.last_business_day(y, m), "DI1": S.first_business_day(y, m), "WIN": S.nearest_weekday(y, m, 15, 3), "CCM": S.business_day_before(y, m, 15, 1)}
+    for root, want in rule.items():
+        ticker = F.concat(F.lit(root), F.substring(F.lit(S.MONTH_LETTERS), m, F.lit(1)), F.lpad((y % 100).cast("string"), 2, "0"))
+        rows = estimate_maturity(months.select(ticker.alias("ticker"), want.alias("want"), F.make_date(y, m, F.lit(1)).alias("date")))
+        assert rows.where("maturity <> want or maturity is null").count() == 0, root
+
+
+@pytest.mark.parametrize("name", ["localized_numbers", "deduplicated_rows", "missing_sessions", "merged_days", "ohlcv_carried_forward", "clean_bulletins", "active_contracts", "many_roots_adjusted", "many_roots_active", "rolls_by_other_prices", "series_specs", "validated_quotes", "old_tickers", "month_days"])
 def test_query_matches_sql(spark, name):
     db = duckdb.connect()
     for t in ("lineitem", "part"):

@@ -39,31 +39,40 @@ def _dated(source: str) -> str:
     return f"q AS ({source}), mat AS {_MATURITY}, qm AS (SELECT q.*, mat.maturity FROM q JOIN mat USING (ticker))"
 
 
-def _series_sql(backward: bool, final: str) -> str:
+def _series_sql(backward: bool, final: str, series: dict[str, list[str]] | None = None, source: str = WEEKLY, where: str = "TRUE", price: str = "close") -> str:
     """The continuous series, by windows and joins over the weekly quotes."""
     frame = "ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING" if backward else "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    members = ", ".join(f"('{s}', '{r}')" for s, rs in (series or SERIES).items() for r in rs)
+    ratio = "CASE WHEN isfinite({a} / {b}) AND {a} / {b} > 0 THEN {a} / {b} ELSE 1.0 END"
     return f"""
-WITH {_dated(WEEKLY)},
-u AS (SELECT *, date_diff('day', date, maturity) AS dtm FROM qm),
-f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY root, date ORDER BY CASE WHEN dtm > 5 THEN 0 WHEN dtm >= 0 THEN 1 ELSE 2 END, abs(dtm), ticker) AS rn FROM u) WHERE rn = 1),
-r AS (SELECT * FROM (SELECT root, date AS switch_date, ticker AS to_ticker, lag(ticker) OVER (PARTITION BY root ORDER BY date) AS from_ticker FROM f) WHERE from_ticker <> to_ticker),
-b AS (SELECT r.root, r.switch_date, max(x.date) AS bridge_date FROM r JOIN u x ON x.ticker = r.from_ticker AND x.date <= r.switch_date JOIN u y ON y.ticker = r.to_ticker AND y.date = x.date GROUP BY r.root, r.switch_date),
-s AS (SELECT r.root AS series, r.from_ticker, r.to_ticker, r.switch_date, b.bridge_date, x.close AS from_close, y.close AS to_close,
-        coalesce(y.close / x.close, 1.0) AS backward_factor, coalesce(x.close / y.close, 1.0) AS forward_factor
-      FROM r LEFT JOIN b ON b.root = r.root AND b.switch_date = r.switch_date
-      LEFT JOIN u x ON x.ticker = r.from_ticker AND x.date = b.bridge_date LEFT JOIN u y ON y.ticker = r.to_ticker AND y.date = b.bridge_date),
-a AS (SELECT f.*, coalesce(product(coalesce(s.{"backward" if backward else "forward"}_factor, 1.0)) OVER (PARTITION BY f.root ORDER BY f.date {frame}), 1.0) AS factor
-      FROM f LEFT JOIN s ON s.series = f.root AND s.switch_date = f.date)
+WITH {_dated(source)}, m(series, root) AS (VALUES {members}),
+u AS (SELECT series, qm.*, {price} AS p, date_diff('day', date, maturity) AS dtm FROM qm JOIN m USING (root) WHERE {where}),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series, date ORDER BY CASE WHEN dtm > 5 THEN 0 WHEN dtm >= 0 THEN 1 ELSE 2 END, abs(dtm), ticker) AS rn FROM u) WHERE rn = 1),
+r AS (SELECT * FROM (SELECT series, date AS switch_date, ticker AS to_ticker, lag(ticker) OVER (PARTITION BY series ORDER BY date) AS from_ticker FROM f) WHERE from_ticker <> to_ticker),
+b AS (SELECT r.series, r.switch_date, max(x.date) AS bridge_date FROM r JOIN u x ON x.series = r.series AND x.ticker = r.from_ticker AND x.date <= r.switch_date
+      JOIN u y ON y.series = r.series AND y.ticker = r.to_ticker AND y.date = x.date GROUP BY r.series, r.switch_date),
+s AS (SELECT r.series, r.from_ticker, r.to_ticker, r.switch_date, b.bridge_date, x.p AS from_close, y.p AS to_close,
+        coalesce({ratio.format(a="y.p", b="nullif(x.p, 0)")}, 1.0) AS backward_factor, coalesce({ratio.format(a="x.p", b="nullif(y.p, 0)")}, 1.0) AS forward_factor
+      FROM r LEFT JOIN b ON b.series = r.series AND b.switch_date = r.switch_date
+      LEFT JOIN u x ON x.series = r.series AND x.ticker = r.from_ticker AND x.date = b.bridge_date LEFT JOIN u y ON y.series = r.series AND y.ticker = r.to_ticker AND y.date = b.bridge_date),
+a AS (SELECT f.*, coalesce(product(coalesce(s.{"backward" if backward else "forward"}_factor, 1.0)) OVER (PARTITION BY f.series ORDER BY f.date {frame}), 1.0) AS factor
+      FROM f LEFT JOIN s ON s.series = f.series AND s.switch_date = f.date)
 {final}"""
 
 
-_PRICES_SQL = "SELECT root AS series, date, " + ", ".join(f"round({c} * factor, 4) AS {c}_adj" for c in C.PRICES) + ", volume AS Volume, volume_qty AS Volume_Qty FROM a"
+_PRICES_SQL = "SELECT series, date, " + ", ".join(f"round({c} * factor, 4) AS {c}_adj" for c in C.PRICES) + ", volume AS Volume, volume_qty AS Volume_Qty FROM a"
+_ROLLS_SQL = "SELECT series, from_ticker, to_ticker, switch_date, bridge_date, from_close, to_close, round(backward_factor, 6) AS backward_factor, round(forward_factor, 6) AS forward_factor FROM s"
+_ACTIVE_SQL = "SELECT series, date, root, ticker, maturity, CAST(dtm AS INT) AS days_to_maturity FROM f"
 
 
 def _prices(series: C.Series) -> DataFrame:
     return series.rows.select("series", "date", *(F.round(F.col(c.capitalize()), 4).alias(f"{c}_adj") for c in C.PRICES), "Volume", "Volume_Qty")
 
 
+def _rolls(series: C.Series) -> DataFrame:
+    return series.rolls.withColumns({c: F.round(c, 6) for c in ("backward_factor", "forward_factor")})
+
+
 # ---- queries -----------------------------------------------------------------------------
 
 _FOUND: dict[str, tuple[Callable, str]] = {}
@@ -91,17 +100,71 @@ def forward_adjusted(spark, sf_dir):
     return _prices(C.build_forward_adjusted(dated(spark, sf_dir, True), SERIES))
 
 
-@register(_series_sql(True, "SELECT series, from_ticker, to_ticker, switch_date, bridge_date, from_close, to_close, round(backward_factor, 6) AS backward_factor, round(forward_factor, 6) AS forward_factor FROM s"))
+@register(_series_sql(True, _ROLLS_SQL))
 def roll_schedule(spark, sf_dir):
-    rolls = C.build_backward_adjusted(dated(spark, sf_dir, True), SERIES).rolls
-    return rolls.withColumns({c: F.round(c, 6) for c in ("backward_factor", "forward_factor")})
+    return _rolls(C.build_backward_adjusted(dated(spark, sf_dir, True), SERIES))
 
 
-@register(_series_sql(True, "SELECT root AS series, date, root, ticker, maturity, CAST(dtm AS INT) AS days_to_maturity FROM f"))
+@register(_series_sql(True, _ACTIVE_SQL))
 def active_contracts(spark, sf_dir):
     return C.build_backward_adjusted(dated(spark, sf_dir, True), SERIES).active
 
 
+#: Series of a main root and added ones, one root in two series; names as users may write them.
+MANY = {"grain": ["CCM", "ICF"], "money": ["DOL", "DI1", "WIN"], "beef": ["BGI", "CCM"]}
+_TYPED = {s: [f" {r.lower()}" for r in rs] for s, rs in MANY.items()}
+_SOME_MONTHS = "substr(ticker, 4, 1) IN ('F', 'H', 'K', 'N', 'U', 'X', 'Z')"
+
+
+@register(_series_sql(False, _PRICES_SQL, MANY, where=_SOME_MONTHS))
+def many_roots_adjusted(spark, sf_dir):
+    q = dated(spark, sf_dir, True).withColumns({"root": F.concat(F.lower("root"), F.lit(" ")), "close": F.col("close").cast("string")})
+    return _prices(C.build_forward_adjusted(q, _TYPED, months=["f", "h ", "K", "n", "u", "x", "z"]))
+
+
+@register(_series_sql(True, _ACTIVE_SQL, MANY, where=_SOME_MONTHS))
+def many_roots_active(spark, sf_dir):
+    return C.build_backward_adjusted(dated(spark, sf_dir, True), _TYPED, months="FHKNUXZ").active
+
+
+_ODD = f"""SELECT q0.* REPLACE (CASE trade_count % 6 WHEN 0 THEN NULL WHEN 1 THEN CAST('nan' AS DOUBLE) WHEN 2 THEN 0.0 WHEN 3 THEN CAST('infinity' AS DOUBLE) ELSE close END AS close),
+  CASE WHEN day(date) % 3 = 0 THEN open END AS settlement_price, CASE WHEN day(date) % 2 = 0 THEN high END AS average_price FROM ({WEEKLY}) q0"""
+
+
+@register(_series_sql(True, _ROLLS_SQL, source=_ODD, price="coalesce(CASE WHEN isnan(close) THEN NULL ELSE close END, settlement_price, average_price)"))
+def rolls_by_other_prices(spark, sf_dir):
+    """Closing prices are unknown, zero or not finite on many days; the settlement's or the average price stands in for unknown ones."""
+    n, day = F.col("trade_count") % 6, F.dayofmonth("date")
+    close = F.when(n == 0, F.lit(None).cast("double")).when(n == 1, float("nan")).when(n == 2, 0.0).when(n == 3, float("inf")).otherwise(F.col("close"))
+    other = {"settlement_price": F.when(day % 3 == 0, F.col("open")), "average_price": F.when(day % 2 == 0, F.col("high").cast("string"))}
+    return _rolls(C.build_backward_adjusted(dated(spark, sf_dir, True).withColumns({"close": close, **other}), SERIES))
+
+
+@register(f"WITH q AS ({WEEKLY}) SELECT 'forward' AS method, series, roots, 7 AS days_before_roll, 'F,Z' AS maturities, count(*) AS n_quotes FROM (VALUES ('grain', 'CCM,ICF'), ('money', 'DOL,DI1,WIN'), ('beef', 'BGI,CCM')) v(series, roots) JOIN q ON contains(roots, q.root) GROUP BY series, roots")
+def series_specs(spark, sf_dir):
+    q = dated(spark, sf_dir, True)
+    spec = C.build_forward_adjusted(q, _TYPED, days_before_roll=7.9, months=["F", " z"]).spec
+    used = q.groupBy("root").agg(F.count("*").alias("n"))
+    return spec.join(used, F.array_contains(F.split("roots", ","), F.col("root"))).groupBy(*spec.columns).agg(F.sum("n").alias("n_quotes"))
+
+
+@register(f"WITH q AS ({DAILY}) SELECT v.*, n FROM (VALUES ('good', FALSE), ('all months', FALSE), ('no close', TRUE), ('no rows', TRUE), ('days below zero', TRUE), ('no days', TRUE), ('no month', TRUE)) v(what, rejected), (SELECT count(*) AS n FROM q)")
+def validated_quotes(spark, sf_dir):
+    """Which tables and arguments the series builders reject."""
+    q = dated(spark, sf_dir)
+    cases = {"good": (q, 5, "FZ"), "all months": (q, 0, "all"), "no close": (q.drop("close"), 5, None), "no rows": (q.where("date is null"), 5, None), "days below zero": (q, -1, None), "no days": (q, None, None), "no month": (q, 5, [" "])}
+
+    def rejected(case) -> bool:
+        try:
+            C.validate_quotes(*case)
+        except ValueError:
+            return True
+        return False
+
+    found = spark.createDataFrame([(what, rejected(case)) for what, case in cases.items()], "what string, rejected boolean")
+    return found.crossJoin(q.agg(F.count("*").alias("n")))
+
+
 @register(f"WITH {_dated(DAILY)} SELECT date, root, ticker, maturity FROM qm")
 def estimated_maturity(spark, sf_dir):
     return dated(spark, sf_dir).select("date", "root", "ticker", "maturity")
@@ -148,19 +211,38 @@ def parsed_tickers(spark, sf_dir):
     return q.select("ticker", part(1).alias("root_guess"), part(2).alias("letter"), S.month_number(part(2)).alias("month"), S.contract_year(part(3)).alias("year"), S.month_code(t, list(ROOTS)).alias("code"))
 
 
-_OLD_SQL = f"""WITH q AS ({DAILY}), o AS (SELECT date, root, ticker, close FROM q WHERE root IN ('BGI', 'CCM') AND year(date) < 2000 AND right(ticker, 2) >= '90')
-SELECT date, root, ticker, close FROM o"""
-
-
-@register(_OLD_SQL)
+@register(f"WITH q AS ({DAILY}) SELECT date, root, ticker, close FROM q")
 def old_tickers(spark, sf_dir):
+    """Old cattle and grain contracts get their old names, month names in two languages; all others stay as they are."""
     names = {"F": "JAN", "G": "FEV", "H": "MAR", "J": "ABR", "K": "MAI", "M": "JUN", "N": "JUL", "Q": "AGO", "U": "SET", "V": "OUT", "X": "NOV", "Z": "DEZ"}
-    q = quotes(spark, sf_dir).where("root in ('BGI', 'CCM') and year(date) < 2000 and right(ticker, 2) >= '90'")
+    english = names | {"G": "FEB", "J": "APR", "K": "MAY", "Q": "AUG", "U": "SEP", "V": "OCT", "Z": "DEC"}
+    letter = F.substring("ticker", 4, 1)
     old_root = F.when(F.col("root") == "BGI", "BOI").otherwise("ICN")
-    q = q.select("date", old_root.alias("root"), F.concat(old_root, S.lookup(names, F.substring("ticker", 4, 1)), F.substring("ticker", 6, 1)).alias("ticker"), "close")
+    month = F.when(F.dayofmonth("date") % 2 == 0, S.lookup(names, letter)).otherwise(S.lookup(english, letter))
+    is_old = F.expr("root in ('BGI', 'CCM') and year(date) < 2000 and right(ticker, 2) >= '90'")
+    q = quotes(spark, sf_dir)
+    q = q.select("date", F.when(is_old, old_root).otherwise(F.col("root")).alias("root"), F.when(is_old, F.concat(old_root, month, F.substring("ticker", 6, 1))).otherwise(F.col("ticker")).alias("ticker"), "close")
     return M.normalize_old_tickers(q)
 
 
+@register(
+    """WITH d AS (SELECT DISTINCT CAST(year(l_shipdate) AS INT) AS y, CAST(month(l_shipdate) AS INT) AS m FROM lineitem),
+e AS (SELECT y, m, make_date(y, m, 1) AS a, CAST(make_date(y, m, 1) + INTERVAL 1 MONTH - INTERVAL 1 DAY AS DATE) AS z, make_date(y, m, 15) AS mid FROM d),
+c AS (SELECT CAST(unnest(range(DATE '1990-01-01', DATE '2001-12-31', INTERVAL 1 DAY)) AS DATE) AS x)
+SELECT y, m, (SELECT min(x) FROM c WHERE x >= a AND isodow(x) < 6) AS first_bd, (SELECT max(x) FROM c WHERE x <= z AND isodow(x) < 6) AS last_bd,
+  (SELECT max(x) FROM c WHERE x <= mid AND isodow(x) < 6) AS upto_mid, (SELECT x FROM c WHERE x < mid AND isodow(x) < 6 AND isodow(mid) < 6 ORDER BY x DESC LIMIT 1 OFFSET 1) AS two_before_weekday_mid,
+  (SELECT x FROM c WHERE isodow(x) = 3 AND abs(x - mid) <= 3) AS wednesday FROM e"""
+)
+def month_days(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.year("l_shipdate").alias("y"), F.month("l_shipdate").alias("m")).distinct()
+    y, m = F.col("y"), F.col("m")
+    weekday = S.is_business_day(F.make_date(y, m, F.lit(15)))
+    return d.select(
+        "y", "m", S.first_business_day(y, m).alias("first_bd"), S.last_business_day(y, m).alias("last_bd"), S.business_day_before(y, m, 15, 0).alias("upto_mid"),
+        F.when(weekday, S.business_day_before(y, m, 15, 2)).alias("two_before_weekday_mid"), S.nearest_weekday(y, m, 15, 3).alias("wednesday"),
+    )
+
+
 _DUP = f"""q AS ({DAILY}), dup AS (SELECT date, root, ticker, concat(ticker, CASE WHEN i = 1 AND trade_count % 2 = 0 THEN 'B' ELSE '' END) AS contract_code, i AS arrival_seq, close + i AS close FROM q, (SELECT unnest(range(0, 3)) AS i) r)"""
 
 

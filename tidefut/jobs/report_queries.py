@@ -14,6 +14,7 @@ from ..operators import merge as M
 from ..operators import treatments as T
 from ..sources import reports as P
 from ..sources import store
+from ..sources.folders import new_path
 from . import update as U
 from .quotes import DAILY, quotes
 
@@ -36,11 +37,12 @@ def _row(*cells) -> Column:
     return F.concat(F.lit("<tr>"), *(x for c in cells for x in (F.lit("<td>"), c if isinstance(c, Column) else F.lit(c), F.lit("</td>"))), F.lit("</tr>"))
 
 
-def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One page for each root and day; a page lists the few contracts of its day."""
+def rendered(spark: SparkSession, sf_dir: str, more: Column | int = 0) -> DataFrame:
+    """One page for each root and day; a page lists the few contracts of its day. ``more`` is added to closing prices."""
     day = F.dayofmonth("date") % 10
     code = F.when(F.dayofmonth("date") % 2 == 0, F.col("ticker")).otherwise(F.substring("ticker", 4, 3))
-    q = quotes(spark, sf_dir).select("date", "root", "ticker", code.alias("code"), *(localized(F.col(c)).alias(c) for c in ("open", "low", "high", "close", "volume")), *(localized(F.col(c), 0).alias(c) for c in ("volume_qty", "trade_count")))
+    q = quotes(spark, sf_dir).withColumn("close", F.col("close") + more)
+    q = q.select("date", "root", "ticker", code.alias("code"), *(localized(F.col(c)).alias(c) for c in ("open", "low", "high", "close", "volume")), *(localized(F.col(c), 0).alias(c) for c in ("volume_qty", "trade_count")))
     cell = F.struct("ticker", _row(F.col("code")).alias("c"), _row(F.concat(F.lit(" "), F.lower("code"), F.lit("&nbsp;")), "5", F.col("trade_count"), F.col("volume_qty"), F.col("volume")).alias("v"), _row(*(F.col(c) for c in ("code", "open", "low", "high", "close")), "0,50-").alias("p"))
     page = q.groupBy("root", "date").agg(F.sort_array(F.collect_list(cell)).alias("rows"), F.first(F.date_format("date", "dd/MM/yyyy")).alias("day"))
     body = lambda part: F.array_join(F.transform("rows", lambda r: r[part]), "")
@@ -166,3 +168,92 @@ def parsed_dates(spark, sf_dir):
 def sanitized_names(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_type").distinct()
     return p.select(F.col("p_type").alias("raw"), S.sanitize_name(F.concat(F.lit(" \t"), F.col("p_type"), F.lit(" (1)."))).alias("name"), S.normalize_root(F.concat(F.lit(" "), F.lower("p_type"), F.lit("\n"))).alias("root"))
+
+
+@register(f"WITH q AS ({DAILY}) SELECT date, root, ticker, greatest(ticker, substr(ticker, 4)) AS contract_code, CASE WHEN ticker > substr(ticker, 4) THEN close ELSE close - 1 END AS close FROM q WHERE {_SKIP}")
+def prepared_rows(spark, sf_dir):
+    """Each row twice, with its code in two forms."""
+    q = quotes(spark, sf_dir)
+    short = q.select("date", "root", F.concat(F.lit(" "), F.lower(F.substring("ticker", 4, 3))).alias("contract_code"), (F.col("close") - 1).alias("close"))
+    whole = q.select("date", "root", F.col("ticker").alias("contract_code"), "close")
+    skip = q.where(F.dayofmonth("date") == 13).select("root", "date").distinct()
+    return M.prepare_root_rows(short.unionByName(whole), skip).select("date", "root", "ticker", "contract_code", "close")
+
+
+@register(f"WITH q AS ({DAILY}) SELECT date, ticker, close FROM q")
+def raw_treatment(spark, sf_dir):
+    return T.resolve_treatment(" RAW")(quotes(spark, sf_dir).select("date", "ticker", "close"))
+
+
+@register(f"WITH q AS ({DAILY}) SELECT date, ticker, close, CASE WHEN trade_count % 4 = 0 THEN 0.0 ELSE close END AS other FROM q WHERE trade_count % 4 <> 0 UNION ALL SELECT date, ticker, close, -1.0 AS other FROM q")
+def resolved_treatments(spark, sf_dir):
+    """Treatments by name in any case, and one given as a function."""
+    q = quotes(spark, sf_dir)
+    zero = F.col("trade_count") % 4 == 0
+    named = T.resolve_treatment("OHLCV_drop0_tibble")(q.select("date", "ticker", F.when(zero, 0.0).otherwise(F.col("close")).alias("close")))
+    own = T.resolve_treatment(lambda df: df.withColumn("other", F.lit(-1.0)))(q.select("date", "ticker", "close"))
+    return named.select("date", "ticker", F.col("Close").alias("close"), F.col("Close").alias("other")).unionByName(own)
+
+
+@register(f"WITH q AS (SELECT DISTINCT root, date FROM ({DAILY}) x) SELECT concat(root, '_', CAST(date AS VARCHAR), '.html') AS filename, root, date FROM q WHERE day(date) IN (13, 14)")
+def stored_registry(spark, sf_dir):
+    """Written, extended by days some of which it has, and read back with lines of another form beside it."""
+    days = quotes(spark, sf_dir).select("root", "date").distinct()
+    name = F.concat("root", F.lit("_"), F.col("date").cast("string"), F.lit(".html")).alias("filename")
+    first = days.where(F.dayofmonth("date") == 13).select(name)
+    one, two = new_path(spark, "registry"), new_path(spark, "registry")
+    store.write_no_data_registry(None, first.unionByName(first), one)
+    more = days.where(F.dayofmonth("date").isin(13, 14)).select(name).unionByName(spark.createDataFrame([("# note",), (" ",), ("other.html",)], "filename string"))
+    store.write_no_data_registry(store.read_no_data_registry(spark, one), more, two)
+    return store.read_no_data_registry(spark, one, two)
+
+
+@register(f"WITH q AS ({DAILY}) SELECT date, root, ticker, CASE WHEN root = 'WIN' AND year(date) = 1996 THEN close + 1 ELSE close END AS close FROM q")
+def stored_bulletins(spark, sf_dir):
+    """All roots written, then one year of one root replaced."""
+    q = quotes(spark, sf_dir).select("date", "root", "ticker", "close")
+    path = new_path(spark, "bulletins")
+    store.write_bulletins(q, path)
+    store.write_bulletins(q.where("root = 'WIN' and year(date) = 1996").withColumn("close", F.col("close") + 1), path)
+    return store.read_bulletins(spark, path)
+
+
+@register(f"WITH q AS ({DAILY}) SELECT root, date, ticker FROM q WHERE {_GOOD} AND {_SKIP}")
+def stored_days(spark, sf_dir):
+    """Parsed pages by root and day; some days are written a second time."""
+    path = new_path(spark, "parsed")
+    pages = rendered(spark, sf_dir)
+    store.write_parsed_days(P.parse_reports(pages.where(F.month("date") < 7)), path)
+    store.write_parsed_days(P.parse_reports(pages.where(F.month("date") >= 6)), path)
+    rows = store.collect_parsed_days(spark, path, pages.where(F.dayofmonth("date") == 13))
+    return P.bulletin_rows(rows).select("root", "date", "ticker")
+
+
+@register(f"WITH q AS ({DAILY}) SELECT date, root, ticker, CASE WHEN month(date) = 3 THEN close + 1 ELSE close END AS close FROM q WHERE {_SKIP} AND {_GOOD} AND root <> 'ICF'")
+def stored_update(spark, sf_dir):
+    """The store over four runs: half of the pages; days (all of one root among them) that are skipped by now; all pages, some refreshed."""
+    folder = new_path(spark, "store")
+    pages = rendered(spark, sf_dir)
+    U.update_store(spark, pages.where(F.month("date") < 6), folder)
+    days = pages.select("root", "date")
+    skip = days.where((F.dayofmonth("date") == 13) | (F.col("root") == "ICF"))
+    name = F.concat("root", F.lit("_"), F.col("date").cast("string"), F.lit(".html")).alias("filename")
+    skip.select(name, "root", "date").write.mode("append").parquet(f"{folder}/no_data")
+    U.update_store(spark, pages.where(F.month("date") < 6), folder)
+    U.update_store(spark, pages, folder)
+    changed = rendered(spark, sf_dir, F.when(F.month("date") == 3, 1).otherwise(0))
+    U.update_store(spark, changed, folder, refresh=days.where(F.month("date") == 3))
+    return store.read_bulletins(spark, f"{folder}/bulletins").select("date", "root", "ticker", "close")
+
+
+@register(f"WITH q AS ({DAILY}) SELECT date, root, ticker, close FROM q WHERE {_SKIP} AND {_GOOD} AND month(date) >= 4")
+def rebuilt_store(spark, sf_dir):
+    """All pages stored, then rebuilt from fewer pages."""
+    folder = new_path(spark, "store")
+    pages = rendered(spark, sf_dir)
+    U.update_store(spark, pages, folder)
+    skip = pages.where(F.dayofmonth("date") == 13).select("root", "date")
+    name = F.concat("root", F.lit("_"), F.col("date").cast("string"), F.lit(".html")).alias("filename")
+    skip.select(name, "root", "date").write.mode("append").parquet(f"{folder}/no_data")
+    U.rebuild_store(spark, pages.where(F.month("date") >= 4), folder)
+    return store.read_bulletins(spark, f"{folder}/bulletins").select("date", "root", "ticker", "close")

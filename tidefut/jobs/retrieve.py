@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,22 +13,28 @@ from ..operators.treatments import resolve_treatment
 
 
 def filter_date_range(df: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Inclusive; open start, today as the default end."""
-    if start and end and start > end:
+    """Inclusive; open start, today as the default end. A start after the end is an error."""
+    until = end or dt.date.today().isoformat()
+    if start and dt.date.fromisoformat(start) > dt.date.fromisoformat(until):
         raise ValueError("start is after end")
-    until = F.lit(end).cast("date") if end else F.current_date()
-    out = df.where(F.col("date") <= until)
+    out = df.where(F.col("date") <= F.lit(until).cast("date"))
     return out.where(F.col("date") >= F.lit(start).cast("date")) if start else out
 
 
 def get_contracts(df: DataFrame, tickers: list[str], start: str | None = None, end: str | None = None, treatment="ohlcv_drop0", ordered: bool = False) -> DataFrame:
+    """Rows of the tickers, treated. An empty table, and tickers of which the table has none, are errors."""
     wanted = [t.strip().upper() for t in tickers]
-    out = filter_date_range(df.where(F.col("ticker").isin(wanted)), start, end).transform(resolve_treatment(treatment))
+    rows = df.where(F.col("ticker").isin(wanted))
+    if rows.isEmpty():
+        raise ValueError("the table is empty" if df.isEmpty() else f"no rows of {', '.join(wanted)}")
+    out = filter_date_range(rows, start, end).transform(resolve_treatment(treatment))
     return out.orderBy("date", "ticker") if ordered else out
 
 
 def get_bulletins(df: DataFrame, roots: list[str] | None = None, start: str | None = None, end: str | None = None, treatment="clean_data", ordered: bool = False) -> DataFrame:
-    """The root filter comes before old tickers are mapped."""
+    """The root filter comes before old tickers are mapped. An empty table is an error, a root without rows is not."""
+    if df.isEmpty():
+        raise ValueError("the table is empty")
     if roots:
         df = df.where(F.col("root").isin([r.strip().upper() for r in roots]))
     out = normalize_old_tickers(filter_date_range(df, start, end)).transform(resolve_treatment(treatment, aggregate=True))

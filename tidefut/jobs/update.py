@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..operators.merge import merge_days, without_days
@@ -15,6 +16,9 @@ from ..sources.reports import bulletin_rows, no_data_reports, parse_reports
 
 EMPTY = "date date, root string, contract_code string, ticker string, " + ", ".join(f"{c} double" for c in N.NUMBERS)
 
+REGISTRY = "filename string, root string, date date"
+PARSED = "root string, date date, parser_version int, parsed_at timestamp, batch string"
+
 
 @dataclass
 class Update:
@@ -50,25 +54,50 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def update_store(spark: SparkSession, reports: DataFrame, folder: str) -> None:
-    """Update the tables below ``folder``: ``parsed`` (by day), ``no_data`` and ``bulletins`` (by root).
+def update_store(spark: SparkSession, reports: DataFrame, folder: str, refresh: DataFrame | None = None) -> None:
+    """Update the tables below ``folder``: ``parsed`` (all pages ever parsed), ``no_data`` and ``bulletins`` (by root and year).
 
-    Pages are parsed once, into ``parsed``. Only roots with new pages are read and rewritten: first to a
-    staging folder, as a plan can't overwrite what it reads, then as whole root partitions, so that
-    running the job again after a failure gives the same tables.
+    Pages of new days, and those of the (root, date) rows in ``refresh``, are parsed once, into ``parsed``. Only the
+    years that have them, or a stored day that is skipped by now, are read and rewritten: first to a staging folder,
+    as a plan can't overwrite what it reads, then as whole partitions, so that running the job again after a
+    failure gives the same tables. Years that are left without rows are deleted.
     """
-    skip = _read(spark, f"{folder}/no_data", "filename string, root string, date date")
-    done = _read(spark, f"{folder}/parsed", "root string, date date, parser_version int")
+    skip = _read(spark, f"{folder}/no_data", REGISTRY)
+    done = store.latest_days(_read(spark, f"{folder}/parsed", PARSED))
+    if refresh is not None:
+        done = without_days(done, refresh)
     todo = without_days(store.stale_reports(reports, done), skip)
+    _replace_days(spark, parse_reports(todo), skip, folder, whole=False)
+
+
+def rebuild_store(spark: SparkSession, reports: DataFrame, folder: str) -> None:
+    """The bulletins again from the pages given: roots and days that these don't have go, the registry stays."""
+    skip = _read(spark, f"{folder}/no_data", REGISTRY)
+    _replace_days(spark, parse_reports(without_days(reports, skip)), skip, folder, whole=True)
+
+
+def _replace_days(spark: SparkSession, parsed: DataFrame, skip: DataFrame, folder: str, whole: bool) -> None:
+    """Parsed days take the place of the stored ones (with ``whole``, of all that is stored); skipped days and emptied years go."""
     stage = f"{folder}/staging/{uuid.uuid4().hex}"
-    parse_reports(todo).write.parquet(f"{stage}/parsed")
-    parsed = spark.read.parquet(f"{stage}/parsed")
-    touched = parsed.select("root").distinct()
-    current = _read(spark, f"{folder}/bulletins", EMPTY).join(touched, "root", "left_semi")
-    result = merged(current, parsed, skip)
-    result.bulletins.write.parquet(f"{stage}/bulletins")
-    store.write_bulletins(spark.read.parquet(f"{stage}/bulletins"), f"{folder}/bulletins")
-    result.no_data.write.mode("append").parquet(f"{folder}/no_data")
+
+    def staged(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{stage}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{stage}/{name}")
+
+    parsed = staged(parsed, "parsed")
+    year = F.year("date").alias("year")
+    current = _read(spark, f"{folder}/bulletins", EMPTY).drop("year")
+    gone = no_data_reports(parsed).select("root", "date").unionByName(skip.select("root", "date"))
+    lost = current if whole else current.join(gone, ["root", "date"], "left_semi")
+    # a page's own date may differ from its file's
+    new = parsed.select("root", F.coalesce("report_date", "date").alias("date"))
+    touched = staged(new.unionByName(lost.select("root", "date")).select("root", year).distinct(), "touched")
+    old = current.limit(0) if whole else current.withColumn("year", F.year("date")).join(touched, ["root", "year"], "left_semi").drop("year")
+    result = merged(old, parsed, skip)
+    rows, found = staged(result.bulletins, "bulletins"), staged(result.no_data, "no_data")
+    store.write_bulletins(rows, f"{folder}/bulletins")
+    store.delete_partitions(spark, f"{folder}/bulletins", touched.join(rows.select("root", year), ["root", "year"], "left_anti"))
+    found.write.mode("append").parquet(f"{folder}/no_data")
     store.write_parsed_days(parsed, f"{folder}/parsed")
 
 

@@ -23,22 +23,45 @@ class Series:
     spec: DataFrame
 
 
-def validate_quotes(df: DataFrame, days_before_roll: float) -> int:
+NUMERIC = ["open", "high", "low", "close", "volume", "volume_qty", "settlement_price", "average_price"]
+
+
+def _names(values) -> list[str]:
+    """Trimmed, in upper case, each once; blanks go."""
+    return list(dict.fromkeys(v.strip().upper() for v in values if v and v.strip()))
+
+
+def validate_quotes(df: DataFrame, days_before_roll: float, months: str | list[str] | None = None) -> tuple[int, list[str] | None]:
+    """The whole days before a roll and the month letters (None: all); wrong arguments and tables without a needed column or a row are errors."""
     missing = {"date", "root", "ticker", "maturity", "close"} - set(df.columns)
     if missing:
         raise ValueError(f"missing columns: {sorted(missing)}")
-    if days_before_roll < 0:
+    if isinstance(days_before_roll, bool) or not isinstance(days_before_roll, (int, float)) or days_before_roll != days_before_roll:
+        raise ValueError("days_before_roll must be one number")
+    if int(days_before_roll) < 0:
         raise ValueError("days_before_roll must not be negative")
-    return int(days_before_roll)
+    letters = None if months is None else _names([months] if isinstance(months, str) and months.strip().upper() == "ALL" else months)
+    if letters == []:
+        raise ValueError("months must name one month letter at least")
+    if df.isEmpty():
+        raise ValueError("no quotes")
+    return int(days_before_roll), None if letters == ["ALL"] else letters
 
 
-def select_universe(quotes: DataFrame, series: dict[str, list[str]], months: str | None = None) -> DataFrame:
-    """Rows of each series' roots with a date and a maturity; ``days_to_maturity`` added."""
-    roots = [(s, r) for s, rs in series.items() for r in rs]
+def select_universe(quotes: DataFrame, series: dict[str, list[str]], months: list[str] | None = None) -> DataFrame:
+    """Rows of each series' roots (the main one and those added) with a date and a maturity; numbers as doubles, ``days_to_maturity`` added."""
+    roots = [(s, r) for s, rs in series.items() for r in _names(rs)]
     pairs = quotes.sparkSession.createDataFrame(roots, "series string, root string")
-    out = quotes.join(F.broadcast(pairs), "root").where("date is not null and maturity is not null").withColumn("ticker", F.upper("ticker"))
+    named = quotes.withColumns({c: F.upper(F.btrim(F.col(c), F.lit(" \t\r\n"))) for c in ("root", "ticker")})
+    numbers = {c: F.col(c).try_cast("double") for c, kind in quotes.dtypes if c in NUMERIC and kind != "double"}
+    out = named.withColumns(numbers).join(F.broadcast(pairs), "root").where("date is not null and maturity is not null")  # a row for each argument
     if months:
-        out = out.where(S.month_code(F.col("ticker"), [r for _, r in roots]).isin(list(months)))
+        # the longest root of the series that a ticker begins with comes before its month
+        rest = F.col("ticker")
+        for r in sorted({r for _, r in roots}, key=len):
+            own = F.col("series").isin([s for s, x in roots if x == r])
+            rest = F.when(own & F.col("ticker").startswith(r), F.substring("ticker", len(r) + 1, 1_000)).otherwise(rest)
+        out = out.where(F.substring(rest, 1, 1).isin(months))
     # one exchange serves the choice of fronts (series, date) and the daily prices (series, date, ticker)
     return out.withColumn("days_to_maturity", F.datediff("maturity", "date")).repartition("series", "date")
 
@@ -60,20 +83,24 @@ def detect_rolls(front: DataFrame) -> DataFrame:
 def roll_schedule(rolls: DataFrame, universe: DataFrame) -> DataFrame:
     """Each roll with the last day, up to the switch, on which both contracts have rows, and the ratio of their prices there."""
     cols = ["close", *(c for c in ("settlement_price", "average_price") if c in universe.columns)]
-    price = F.coalesce(*(F.first(c, ignorenulls=True) for c in cols))
-    daily = universe.groupBy("series", "ticker", "date").agg(price.alias("p"))
+    price = F.coalesce(*(F.min(F.nanvl(c, F.lit(None).cast("double"))) for c in cols))  # of several rows of one day the least
+    ends = rolls.select("series", F.explode(F.array("from_ticker", "to_ticker")).alias("ticker")).distinct()
+    rolled = universe.select("series", "ticker", "date", *cols).join(ends, ["series", "ticker"], "left_semi")
+    daily = rolled.groupBy("series", "ticker", "date").agg(price.alias("p"))
     a = daily.select("series", F.col("ticker").alias("from_ticker"), "date", F.col("p").alias("pa"))
     b = daily.select("series", F.col("ticker").alias("to_ticker"), "date", F.col("p").alias("pb"))
     both = rolls.join(a, ["series", "from_ticker"]).where("date <= switch_date").join(b, ["series", "to_ticker", "date"])
     key = ["series", "from_ticker", "to_ticker", "switch_date"]
     bridge = both.groupBy(*key).agg(F.max_by(F.struct(F.col("date").alias("bridge_date"), F.col("pa").alias("from_close"), F.col("pb").alias("to_close")), "date").alias("x")).select(*key, "x.*")
-    ratio = lambda x, y: F.coalesce(F.when((F.col(y) != 0) & (F.col(x) / F.nullif(F.col(y), F.lit(0.0)) > 0), F.col(x) / F.nullif(F.col(y), F.lit(0.0))), F.lit(1.0))
+    usable = lambda q: F.when((q > 0) & (q < float("inf")), q)  # noqa: E731  NaN is greater than any number
+    ratio = lambda x, y: F.coalesce(usable(F.try_divide(x, y)), F.lit(1.0))
     return rolls.join(bridge, key, "left").withColumns({"backward_factor": ratio("to_close", "from_close"), "forward_factor": ratio("from_close", "to_close")})
 
 
-def adjust(quotes: DataFrame, series: dict[str, list[str]], days_before_roll: float = 5, months: str | None = None, backward: bool = True) -> Series:
-    n = validate_quotes(quotes, days_before_roll)
-    universe = select_universe(quotes, series, months)
+def adjust(quotes: DataFrame, series: dict[str, list[str]], days_before_roll: float = 5, months: str | list[str] | None = None, backward: bool = True) -> Series:
+    n, letters = validate_quotes(quotes, days_before_roll, months)
+    series = {s: _names(rs) for s, rs in series.items()}
+    universe = select_universe(quotes, series, letters)
     front = pick_front_contract(universe, n)
     rolls = roll_schedule(detect_rolls(front), universe)
     step = rolls.select("series", F.col("switch_date").alias("date"), F.col("backward_factor" if backward else "forward_factor").alias("step"))
@@ -83,7 +110,7 @@ def adjust(quotes: DataFrame, series: dict[str, list[str]], days_before_roll: fl
     have = [c for c in PRICES if c in rows.columns]
     extra = [F.col(c).alias(a) for c, a in (("volume", "Volume"), ("volume_qty", "Volume_Qty")) if c in rows.columns]
     out = rows.select("series", "date", *((F.col(c) * F.col("factor")).alias(c.capitalize()) for c in have), *extra)
-    spec = quotes.sparkSession.createDataFrame([("backward" if backward else "forward", s, ",".join(r), n, months or "all") for s, r in series.items()], "method string, series string, roots string, days_before_roll int, maturities string")
+    spec = quotes.sparkSession.createDataFrame([("backward" if backward else "forward", s, ",".join(r), n, ",".join(letters) if letters else "ALL") for s, r in series.items()], "method string, series string, roots string, days_before_roll int, maturities string")
     return Series(out, front.select("series", "date", "root", "ticker", "maturity", "days_to_maturity"), rolls, spec)
 
 
@@ -99,4 +126,4 @@ def contract_specs(df: DataFrame) -> DataFrame:
     """Cost and size columns for the roots that have a specification; null for the others."""
     # fixed values
     spec = df.sparkSession.createDataFrame([("CCM", 0.07, 10.0, 0.01, 450.0, "USD")], "spec_root string, slippage double, fees double, tick_size double, multiplier double, currency string")
-    return df.join(F.broadcast(spec), F.col("ticker").startswith(F.col("spec_root")), "left").drop("spec_root")
+    return df.join(F.broadcast(spec), F.substring("ticker", 1, 3) == F.col("spec_root"), "left").drop("spec_root")  # roots of three letters

@@ -13,7 +13,7 @@ from ..functions import scalars as S
 def dedupe_contract_rows(df: DataFrame) -> DataFrame:
     """One row for each date and ticker: the largest contract code, then the latest arrival. Partial aggregation first."""
     order = [F.coalesce("contract_code", F.lit("")), *([F.col("arrival_seq")] if "arrival_seq" in df.columns else [])]
-    row = F.max_by(F.struct(*df.columns), F.struct(*order)).alias("r")
+    row = F.max_by(F.struct(*(F.col(f"`{c}`") for c in df.columns)), F.struct(*order)).alias("r")
     return df.groupBy(F.col("date").alias("_d"), F.col("ticker").alias("_t")).agg(row).select("r.*")
 
 
@@ -26,6 +26,12 @@ def contract_keys(df: DataFrame) -> DataFrame:
     return df.withColumn("contract_code", code).withColumn("ticker", S.ticker_of(F.col("contract_code"), F.col("root")))
 
 
+def prepare_root_rows(df: DataFrame, skip: DataFrame | None = None) -> DataFrame:
+    """What a root's table holds: codes and tickers in their one form, without skipped days, one row for each date and ticker."""
+    rows = contract_keys(df) if "contract_code" in df.columns else df
+    return dedupe_contract_rows(rows if skip is None else without_days(rows, skip))
+
+
 def without_days(df: DataFrame, days: DataFrame) -> DataFrame:
     return df.join(days.select("root", "date").distinct(), ["root", "date"], "left_anti")
 
@@ -52,11 +58,8 @@ def resume_dates(reports: DataFrame, skip: DataFrame | None = None) -> DataFrame
 
 def merge_days(current: DataFrame, additions: DataFrame, skip: DataFrame | None = None) -> DataFrame:
     """Days in ``additions`` replace the same days of ``current``; skipped days go from both."""
-    kept = without_days(current, additions).withColumn("arrival_seq", F.lit(0))
-    both = kept.unionByName(additions.withColumn("arrival_seq", F.lit(1)), allowMissingColumns=True)
-    if skip is not None:
-        both = without_days(both, skip)
-    return dedupe_contract_rows(both).drop("arrival_seq")
+    kept = without_days(current, additions)
+    return prepare_root_rows(kept.unionByName(additions, allowMissingColumns=True), skip)
 
 
 def refresh_aggregate(existing: DataFrame, roots: DataFrame, selected: list[str]) -> DataFrame:

@@ -52,11 +52,11 @@ def treat_agg_standard(df: DataFrame) -> DataFrame:
     return _renamed(df, lambda c: N.sanitize(c) or c, lambda _, n: n in N.NUMERIC)
 
 
-def treat_ohlcv(df: DataFrame) -> DataFrame:
-    """date, ticker and the series columns that are there, as doubles; rows without a date go."""
+def treat_ohlcv(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """date, ticker (or ``keys``) and the series columns that are there, as doubles; rows without a date go."""
     df = treat_standard(df)
     have = [c for c in SERIES if c in df.columns]
-    keys = ["date", *(["ticker"] if "ticker" in df.columns else [])]
+    keys = ["date", *(keys or [c for c in ("ticker",) if c in df.columns])]
     return df.where("date is not null").select(*keys, *(number(df, c).alias(SERIES[c]) for c in have))
 
 
@@ -74,14 +74,18 @@ def treat_ohlcv_drop0(df: DataFrame, cols: list[str] | None = None, eps: float =
     return out.where(~_all_zero(out, cols, eps)) if cols else out
 
 
-def treat_ohlcv_locf(df: DataFrame, zero_to_na_first: bool = True, cols: list[str] | None = None, from_last: bool = False, eps: float = 0.0, leading: str = "keep") -> DataFrame:
-    """Carries the last (or next) known price of each ticker; volumes stay as they are."""
-    out = treat_ohlcv(df)
+def treat_ohlcv_locf(df: DataFrame, zero_to_na_first: bool = True, cols: list[str] | None = None, from_last: bool = False, eps: float = 0.0, leading: str = "keep", keys: list[str] | None = None) -> DataFrame:
+    """Carries the last (or next) known price of each ticker; volumes stay as they are.
+
+    Rows without a ticker are one series, which one task carries on; ``keys`` names columns that tell series apart instead.
+    """
+    out = treat_ohlcv(df, keys)
+    keys = keys or [c for c in ("ticker",) if c in out.columns]
     cols = [c for c in cols or OHLC if c in out.columns]
     if zero_to_na_first and cols:
         zero = _all_zero(out, cols, eps)
         out = out.select([F.when(~zero, F.col(c)).alias(c) if c in cols else F.col(c) for c in out.columns])
-    w = Window.partitionBy("ticker").orderBy("date") if "ticker" in out.columns else Window.orderBy("date")
+    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("date")
     frame = w.rowsBetween(0, Window.unboundedFollowing) if from_last else w.rowsBetween(Window.unboundedPreceding, 0)
     pick = F.first if from_last else F.last
     out = out.withColumns({c: pick(c, ignorenulls=True).over(frame) for c in cols})

@@ -36,8 +36,9 @@ def _has_phrase(parts: Column) -> Column:
 def no_data(content: Column) -> Column:
     """True when one text node, or one line, holds the notice."""
     raw = content.cast("string")
+    hint = F.upper(S.fold_accents(page_text(content))).contains("CONSULTADA")  # most pages lack its last word and need no more
     found = _has_phrase(F.split(page_text(content), "<[^>]*>")) | _has_phrase(F.split(raw, "<[^>]*>")) | _has_phrase(F.split(raw, r"\R"))
-    return F.coalesce(found, F.lit(False))
+    return F.coalesce(F.when(hint, found), F.lit(False))
 
 
 def root_options(html: Column) -> Column:
@@ -89,8 +90,8 @@ def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 try:
                     rows = page_rows(bytes(content or b"").decode("cp1252", "replace"))
                     status = "ok" if rows else "no_data"
-                except ValueError as error:
-                    status, message = "error", str(error)
+                except Exception as error:  # whatever is wrong with one page, the others are read
+                    status, message = "error", f"{type(error).__name__}: {error}"
             for i, cells in enumerate(rows or [None]):
                 out.append((path, root, date, stamped, status, message, i, cells))
         yield pd.DataFrame(out, columns=["path", "root", "date", "report_date", "status", "message", "row_no", "cells"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,24 +41,38 @@ def write_no_data_registry(existing: DataFrame | None, new: DataFrame, path: str
 
 
 def write_bulletins(df: DataFrame, path: str) -> None:
-    """Replaces the roots in ``df`` and leaves the others; a root's rows are spread by year over the writers."""
-    rows = df.repartition("root", F.year("date")).sortWithinPartitions("root", "date", "ticker")
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("root").parquet(path)
+    """Replaces the (root, year) partitions that ``df`` has and leaves the others."""
+    rows = df.withColumn("year", F.year("date")).repartition("root", "year").sortWithinPartitions("root", "year", "date", "ticker")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("root", "year").parquet(path)
+
+
+def delete_partitions(spark: SparkSession, path: str, gone: DataFrame) -> None:
+    """Deletes partition folders: one for each row of ``gone``, named by its columns in order."""
+    parts = [F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in gone.columns]
+    for row in gone.select(F.concat_ws("/", *parts).alias("part")).distinct().toLocalIterator():
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{row['part']}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def read_bulletins(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).drop("year")
 
 
 def write_parsed_days(parsed: DataFrame, path: str) -> None:
-    """Replaces the (root, date) partitions that ``parsed`` has."""
-    rows = parsed.withColumn("parsed_at", F.current_timestamp()).repartition("root", F.year("date"))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("root", "date").parquet(path)
+    """Appends the pages of ``parsed``; of a day parsed more than once, the last time counts. Few files, however many days."""
+    rows = parsed.withColumns({"parsed_at": F.current_timestamp(), "batch": F.lit(uuid.uuid4().hex)})
+    rows.repartition("root").sortWithinPartitions("root", "date", "row_no").write.mode("append").partitionBy("root").parquet(path)
+
+
+def latest_days(rows: DataFrame) -> DataFrame:
+    """Of each root and day, the rows of the last time it was parsed."""
+    last = rows.groupBy("root", "date").agg(F.max(F.struct("parsed_at", "batch")).alias("last")).select("root", "date", "last.*")
+    return rows.join(last, ["root", "date", "parsed_at", "batch"], "left_semi")
 
 
 def collect_parsed_days(spark: SparkSession, path: str, skip: DataFrame | None = None) -> DataFrame:
     """Parsed rows with data, without skipped days."""
-    rows = spark.read.parquet(path).where("status = 'ok'")
+    rows = latest_days(spark.read.parquet(path)).where("status = 'ok'")
     return without_days(rows, skip) if skip is not None else rows
 
 
