@@ -7,12 +7,8 @@ cuts lineage, so a lost executor costs a re-read and no recomputation.
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,26 +16,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MASK = (1 << 64) - 1
-
-
-@lru_cache(maxsize=1)
-def _one_process_dir() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; a temporary one only where all of Spark runs in one process."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = _one_process_dir()
-    return base.rstrip("/")
+from ..sources.folders import new_path
 
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+MASK = (1 << 64) - 1
 
 
 @contextmanager
@@ -65,6 +44,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each made longer until no column of the table is called so."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete a table that ``materialize`` wrote, when nothing reads it any more."""
     spark = df.sparkSession
@@ -123,7 +113,7 @@ class WordTable:
 
     LONGEST = 64
 
-    def __init__(self, compute: Callable[[list], tuple[np.ndarray, ...]], limit: int = 400_000):
+    def __init__(self, compute: Callable[[list], tuple[np.ndarray, ...]], limit: int = 800_000):
         self.compute, self.limit = compute, limit
         self.clear()
 
@@ -199,6 +189,27 @@ def key_groups(batches, keys: int) -> Iterator[pa.RecordBatch]:
         yield pa.concat_batches(held)
 
 
+def whole_groups(batches, keys: int) -> Iterator[pa.RecordBatch]:
+    """The rows again, such that no batch ends inside a group of equal values in the first ``keys`` columns."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)], axis=1)
+        cuts = np.flatnonzero((cols[1:] != cols[:-1]).any(axis=1)) + 1
+        first = int(cuts[-1]) if len(cuts) else 0
+        if held:
+            last = tuple(held[-1].column(k)[-1].as_py() for k in range(keys))
+            if not len(cuts) and last == tuple(cols[0].tolist()):
+                held.append(batch)
+                continue
+        if held or first:
+            yield pa.concat_batches([*held, batch.slice(0, first)])
+        held = [batch.slice(first)]
+    if held:
+        yield pa.concat_batches(held)
+
+
 def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """(node, component) of every node with a link: the smallest node reachable over ``a``-``b``.
 

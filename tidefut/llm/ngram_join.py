@@ -3,25 +3,28 @@
 A document's set is its distinct five-word shingles (hashed to 64 bits). Sets fall into size
 bands; two sets of Jaccard similarity 0.8 or more are in the same band or in neighbouring
 ones, and differ in at most ``k`` shingles, where ``k`` follows from the band's upper size.
-For each band that a set may meet partners in, the shingle domain is divided into
-``k + 1 + spare`` partitions by a hash, and the part of the set in each partition is one
-signature: the differences touch at most ``k`` partitions, so at least ``1 + spare``
-partitions agree. A set with that many empty partitions could agree on empty ones alone, so
+For each band that a set may meet partners in, a hash divides the shingle domain into groups
+of three partitions, and each two partitions of a group are enumerated: the part of the set in
+both of them is one signature. The differences touch at most ``k`` partitions, and it takes two
+of a group to change all of its three signatures, so at least ``groups - k // 2`` groups keep one.
+A set with that many groups that have two empty partitions could agree on empty ones alone, so
 it also signs under further, independent divisions. Sets that share no signature can't link.
 
-Signatures are packed by hash range and dealt out by Spark. Each set is first compared with
-the least set of the runs that most of its signatures fall into, then with the least of its
-other runs where those are not connected yet (stars, not all pairs), and the components of
-the links found so far are then checked for completeness: of sets that share a signature,
-those still in different components are compared with one another, in square blocks of
-bounded size. Sizes, and a parity sketch whose distance never exceeds the true one, rule
-out most pairs; the others are verified on the full sets. Copies of one set are one node throughout.
+Spark deals the signatures out by their value; a task reads its own in order, a stream of rows
+whatever the size of a group. Each set is first compared with the least set of the runs that most
+of its signatures fall into, then with the least of its other runs where those are not connected
+yet (stars, not all pairs), and the components of the links found so far are then checked for
+completeness: of sets that share a signature, those still in different components are compared
+with one another, in square blocks of bounded size. Sizes, and a parity sketch whose distance
+never exceeds the true one, rule out most pairs; the others are verified on the full sets. Copies
+of one set are one node throughout. A node is named by 64 bits of its set's 128-bit hash; names
+that two sets share are told apart by the other half.
 
 Words are runs of bytes other than white space after lower-casing A-Z; a text of fewer than
 five words is one shingle; null texts and texts without words have an empty set and link
 with nothing. Very long texts are taken whole. Rows that repeat an identifier or a text are
-copies of one set, the smallest identifier names the class; an empty table gives an empty
-result; other columns are ignored.
+copies of one set, the smallest identifier names the class; pairs exactly at the limit link; an
+empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,38 +34,44 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, connected_components, drop_table, key_groups, materialize, mix64, small_batches, texts_of
-from .exact_dedup import BROADCAST_IDS
+from .common import WordTable, connected_components, drop_table, materialize, mix64, small_batches, texts_of, whole_groups
 
 WIDTH = 5
 #: Jaccard similarity as a fraction of whole numbers.
 NUM, DEN = 80, 100
-BAND = 1.6
+BAND = 1.4
 LEVELS = 4
 #: Bits of the smallest and largest sketch of a set, powers of two; between them, two to four bits a shingle.
 CELLS, MOST_CELLS = 256, 1 << 16
 #: Members of one run that are compared in one block with one another.
 SQUARE = 1024
+#: Runs of so few members are compared many at a time.
+SMALL = 48
 #: Pairs of one set in a block that are verified before all that are left.
 NEAREST = 2
+#: Sets to be verified are looked up by a broadcast up to so many (32 bytes each, and the identifier); more by a shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Names that sets of different hashes share; by chance, none in a thousand tables of 10^8 sets.
+MOST_CLASHES = 10_000
 
 
 @lru_cache(maxsize=None)
 def bands(largest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lower sizes, differences allowed, and partitions, of bands up to ``largest`` and one more."""
-    low, diff, parts, lo = [], [], [], 1
+    """Lower sizes, differences allowed, and groups of partitions, of bands up to ``largest`` and one more."""
+    low, diff, groups, lo = [], [], [], 1
     while not low or low[-1] <= largest:
         hi = max(lo, int(lo * BAND))
         k = 2 * hi * (DEN - NUM) // (DEN + NUM)
         low.append(lo)
         diff.append(k)
-        parts.append(1 if k == 0 else k + 1 + max(2, -(-8 * k // 100)))
+        groups.append(k // 2 + 1 + max(1, -(-k // 10)))
         lo = hi + 1
-    return np.array(low), np.array(diff), np.array(parts)
+    return np.array(low), np.array(diff), np.array(groups)
 
 
 def word_hashes(words: list[bytes]) -> tuple[np.ndarray]:
@@ -103,7 +112,7 @@ def set_hash(h: np.ndarray) -> tuple[int, int]:
 def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """All signatures of all sets, and the position of the set of each."""
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    low, diff, parts = bands(int(sizes.max()) if len(sizes) else 1)
+    low, diff, groups = bands(int(sizes.max()) if len(sizes) else 1)
     own = np.searchsorted(low, sizes, "right") - 1
     upper = (own + 1 < len(low)) & (sizes * DEN // NUM >= low[np.minimum(own + 1, len(low) - 1)])
     docs = np.concatenate([np.flatnonzero(sizes > 0), np.flatnonzero((sizes > 0) & upper)])
@@ -112,21 +121,27 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     for level in range(LEVELS):
         if not len(docs):
             break
-        n, p, k = sizes[docs], parts[band], diff[band]
+        n, g, k = sizes[docs], groups[band], diff[band]
+        p = 3 * g
         h = np.concatenate([sets[i] for i in docs])
         each = np.repeat(np.arange(len(docs)), n)
         place = ((mix64(h, 100 + level) >> np.uint64(32)) * p[each].astype(np.uint64)) >> np.uint64(32)
-        first = np.cumsum(p) - p
-        slot = first[each] + place.astype(np.int64)
-        total = np.zeros(int(p.sum()), np.uint64)
-        np.add.at(total, slot, mix64(h, 200 + level))
-        filled = np.bincount(slot, minlength=len(total)) > 0
-        of = np.repeat(np.arange(len(docs)), p)
-        tag = (np.arange(len(total)) - first[of]).astype(np.uint64) + (band[of].astype(np.uint64) << np.uint64(32)) + np.uint64(level << 56)
-        found.append(mix64(total + mix64(tag, 17), 19)[filled])
-        owners.append(docs[of[filled]])
-        empty = p - np.bincount(of[filled], minlength=len(docs))
-        again = empty >= p - k
+        slot = (np.cumsum(p) - p)[each] + place.astype(np.int64)
+        order = np.argsort(slot, kind="stable")
+        starts = np.flatnonzero(np.append(True, np.diff(slot[order]) > 0))
+        total, filled = np.zeros(int(p.sum()), np.uint64), np.zeros(int(p.sum()), bool)
+        total[slot[order][starts]] = np.add.reduceat(mix64(h[order], 200 + level), starts)
+        filled[slot] = True
+        total, filled = total.reshape(-1, 3), filled.reshape(-1, 3)
+        of = np.repeat(np.arange(len(docs)), g)
+        tag = (np.arange(len(of)) - (np.cumsum(g) - g)[of]).astype(np.uint64) + (band[of].astype(np.uint64) << np.uint64(40)) + np.uint64(level << 56)
+        for i, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
+            some = filled[:, a] | filled[:, b]
+            both = total[some, a] + mix64(total[some, b], 53) + mix64(tag[some], 59 + i)
+            found.append(mix64(both, 19))
+            owners.append(docs[of[some]])
+        weak = np.bincount(of, filled.sum(axis=1) < 2, len(docs))
+        again = weak >= g - k // 2
         docs, band = docs[again], band[again]
     if len(docs):  # no division separated them: one signature for all of the band
         found.append(mix64(band.astype(np.uint64), 23))
@@ -170,45 +185,72 @@ def near(raw: list[np.ndarray], n: np.ndarray, i: np.ndarray, j: np.ndarray) ->
     return room
 
 
-def packed(sets: list[np.ndarray], nodes: np.ndarray, buckets: int) -> Iterator[dict]:
-    """Signatures by hash range: sorted, as differences, in byte planes, which compress well."""
-    sig, of = signatures(sets)
-    order = np.argsort(sig)
-    sig, of = sig[order], of[order]
-    bucket = ((sig >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    cuts = np.searchsorted(bucket, np.arange(buckets + 1).astype(np.uint64))
-    for b in range(buckets):
-        x, y = cuts[b], cuts[b + 1]
-        if x < y:
-            names, idx = np.unique(of[x:y], return_inverse=True)
-            gaps = np.diff(sig[x:y], prepend=np.uint64(0))
-            planes = gaps.view(np.uint8).reshape(-1, 8).T.tobytes()
-            yield {"bucket": b, "sigs": planes, "idx": idx.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), "nodes": nodes[names].tobytes()}
-
-
-def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(row["sigs"], np.uint8).reshape(8, -1)
-    sig = np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
-    idx = np.ascontiguousarray(np.frombuffer(row["idx"], np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
-    return sig, np.frombuffer(row["nodes"], np.int64)[idx]
-
-
-def shared_runs(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    """Members of signatures that several sets share, as (key of the run, node); runs with the same members once."""
-    sig, node = (np.concatenate(p) for p in zip(*map(unpacked, rows), strict=True))
-    order = np.lexsort((node, sig))
-    sig, node = sig[order], node[order]
-    once = np.append(True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]))
-    sig, node = sig[once], node[once]
-    starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-    sizes = np.diff(np.append(starts, len(sig)))
-    key = np.add.reduceat(mix64(node.view(np.uint64), 41), starts)
-    keep = np.zeros(len(starts), bool)
-    keep[np.unique(key, return_index=True)[1]] = True
-    keep &= sizes > 1
-    each = np.repeat(np.arange(len(starts)), sizes)
-    ok = keep[each]
-    return mix64(key, 43)[each[ok]].view(np.int64), node[ok]
+def described(texts: list[str], table: WordTable) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """Signatures of the texts' sets with the names of their sets (copies in a batch give them once), and each text's set size, name (both halves) and sketch."""
+    sets = shingle_sets(texts, table)
+    names = np.array([set_hash(h) for h in sets], np.uint64).reshape(-1, 2)
+    once = np.unique(names, axis=0, return_index=True)[1]
+    sig, of = signatures([sets[i] for i in once])
+    names = names.view(np.int64)
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    return sig.view(np.int64), names[once[of], 0], names, [sketch(h) for h in sets], sizes
+
+
+def shared_runs(batches, streamed: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """From signatures in order, members of those that several sets share, as (key of the run, node).
+
+    Runs with the same members have the same key. A run of more than ``streamed`` members, of
+    which a batch holds a part only, goes out as it comes, under its signature.
+    """
+    sig, node, open_run = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+    for batch in _and_end(batches):
+        if batch is not None:
+            sig, node = (np.concatenate([x, batch.column(k).to_numpy()]) for k, x in enumerate((sig, node)))
+        if not len(sig):
+            continue
+        once = np.append(True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]))
+        sig, node = sig[once], node[once]
+        starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+        if open_run:  # the first row was sent before; what follows with its signature belongs to its run
+            end = starts[1] if len(starts) > 1 else len(sig)
+            if end > 1:
+                yield mix64(sig[1:end].view(np.uint64), 47).view(np.int64), node[1:end]
+            if end == len(sig) and batch is not None:
+                sig, node = sig[-1:], node[-1:]
+                continue
+            sig, node, open_run = sig[end:], node[end:], False
+            starts = starts[1:] - end
+            if not len(sig):
+                continue
+        cut = len(sig) if batch is None else starts[-1]
+        if cut:
+            full = starts[starts < cut]
+            sizes = np.diff(np.append(full, cut))
+            key = np.add.reduceat(mix64(node[:cut].view(np.uint64), 41), full)
+            keep = np.zeros(len(full), bool)
+            keep[np.unique(key, return_index=True)[1]] = True
+            ok = np.repeat(keep & (sizes > 1), sizes)
+            yield mix64(np.repeat(key, sizes)[ok], 43).view(np.int64), node[:cut][ok]
+        sig, node = sig[cut:], node[cut:]
+        if len(sig) > streamed:
+            yield mix64(sig.view(np.uint64), 47).view(np.int64), node
+            sig, node, open_run = sig[-1:], node[-1:], True
+
+
+def _and_end(batches):
+    yield from batches
+    yield None
+
+
+def nearest_of(a: np.ndarray, b: np.ndarray, room: np.ndarray, nearest: int) -> np.ndarray:
+    """Positions of the pairs that are among the ``nearest`` ones of one of their ends."""
+    if not len(a):
+        return np.zeros(0, np.int64)
+    end, pair = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2)
+    order = np.lexsort((-room[pair], end))
+    starts = np.flatnonzero(np.append(True, end[order][1:] != end[order][:-1]))
+    rank = np.arange(len(end)) - np.repeat(starts, np.diff(np.append(starts, len(end))))
+    return np.unique(pair[order][rank < nearest])
 
 
 def block_pairs(node: np.ndarray, n: np.ndarray, group: np.ndarray, raw: list[np.ndarray], side: np.ndarray, nearest: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -238,73 +280,70 @@ def block_pairs(node: np.ndarray, n: np.ndarray, group: np.ndarray, raw: list[np
         b.append(x + j[fine])
         room.append(score[fine])
     a, b, room = np.concatenate(a), np.concatenate(b), np.concatenate(room)
-    if nearest is not None and len(a):
-        end, pair = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2)
-        order = np.lexsort((-room[pair], end))
-        starts = np.flatnonzero(np.append(True, end[order][1:] != end[order][:-1]))
-        rank = np.arange(len(end)) - np.repeat(starts, np.diff(np.append(starts, len(end))))
-        best = np.unique(pair[order][rank < nearest])
+    if nearest is not None:
+        best = nearest_of(a, b, room, nearest)
         a, b = a[best], b[best]
     return np.maximum(node[a], node[b]), np.minimum(node[a], node[b])
 
 
-PACKED = "bucket int, sigs binary, idx binary, nodes binary"
+def describe(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, node, node2, sketch, name) of every row, and (run, node) of signatures that several sets share; one pass over the texts.
 
-
-def describe(docs: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, node, node2, sketch) of every row, and (run, node) of shared signatures; one pass over the texts."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    own = [("n", pa.int64()), ("node", pa.int64()), ("node2", pa.int64()), ("sketch", pa.binary())]
-    blobs = [("bucket", pa.int32()), ("sigs", pa.binary()), ("idx", pa.binary()), ("nodes", pa.binary())]
+    ``node`` is ``name`` unless two sets share that.
+    """
+    field = docs.schema["doc_id"].dataType.simpleString()
+    kinds = [("node", pa.int64()), ("n", pa.int64()), ("node2", pa.int64()), ("sketch", pa.binary())]
+    names = ["sig", *(c for c, _ in kinds), "doc_id"]
 
     def signed(batches):
         table = WordTable(word_hashes)
         for batch in batches:
-            doc = batch.schema.field(0).type
             for a, b in small_batches(batch.column(1)):
-                sets = shingle_sets(texts_of(batch.column(1), a, b), table)
-                names = np.array([set_hash(h) for h in sets], np.uint64).reshape(-1, 2).view(np.int64)
-                once = np.unique(names[:, 0], return_index=True)[1]
-                rows = list(packed([sets[i] for i in once], np.ascontiguousarray(names[once, 0]), buckets))
-                part = pa.RecordBatch.from_pylist(rows, pa.schema(blobs))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.nulls(len(rows), doc), *(pa.nulls(len(rows), t) for _, t in own)], names=[*part.schema.names, "doc_id", *(c for c, _ in own)])
-                m = b - a
-                values = [np.fromiter(map(len, sets), np.int64, m), names[:, 0], names[:, 1], [sketch(h) for h in sets]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((np.arange(m) % buckets).astype(np.int32)), *(pa.nulls(m, t) for _, t in blobs[1:]), batch.column(0).slice(a, m), *(pa.array(v, t) for v, (_, t) in zip(values, own, strict=True))],
-                    names=[*(c for c, _ in blobs), "doc_id", *(c for c, _ in own)],
-                )
+                sig, of, own, sketches, sizes = described(texts_of(batch.column(1), a, b), table)
+                for i in range(0, len(sig), 200_000):
+                    part = [pa.array(sig[i : i + 200_000]), pa.array(of[i : i + 200_000])]
+                    yield pa.RecordBatch.from_arrays([*part, *(pa.nulls(len(part[0]), t) for _, t in kinds[1:]), pa.nulls(len(part[0]), batch.column(0).type)], names=names)
+                spread = mix64(np.arange(b - a).astype(np.uint64), 67) + mix64(own[:, 0].view(np.uint64), 71)
+                values = [own[:, 0], sizes, own[:, 1], sketches]
+                yield pa.RecordBatch.from_arrays([pa.array(spread.view(np.int64)), *(pa.array(v, t) for v, (_, t) in zip(values, kinds, strict=True)), batch.column(0).slice(a, b - a)], names=names)
 
     def shared(batches):
-        doc = None
-        for rows in _by_bucket(batches):
-            doc = rows[0][1]
-            plain = [r for r, _ in rows if r["sigs"] is None]
-            if plain:
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(plain), pa.int64()), *(pa.array([r[c] for r in plain], t) for c, t in [("node", pa.int64()), ("doc_id", doc), ("n", pa.int64()), ("node2", pa.int64()), ("sketch", pa.binary())])], names=out)
-            full = [r for r, _ in rows if r["sigs"] is not None]
-            if full:
-                run, node = shared_runs(full)
-                yield pa.RecordBatch.from_arrays([pa.array(run), pa.array(node), pa.nulls(len(run), doc), pa.nulls(len(run), pa.int64()), pa.nulls(len(run), pa.int64()), pa.nulls(len(run), pa.binary())], names=out)
-
-    out = ["run", "node", "doc_id", "n", "node2", "sketch"]
-    rows = docs.select("doc_id", "text").mapInArrow(signed, f"{PACKED}, doc_id {kind}, n long, node long, node2 long, sketch binary")
-    rows = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    both = materialize(rows.mapInArrow(shared, f"run long, node long, doc_id {kind}, n long, node2 long, sketch binary"), "jaccard-pass")
-    return both.where("run is null").drop("run"), both.where("run is not null").select("run", "node")
-
-
-def _by_bucket(batches) -> Iterator[list[tuple[dict, pa.DataType]]]:
-    held: list = []
-    for batch in batches:
-        doc = batch.schema.field("doc_id").type
-        for row in batch.to_pylist():
-            if held and held[0][0]["bucket"] != row["bucket"]:
-                yield held
-                held = []
-            held.append((row, doc))
-    if held:
-        yield held
+        own: list[pa.RecordBatch] = []
+
+        def signatures_only():
+            for batch in batches:
+                described = pc.is_valid(batch.column("n"))
+                own.append(batch.filter(described))
+                yield batch.filter(pc.invert(described)).select(["sig", "node"])
+
+        def rows():
+            while own:
+                got = own.pop()
+                if got.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.nulls(got.num_rows, pa.int64()), *got.columns[1:]], names=["run", *names[1:]])
+
+        kind = None
+        for run, node in shared_runs(signatures_only()):
+            kind = kind or own[0].schema.field("doc_id").type
+            yield from rows()
+            yield pa.RecordBatch.from_arrays([pa.array(run), pa.array(node), *(pa.nulls(len(run), t) for _, t in kinds[1:]), pa.nulls(len(run), kind)], names=["run", *names[1:]])
+        yield from rows()
+
+    schema = f"long, node long, n long, node2 long, sketch binary, doc_id {field}"
+    rows = docs.select("doc_id", "text").mapInArrow(signed, f"sig {schema}").repartition("sig").sortWithinPartitions("sig", "node")
+    both = materialize(rows.mapInArrow(shared, f"run {schema}"), "jaccard-pass")
+    rows, runs = both.where("run is null").drop("run").withColumn("name", F.col("node")), both.where("run is not null").select("run", "node").distinct()
+    while True:
+        halves = rows.where("n > 0").groupBy("node").agg(F.min("node2").alias("lo"), F.max("node2").alias("hi"))
+        clash = [r["node"] for r in halves.where("lo <> hi").limit(MOST_CLASHES + 1).collect()]
+        if not clash:
+            break
+        if len(clash) > MOST_CLASHES:
+            raise ValueError("64 bits don't tell these sets apart")
+        rows = rows.withColumn("node", F.when(F.col("node").isin(clash), F.xxhash64("node", "node2")).otherwise(F.col("node")))
+        named = rows.where(F.col("name") != F.col("node")).select("name", F.col("node").alias("other")).distinct()
+        runs = both.where("run is not null").select("run", "node").distinct().join(named, F.col("node") == F.col("name"), "left").select("run", F.coalesce("other", "node").alias("node"))
+    return rows, materialize(runs, "jaccard-runs")
 
 
 def not_ruled_out(pairs: DataFrame, info: DataFrame) -> DataFrame:
@@ -325,21 +364,22 @@ def not_ruled_out(pairs: DataFrame, info: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, n, shingles) for wanted (doc_id, node) rows, from the whole texts again."""
-    small = wanted.count() <= BROADCAST_IDS
-    rows = docs.select(F.col("doc_id").alias("_d"), "text").join(F.broadcast(wanted) if small else wanted, F.col("_d").eqNullSafe(F.col("doc_id"))).select("node", "text")
+    """(node, n, shingles) for wanted (doc_id, node, name, node2) rows, from the whole texts again."""
+    small = wanted.count() <= BROADCAST_ROWS
+    rows = docs.select(F.col("doc_id").alias("own_id"), "text").join(F.broadcast(wanted) if small else wanted, F.col("own_id").eqNullSafe(F.col("doc_id"))).select("node", "text", "name", "node2")
 
     def measured(batches):
         table = WordTable(word_hashes)
         for batch in batches:
+            node, name, other = (batch.column(k).to_numpy() for k in (0, 2, 3))
             for a, b in small_batches(batch.column(1)):
                 sets = shingle_sets(texts_of(batch.column(1), a, b), table)
-                named = np.array([set_hash(h)[0] for h in sets], np.uint64).view(np.int64)
-                ok = named == batch.column(0).slice(a, b - a).to_numpy()
+                named = np.array([set_hash(h) for h in sets], np.uint64).reshape(-1, 2).view(np.int64)
+                ok = (named[:, 0] == name[a:b]) & (named[:, 1] == other[a:b])
                 sets = [h for h, k in zip(sets, ok, strict=True) if k]  # a repeated identifier may stand on another text too
                 values = pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))
                 offsets = pa.array(np.append(0, np.cumsum([len(h) for h in sets])).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(named[ok]), pa.array([len(h) for h in sets], pa.int64()), pa.ListArray.from_arrays(offsets, values)], names=["node", "n", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[a:b][ok]), pa.array([len(h) for h in sets], pa.int64()), pa.ListArray.from_arrays(offsets, values)], names=["node", "n", "shingles"])
 
     return rows.mapInArrow(measured, "node long, n long, shingles array<long>")
 
@@ -347,7 +387,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = materialize(sets_of(docs, classes.join(ends, "node", "left_semi").select("doc_id", "node")).dropDuplicates(["node"]), "jaccard-sets")
+    sets = materialize(sets_of(docs, classes.join(ends, "node", "left_semi").select("doc_id", "node", "name", "node2")).dropDuplicates(["node"]), "jaccard-sets")
     x = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     y = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
@@ -381,25 +421,55 @@ def unconnected(named: DataFrame, info: DataFrame, nearest: int | None) -> DataF
     dealt = dealt.select("run", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), "node", "n", "grp", "sketch", (F.col("cell") > F.col("other")).cast("int").alias("side"))
 
     def compared(batches):
-        for g in key_groups(batches, 3):
-            if g.num_rows > 1:
-                raw = [np.frombuffer(x, np.uint8) for x in g.column(6).to_pylist()]
-                a, b = block_pairs(*(g.column(k).to_numpy() for k in (3, 4, 5)), raw, g.column(7).to_numpy(), nearest)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        for part in whole_groups(batches, 3):
+            a, b = group_pairs(part, nearest)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(compared, "a long, b long").distinct()
 
 
-def jaccard_join(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+def group_pairs(part: pa.RecordBatch, nearest: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """``block_pairs`` of each group (of equal run, i and j) of a batch; small groups all at once."""
+    run, i, j, node, n, grp, side = (part.column(k).to_numpy() for k in (0, 1, 2, 3, 4, 5, 7))
+    raw = [np.frombuffer(x, np.uint8) for x in part.column(6).to_pylist()]
+    starts = np.flatnonzero(np.append(True, (run[1:] != run[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+    sizes = np.diff(np.append(starts, len(run)))
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for s, m in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+        at = slice(s, s + m)
+        a, b = block_pairs(node[at], n[at], grp[at], raw[at], side[at], nearest)
+        left.append(a)
+        right.append(b)
+    rows = np.flatnonzero(np.repeat(sizes <= SMALL, sizes))
+    if len(rows):
+        gid = np.repeat(np.arange(len(sizes)), sizes)
+        across = np.repeat(np.maximum.reduceat(side, starts) != np.minimum.reduceat(side, starts), sizes)
+        ends = np.repeat(starts + sizes, sizes)
+        later = (ends - np.arange(len(run)) - 1)[rows]
+        x = np.repeat(rows, later)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(later) - later, later)
+        ok = (gid[x] == gid[y]) & (grp[x] != grp[y]) & (np.minimum(n[x], n[y]) * DEN >= np.maximum(n[x], n[y]) * NUM) & (~across[x] | (side[x] != side[y]))
+        x, y = x[ok], y[ok]
+        a, b = np.maximum(node[x], node[y]), np.minimum(node[x], node[y])
+        order = np.lexsort((b, a))
+        once = order[np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]))] if len(order) else order
+        x, y, a, b = x[once], y[once], a[once], b[once]
+        room = near(raw, n, x, y)
+        a, b, room = a[room >= 0], b[room >= 0], room[room >= 0]
+        if nearest is not None:
+            best = nearest_of(a, b, room, nearest)
+            a, b = a[best], b[best]
+        left.append(a)
+        right.append(b)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def jaccard_join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
-    spark = docs.sparkSession
-    buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows, runs = describe(docs, buckets)
-
-    classes = materialize(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "jaccard-classes")
+    rows, runs = describe(docs)
+    classes = materialize(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("name").alias("name"), F.min("node2").alias("node2")), "jaccard-classes")
     info = classes.select("node", "n", "sketch")
-    runs = materialize(runs.distinct(), "jaccard-runs")
     members, tried, links, moved = runs.withColumn("grp", F.col("node")), None, None, False
     # stars first, then each set's nearest ones in other components, then all that is left: only this last step decides completeness
     for step in (lambda m: starred(m, True), lambda m: starred(m, False), lambda m: unconnected(m, info, NEAREST), lambda m: unconnected(m, info, None)):
@@ -408,13 +478,11 @@ def jaccard_join(docs: DataFrame, buckets: int | None = None) -> DataFrame:
         pairs = step(members)
         pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(not_ruled_out(pairs, info), "jaccard-pairs")
-    
         if tried is not None and not pairs.limit(1).count():
             continue
         found = verified(pairs, docs, classes)
         tried, links = (pairs, found) if tried is None else (tried.unionByName(pairs), links.unionByName(found))
         components = connected_components(links, "jaccard-cc")
-    
         moved = True
     named = classes.join(components, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = components.join(named, "component").select("node", "component_id")
