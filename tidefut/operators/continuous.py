@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import scalars as S
+from ..sources.folders import new_path
 
 PRICES = ["open", "high", "low", "close"]
 
@@ -31,7 +31,7 @@ def _names(values) -> list[str]:
     return list(dict.fromkeys(v.strip().upper() for v in values if v and v.strip()))
 
 
-def validate_quotes(df: DataFrame, days_before_roll: float, months: str | list[str] | None = None) -> tuple[int, list[str] | None]:
+def validate_quotes(df: DataFrame, days_before_roll: float, months: str | list[str] | None = None, rows: bool = True) -> tuple[int, list[str] | None]:
     """The whole days before a roll and the month letters (None: all); wrong arguments and tables without a needed column or a row are errors."""
     missing = {"date", "root", "ticker", "maturity", "close"} - set(df.columns)
     if missing:
@@ -43,18 +43,22 @@ def validate_quotes(df: DataFrame, days_before_roll: float, months: str | list[s
     letters = None if months is None else _names([months] if isinstance(months, str) and months.strip().upper() == "ALL" else months)
     if letters == []:
         raise ValueError("months must name one month letter at least")
-    if df.isEmpty():
+    if rows and df.isEmpty():
         raise ValueError("no quotes")
     return int(days_before_roll), None if letters == ["ALL"] else letters
 
 
-def select_universe(quotes: DataFrame, series: dict[str, list[str]], months: list[str] | None = None) -> DataFrame:
-    """Rows of each series' roots (the main one and those added) with a date and a maturity; numbers as doubles, ``days_to_maturity`` added."""
+def select_universe(quotes: DataFrame, series: dict[str, list[str]], months: list[str] | None = None, dated: bool = True) -> DataFrame:
+    """Rows of each series' roots (the main one and those added), numbers as doubles, ``days_to_maturity`` added.
+
+    With ``dated``, rows without a date or a maturity are left out.
+    """
     roots = [(s, r) for s, rs in series.items() for r in _names(rs)]
     pairs = quotes.sparkSession.createDataFrame(roots, "series string, root string")
     named = quotes.withColumns({c: F.upper(F.btrim(F.col(c), F.lit(" \t\r\n"))) for c in ("root", "ticker")})
     numbers = {c: F.col(c).try_cast("double") for c, kind in quotes.dtypes if c in NUMERIC and kind != "double"}
-    out = named.withColumns(numbers).join(F.broadcast(pairs), "root").where("date is not null and maturity is not null")  # a row for each argument
+    out = named.withColumns(numbers).join(F.broadcast(pairs), "root")  # a row for each argument
+    out = out.where("date is not null and maturity is not null") if dated else out.where("date is not null")
     if months:
         # the longest root of the series that a ticker begins with comes before its month
         rest = F.col("ticker")
@@ -62,16 +66,36 @@ def select_universe(quotes: DataFrame, series: dict[str, list[str]], months: lis
             own = F.col("series").isin([s for s, x in roots if x == r])
             rest = F.when(own & F.col("ticker").startswith(r), F.substring("ticker", len(r) + 1, 1_000)).otherwise(rest)
         out = out.where(F.substring(rest, 1, 1).isin(months))
-    # one exchange serves the choice of fronts (series, date) and the daily prices (series, date, ticker)
-    return out.withColumn("days_to_maturity", F.datediff("maturity", "date")).repartition("series", "date")
+    return out.withColumn("days_to_maturity", F.datediff("maturity", "date"))
 
 
-def pick_front_contract(universe: DataFrame, days_before_roll: int) -> DataFrame:
-    """For each series and day the nearest contract beyond the roll limit, else the nearest alive, else the least expired."""
+def trading_days(universe: DataFrame, days_before_roll: int) -> DataFrame:
+    """(series, date, front, listed): the front contract's row, and ticker and price of every contract listed that day.
+
+    The front is the nearest contract beyond the roll limit, else the nearest alive, else the least expired. Rows
+    without a maturity are left out by the aggregates' own filters: as a filter of rows, the maturity's
+    expression would be copied below whatever aggregation the quotes come from. A day lists a bounded number of contracts.
+    """
     dtm = F.col("days_to_maturity")
     tier = F.when((dtm > days_before_roll) & (dtm >= 0), 0).when(dtm >= 0, 1).otherwise(2)
-    own = F.struct(*(c for c in universe.columns if c not in ("series", "date")))
-    return universe.groupBy("series", "date").agg(F.min_by(own, F.struct(tier, F.abs(dtm), "ticker")).alias("r")).select("series", "date", "r.*")
+    own = [c for c in universe.columns if c not in ("series", "date")]
+    # of several prices of one day the least; of several kinds of price the first that is known
+    prices = [F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("close", "settlement_price", "average_price") if c in universe.columns]
+    rows = universe.select("series", "date", "maturity", F.struct(*own).alias("row"), F.struct(tier.alias("tier"), F.abs(dtm).alias("away"), "ticker").alias("rank"), F.struct("ticker", *prices).alias("price"))
+    days = rows.groupBy("series", "date").agg(F.expr("min_by(row, rank) FILTER (WHERE maturity IS NOT NULL)").alias("front"), F.expr("collect_list(price) FILTER (WHERE maturity IS NOT NULL)").alias("listed"))
+    return days.where("front is not null")
+
+
+def pick_front_contract(universe: DataFrame, days_before_roll: int) -> DataFrame:
+    """For each series and day the front contract's row."""
+    return trading_days(universe, days_before_roll).select("series", "date", "front.*")
+
+
+def daily_prices(days: DataFrame) -> DataFrame:
+    """(series, ticker, date, p) of the listed contracts."""
+    prices = days.select("series", "date", F.explode("listed").alias("price")).select("series", "date", "price.*")
+    kinds = [c for c in prices.columns if c not in ("series", "date", "ticker")]
+    return prices.groupBy("series", "ticker", "date").agg(F.coalesce(*(F.min(c) for c in kinds)).alias("p"))
 
 
 def detect_rolls(front: DataFrame) -> DataFrame:
@@ -80,13 +104,10 @@ def detect_rolls(front: DataFrame) -> DataFrame:
     return prev.where("from_ticker is not null and ticker <> from_ticker").select("series", "from_ticker", F.col("ticker").alias("to_ticker"), F.col("date").alias("switch_date"))
 
 
-def roll_schedule(rolls: DataFrame, universe: DataFrame) -> DataFrame:
+def roll_schedule(rolls: DataFrame, daily: DataFrame) -> DataFrame:
     """Each roll with the last day, up to the switch, on which both contracts have rows, and the ratio of their prices there."""
-    cols = ["close", *(c for c in ("settlement_price", "average_price") if c in universe.columns)]
-    price = F.coalesce(*(F.min(F.nanvl(c, F.lit(None).cast("double"))) for c in cols))  # of several rows of one day the least
     ends = rolls.select("series", F.explode(F.array("from_ticker", "to_ticker")).alias("ticker")).distinct()
-    rolled = universe.select("series", "ticker", "date", *cols).join(ends, ["series", "ticker"], "left_semi")
-    daily = rolled.groupBy("series", "ticker", "date").agg(price.alias("p"))
+    daily = daily.join(ends, ["series", "ticker"], "left_semi")
     a = daily.select("series", F.col("ticker").alias("from_ticker"), "date", F.col("p").alias("pa"))
     b = daily.select("series", F.col("ticker").alias("to_ticker"), "date", F.col("p").alias("pb"))
     both = rolls.join(a, ["series", "from_ticker"]).where("date <= switch_date").join(b, ["series", "to_ticker", "date"])
@@ -98,11 +119,17 @@ def roll_schedule(rolls: DataFrame, universe: DataFrame) -> DataFrame:
 
 
 def adjust(quotes: DataFrame, series: dict[str, list[str]], days_before_roll: float = 5, months: str | list[str] | None = None, backward: bool = True) -> Series:
-    n, letters = validate_quotes(quotes, days_before_roll, months)
-    series = {s: _names(rs) for s, rs in series.items()}
-    universe = select_universe(quotes, series, letters)
-    front = pick_front_contract(universe, n)
-    rolls = roll_schedule(detect_rolls(front), universe)
+    """The daily table (series, date, front, listed) is written once; fronts, rolls, bridges and rows are read from it."""
+    n, letters = validate_quotes(quotes, days_before_roll, months, rows=False)
+    spark, series = quotes.sparkSession, {s: _names(rs) for s, rs in series.items()}
+    days = trading_days(select_universe(quotes, series, letters, dated=False), n)
+    path = new_path(spark, "trading-days")
+    days.write.parquet(path)
+    days = spark.read.schema(days.schema).parquet(path)
+    if days.isEmpty():
+        raise ValueError("no quotes of these roots and months")
+    front = days.select("series", "date", "front.*")
+    rolls = roll_schedule(detect_rolls(front), daily_prices(days))
     step = rolls.select("series", F.col("switch_date").alias("date"), F.col("backward_factor" if backward else "forward_factor").alias("step"))
     w = Window.partitionBy("series").orderBy("date")
     frame = w.rowsBetween(1, Window.unboundedFollowing) if backward else w.rowsBetween(Window.unboundedPreceding, 0)
@@ -110,7 +137,7 @@ def adjust(quotes: DataFrame, series: dict[str, list[str]], days_before_roll: fl
     have = [c for c in PRICES if c in rows.columns]
     extra = [F.col(c).alias(a) for c, a in (("volume", "Volume"), ("volume_qty", "Volume_Qty")) if c in rows.columns]
     out = rows.select("series", "date", *((F.col(c) * F.col("factor")).alias(c.capitalize()) for c in have), *extra)
-    spec = quotes.sparkSession.createDataFrame([("backward" if backward else "forward", s, ",".join(r), n, ",".join(letters) if letters else "ALL") for s, r in series.items()], "method string, series string, roots string, days_before_roll int, maturities string")
+    spec = spark.createDataFrame([("backward" if backward else "forward", s, ",".join(r), n, ",".join(letters) if letters else "ALL") for s, r in series.items()], "method string, series string, roots string, days_before_roll int, maturities string")
     return Series(out, front.select("series", "date", "root", "ticker", "maturity", "days_to_maturity"), rolls, spec)
 
 
