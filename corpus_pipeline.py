@@ -3,6 +3,10 @@
 Each stage takes the table its predecessor wrote and applies one operator to all of it; its
 decisions take effect on the rows that go on. All stages but the last return the columns of
 ``documents``; the last returns the pieces of the packed sequences.
+
+For all stages: rows are told apart as rows, so null and repeated identifiers are no special case; null
+and empty texts are treated as each operator states; very long texts are taken whole; an empty table
+gives an empty one; columns beyond those of ``documents`` are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,27 +26,27 @@ LEAST_QUALITY = 0.3
 
 
 def stage_language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go."""
+    """Documents without a recognisable language go: null texts, texts without a letter, and those whose best language is too unlikely. Ties go to the language that sorts first."""
     found = language_id.language_id(docs, vocabulary("piece_bpe_32k.model"), carry=OTHERS)
     kept = found.toDF("doc_id", "held_out", "lang_pred", "lang_score", "n_words", *OTHERS)
     return kept.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_LANG_SCORE)).select(*COLUMNS)
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go; null and empty texts are scored as empty ones, repeated rows alike."""
     found = quality.quality(docs, table(spark, sf_dir, "labels"), threshold=LEAST_QUALITY, carry=OTHERS)
     return found.where("predicted = 1").select(*COLUMNS)
 
 
 def stage_exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one stays."""
+    """Of equal texts (null counts as empty) one row stays, the one with the largest identifier; of rows that repeat both, any one."""
     return exact_dedup.keep_documents(docs).select(*COLUMNS)
 
 
 def stage_ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the row with the smallest identifier stays, one without identifier only if all have none.
 
-    Rows are told apart by a number of their own, as identifiers may be null or stand on several texts.
+    Documents without words are near copies of nothing and stay. Rows are told apart by a number of their own, as identifiers may be null or stand on several texts.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row_no"), *COLUMNS)
     rows = common.materialize(rows, "pipeline-rows")
@@ -56,7 +60,7 @@ def stage_ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of bounded length; one row for each piece."""
+    """Sequences of bounded length; one row for each piece. Null and empty texts hold the end mark only, repeated rows are packed each."""
     return packing.pack(docs, vocabulary("word_bpe_49k.json"))
 
 
@@ -68,7 +72,7 @@ STAGES = [
     ("packing", stage_packing),
 ]
 
-#: The learned stages have no SQL form; the tests compare each stage with a brute-force version.
+#: The learned stages have no SQL form; tests/llm/test_pipeline.py compares every stage, and all of them together, with brute force.
 ORACLE_SQL = None
 
 
