@@ -8,13 +8,17 @@ own first. Each task packs its own rows, with a bounded number of waiting pieces
 is no shuffle; what is left at its end, under one sequence, is cut into sequences whose
 lengths are powers of two, which need no padding.
 
-An example's first ``n_prompt`` tokens bear no loss (0 unless a column gives it). Null texts
-count as empty and hold the end mark only. Rows that repeat are packed as often as they
-occur. Sequence ids are unique over all tasks: task number times 2^33 plus a counter.
+The tokens of an example's prompt (a text column, ``prompt``), or its first ``n_prompt`` ones, bear no
+loss; without either column all tokens do. Null texts count as empty and hold the end mark only. Very
+long texts are cut over as many sequences as they need. Rows that repeat an identifier or a text are packed as
+often as they occur; of pieces with equal dot products the one that came first goes in. An empty table gives no
+piece. Columns other than these are ignored, whatever their names. Sequence ids are unique over all
+tasks: task number times 2^33 plus a counter.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import zlib
@@ -41,13 +45,15 @@ _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
 class WordEncoder:
-    """Ids of whole texts (4 bytes each, little-endian) by a tokenizer that never joins across white space.
+    """Ids of whole texts (4 bytes each, little-endian) by any tokenizer file.
 
-    Each distinct chunk between white space is encoded once, from the ids of its words, and
+    One that composes, lower-cases and splits as ``STEPS`` says never joins across white space. Then each distinct chunk between white space is encoded once, from the ids of its words, and
     each distinct word once, by the tokenizer's merge model. Chunks beyond the Latin letters
-    go through the whole tokenizer.
+    go through the whole tokenizer, and so do all texts with another tokenizer.
     """
 
+    STEPS = ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"]
+
     def __init__(self, path: str):
         import os
 
@@ -57,7 +63,13 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = [x for part in ("normalizer", "pre_tokenizer") for x in (spec.get(part) or {}).get("normalizers" if part == "normalizer" else "pretokenizers", [])]
+        known = [x["type"] for x in steps] == self.STEPS and steps[1]["pattern"] == {"Regex": r"\s+"} and steps[1]["content"] == " "
+        known = known and steps[3]["invert"] and steps[3]["behavior"] == "Removed" and not steps[4]["add_prefix_space"] and not steps[4]["use_regex"]
+        self.by_words = bool(known) and not spec.get("post_processor")
+        self.pattern = regex.compile(steps[3]["pattern"]["Regex"]) if self.by_words else None
         self.other = re.compile("[^\x20-\x7e\u00a1-\u024f]|<\\|")
         # the printable stand-ins of byte-level vocabularies: printable Latin-1 for itself, the others from 256 on
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -96,6 +108,8 @@ class WordEncoder:
             self.known[c] = ids[0] if len(ids) == 1 else b"".join(ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_words:
+            return [self.one(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known = {}
         split = [t.split() for t in texts]
@@ -206,10 +220,11 @@ class Packer:
             self.emit(own)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS, waiting: int = WAITING, n_prompt: str | None = None) -> DataFrame:
-    """doc_id and the columns of SCHEMA: one row for each piece."""
+def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS, waiting: int = WAITING, n_prompt: str | None = None, prompt: str | None = None) -> DataFrame:
+    """doc_id and the columns of SCHEMA: one row for each piece of the prompt's ids, the text's and the end mark."""
     field = docs.schema["doc_id"]
-    rows = docs.select("doc_id", "text", (F.coalesce(F.col(n_prompt), F.lit(0)) if n_prompt else F.lit(0)).cast("long").alias("n_prompt"))
+    count = (F.coalesce(F.col(n_prompt), F.lit(0)) if n_prompt else F.lit(0)).cast("long")
+    rows = docs.select("doc_id", "text", count.alias("n_prompt"), (F.col(prompt) if prompt else F.lit(None)).cast("string").alias("prompt"))
     names = ["doc_id", *(c.split()[0] for c in SCHEMA.split(", "))]
     end = np.array([END_ID], "<u4").tobytes()
 
@@ -228,8 +243,9 @@ def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, max
             kind = batch.schema.field(0).type
             keys, prompts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for a, b in small_batches(batch.column(1)):
-                for key, ids, prompt in zip(keys[a:b], encoder.encode(texts_of(batch.column(1), a, b)), prompts[a:b], strict=True):
-                    packer.add(key, ids + end, prompt)
+                before = encoder.encode(texts_of(batch.column(3), a, b)) if prompt else [b""] * (b - a)
+                for key, first, ids, n in zip(keys[a:b], before, encoder.encode(texts_of(batch.column(1), a, b)), prompts[a:b], strict=True):
+                    packer.add(key, first + ids + end, len(first) // 4 + n)
                 yield from out()
         packer.pack(0)
         yield from out()
