@@ -8,7 +8,9 @@ sums; rows of prefixes that are still too large are summed again by more bits.
 
 A bucket whose rows all have one hash (one large row, or rows that repeat a key) can't split
 further: it is a shard of its own, marked ``oversize``. Null keys hash like empty text, null
-texts weigh nothing, an empty table gives an empty result.
+texts weigh nothing, very long ones their bytes; repeated rows weigh as often as they occur, and rows of one key
+share a shard. An empty table gives an empty result. Columns other than key and text are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -64,6 +66,13 @@ def extendible_shards(docs: DataFrame, limit_bytes: int = LIMIT_BYTES, key: str
     return out.select(key, "n_bytes", F.col("depth").cast("int").alias("shard_depth"), "shard", "shard_bytes", (F.col("shard_bytes") > limit_bytes).alias("oversize"))
 
 
+def directory(shards: DataFrame) -> DataFrame:
+    """One row for each shard: shard_depth, shard, shard_bytes, n_rows, and, of the whole directory, global_depth and how many of its entries lead here."""
+    own = shards.groupBy("shard_depth", "shard", "shard_bytes").agg(F.count("*").alias("n_rows"))
+    deepest = shards.agg(F.max("shard_depth").alias("global_depth"))  # one row
+    return own.crossJoin(F.broadcast(deepest)).withColumn("entries", F.pow(F.lit(2.0), F.col("global_depth") - F.col("shard_depth")).cast("long"))
+
+
 ORACLE = f"""
 WITH r AS (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes,
                   CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
