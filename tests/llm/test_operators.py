@@ -210,8 +210,12 @@ def test_html(spark):
 def test_boilerplate_runs():
     shared = "click here to accept all of the terms of this site".split()
     pages = [[*f"unique words number of page {i}".split(), *shared] for i in range(6)]
-    masks = html_extract.boilerplate(pages)
-    assert all(m.tolist() == [False] * 6 + [True] * len(shared) for m in masks)
+    for marked in (True, False):
+        masks = html_extract.boilerplate(pages, [marked] * 6)
+        assert all(m.tolist() == [False] * 6 + [True] * len(shared) for m in masks)
+    few = html_extract.boilerplate([*pages[:3], *([f"w{k}{j}" for j in range(12)] for k in range(9))], [True, False, False, *[False] * 9])
+    assert not few[0].any() and few[1].any() and few[2].any()  # a marked article may share what few pages share
+    assert not any(m.any() for m in html_extract.boilerplate([shared + [str(i)] for i in range(2)], [False] * 2))
 
 
 def test_classifiers(spark, empty):
