@@ -18,7 +18,9 @@ weight.
 
 Cosines are in double precision. Vectors that are null, zero, or hold null or non-finite
 components, link with nothing; vectors of different lengths don't link. Rows that repeat a
-vector link with one another. Empty tables give empty results; labels are not read.
+vector link with one another; rows that repeat an identifier too are counted each. Of equally near
+neighbours the one with the smaller number stays in a list. Empty tables give empty results; columns
+other than vec_id and embedding, labels too, are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -151,8 +153,8 @@ def local_join(placed: DataFrame, lists: DataFrame) -> DataFrame:
     return members.repartition("w", "salt").sortWithinPartitions("w", "salt").mapInArrow(compared, EDGE)
 
 
-def audit(nodes: DataFrame, components: DataFrame, threshold: float, step: int = 0) -> tuple[float, DataFrame]:
-    """The share of linked vectors with all their links inside their component, and the missing links (a, b).
+def audit(nodes: DataFrame, components: DataFrame, threshold: float, step: int = 0) -> tuple[float | None, DataFrame]:
+    """The share of linked vectors with all their links inside their component (None without any), and the missing links (a, b).
 
     Up to ``AUDITED`` vectors of each class of component sizes are compared with all others;
     every component weighs the same, whatever its size.
@@ -181,8 +183,8 @@ def audit(nodes: DataFrame, components: DataFrame, threshold: float, step: int =
     true = materialize(placed.select("nid", "e", "grp").mapInArrow(brute, "a long, b long"), "nn-audit")
     found = true.groupBy("b").agg(F.count("a").alias("missed")).collect()
     total = sum(weight[r["b"]] for r in found)
-    share = sum(weight[r["b"]] for r in found if not r["missed"]) / total if total else 1.0
-    logging.getLogger(__name__).info("audit %d: %d vectors, share of components' linked vectors with all links: %.4f", step, len(probe), share)
+    share = sum(weight[r["b"]] for r in found if not r["missed"]) / total if total else None  # none of them has a link: nothing to measure
+    logging.getLogger(__name__).info("audit %d: %d vectors, share of components' linked vectors with all links: %s", step, len(probe), share)
     return share, true.where("a is not null")
 
 
@@ -216,7 +218,7 @@ def joined(components: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, k: int = K, target: float = TARGET) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row."""
+    """vec_id, n_links, component_id, kept for every row, and audited_recall, the last audit's share (null: no audited vector has a link)."""
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
     finite = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.coalesce(finite & F.exists("e", lambda x: x != 0), F.lit(False))
@@ -234,7 +236,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, k: int = K, tar
         links = lists.where(F.col("far") & (F.col("sim") >= threshold)).select(*ends)
         if not links.limit(1).count():
             share, links = audit(nodes, components, threshold, step)
-            if share >= target:
+            if share is None or share >= target:
                 components = joined(components, links)
                 break
             step += 1
@@ -248,5 +250,5 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, k: int = K, tar
     found = found.join(lowest, "component").select("e", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), "component_id")
     linked = good.join(found, "e").select("vec_id", "n_links", "component_id")
     alone = rows.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    return linked.unionByName(alone).withColumns({"kept": F.col("vec_id").eqNullSafe(F.col("component_id")), "audited_recall": F.lit(share).cast("double")})
 
