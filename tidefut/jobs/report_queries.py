@@ -231,18 +231,15 @@ def stored_days(spark, sf_dir):
 
 @register(f"WITH q AS ({DAILY}) SELECT date, root, ticker, CASE WHEN month(date) = 3 THEN close + 1 ELSE close END AS close FROM q WHERE {_SKIP} AND {_GOOD} AND root <> 'ICF'")
 def stored_update(spark, sf_dir):
-    """The store over four runs: half of the pages; days (all of one root among them) that are skipped by now; all pages, some refreshed."""
+    """The store over two runs: half of the pages; then days (all of one root among them) that are skipped by now, the other pages, and some pages again, corrected."""
     folder = new_path(spark, "store")
-    pages = rendered(spark, sf_dir)
-    U.update_store(spark, pages.where(F.month("date") < 6), folder)
-    days = pages.select("root", "date")
+    U.update_store(spark, rendered(spark, sf_dir).where(F.month("date") < 6), folder)
+    pages = rendered(spark, sf_dir, F.when(F.month("date") < 6, 1).otherwise(0))
+    days = quotes(spark, sf_dir).select("root", "date").distinct()
     skip = days.where((F.dayofmonth("date") == 13) | (F.col("root") == "ICF"))
     name = F.concat("root", F.lit("_"), F.col("date").cast("string"), F.lit(".html")).alias("filename")
     skip.select(name, "root", "date").write.mode("append").parquet(f"{folder}/no_data")
-    U.update_store(spark, pages.where(F.month("date") < 6), folder)
-    U.update_store(spark, pages, folder)
-    changed = rendered(spark, sf_dir, F.when(F.month("date") == 3, 1).otherwise(0))
-    U.update_store(spark, changed, folder, refresh=days.where(F.month("date") == 3))
+    U.update_store(spark, pages, folder, refresh=days.where(F.month("date") == 3))
     return store.read_bulletins(spark, f"{folder}/bulletins").select("date", "root", "ticker", "close")
 
 
