@@ -55,6 +55,18 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Tables up to so many bytes are sent to all tasks.
+SENT_BYTES = 96_000_000
+
+
+def sendable(rows: DataFrame) -> bool:
+    """Whether a table is small enough to be broadcast, by the bytes of its values."""
+    size = F.lit(16)
+    for c in rows.columns:
+        size = size + F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 8
+    return (rows.agg(F.sum(size)).first()[0] or 0) <= SENT_BYTES
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete a table that ``materialize`` wrote, when nothing reads it any more."""
     spark = df.sparkSession
@@ -213,9 +225,9 @@ def whole_groups(batches, keys: int) -> Iterator[pa.RecordBatch]:
 def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """(node, component) of every node with a link: the smallest node reachable over ``a``-``b``.
 
-    Rounds of large-star and small-star: each joins and aggregates by node, with partial
-    aggregation before the shuffle, so no component is ever gathered in one place. A hub's
-    links meet in the reducers of a ``min``, not in a list.
+    Rounds of large-star and small-star: each aggregates by node, with partial aggregation before
+    the shuffle, and joins the minima back. No component is ever gathered in a list; a hub's
+    links pass through one task of that join as a stream of two numbers each.
     """
     spark = edges.sparkSession
     cur = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)

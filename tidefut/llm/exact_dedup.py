@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.folders import new_path
-from .common import fresh, materialize
+from .common import fresh, materialize, sendable
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -40,9 +40,6 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
-#: Up to so many identifiers (8 bytes each) are broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
-
 
 def normalised(text: Column) -> Column:
     """A-Z in lower case, nothing else changed."""
@@ -84,8 +81,7 @@ def only(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     """Rows of docs with (or, left_anti, without) these identifiers; a broadcast only up to a checked size."""
     (name,) = fresh(docs, "id_wanted")
     ids = ids.select(F.col("doc_id").alias(name)).distinct()
-    small = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if small else ids, docs["doc_id"].eqNullSafe(F.col(name)), how)
+    return docs.join(F.broadcast(ids) if sendable(ids) else ids, docs["doc_id"].eqNullSafe(F.col(name)), how)
 
 
 def exact_dedup(docs: DataFrame, digest=sha256, state: str | None = None, earlier: DataFrame | None = None) -> DataFrame:

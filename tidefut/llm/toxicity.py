@@ -13,8 +13,8 @@ are compared over the whole text and normalised by its length: their difference
 and per square root of the characters (its noise grows with that root). A logistic curve on these two
 numbers, fitted on a bounded sample of other labelled rows (``max_rows``), gives the published score.
 
-All labelled training rows outside that sample are counted. Labels go to the tasks up to
-``SENT_LABELS`` of them, so only labelled texts are counted and nothing else moves. Models of up
+All labelled training rows outside that sample are counted. Labels of up to ``SENT_BYTES`` go to the
+tasks, so that only words of labelled texts move; more are joined by a shuffle of the texts. Models of up
 to ``SENT_NGRAMS`` n-grams (12 bytes each) are sent to the tasks as well; larger ones stay in
 Spark: the documents' words are counted, the distinct words' n-grams joined with the models, and the
 sums come back by joins. Both ways give the same numbers up to rounding.
@@ -32,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, crc_mod, drop_table, materialize, mix64, small_batches, texts_of
+from .common import WordTable, crc_mod, drop_table, materialize, mix64, sendable, small_batches, texts_of
 from .language_id import by_length, count_words, split_words
 
 ORDER = 5
 #: Share of toxic words in a toxic text.
 SHARE = 0.03
 MAX_ROWS = 20_000
-SENT_LABELS, SENT_NGRAMS = 4_000_000, 6_000_000
+SENT_NGRAMS = 6_000_000
 
 _PAD = "^" * (ORDER - 1)
 _STEP = np.uint64(0x100000001B3)
@@ -265,7 +265,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
     sample = materialize(known.where(curve_fold).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows), "toxic-sample")
     rest = known.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_anti")  # at most max_rows rows are sent
     texts = docs.select("doc_id", "text")
-    train = texts.join(F.broadcast(rest) if known.count() <= SENT_LABELS else rest, "doc_id")
+    train = texts.join(F.broadcast(rest) if sendable(rest) else rest, "doc_id")
     words = materialize(count_words(train, "y"), "toxic-words")
     grams = materialize(count_ngrams(words), "toxic-grams")
     drop_table(words)
