@@ -247,14 +247,14 @@ def test_toxicity_counts_all(spark):
     letters = [chr(c) for c in range(0xAC00, 0xAC00 + 8000)]
     rows = [(i, " ".join("".join(rng.choices(letters, k=9)) for _ in range(60)), i % 2) for i in range(2400)]
     d = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
-    model = toxicity.fit(d, d.select("doc_id", "toxic"), max_rows=50)
+    model = toxicity.fit(d, d.select("doc_id", "toxic"), max_rows=50).model
     fold = d.where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(50)
     sample = {r.doc_id for r in fold.select("doc_id").collect()}
     grams = set()
     for i, t, _ in rows:
         for w in toxicity.split_words(t) if i not in sample else ():
-            s = f"^{w}$"
-            grams.update(s[max(0, e - toxicity.ORDER + 1) : e + 1] for e in range(1, len(s)))
+            s = "^" * (toxicity.ORDER - 1) + w + "$"
+            grams.update(s[e : e + toxicity.ORDER] for e in range(len(w) + 1))
     assert len(sample) == 50 and len(grams) > 1 << 20
     assert len(model.grams) == len(grams) and len(model.contexts) == len({g[:-1] for g in grams})
 
