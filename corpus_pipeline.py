@@ -46,17 +46,18 @@ def stage_exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def stage_ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the row with the smallest identifier stays, one without identifier only if all have none.
 
-    Documents without words are near copies of nothing and stay. Rows are told apart by a number of their own, as identifiers may be null or stand on several texts.
+    Documents without words are near copies of nothing and stay. Rows are told apart by identifier and text, as identifiers
+    may be null or stand on several texts; of rows that repeat both, one stays.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row_no"), *COLUMNS)
-    rows = common.materialize(rows, "pipeline-rows")
-    found = ngram_join.jaccard_join(rows.select(F.col("row_no").alias("doc_id"), "text")).toDF("row_no", "n_shingles", "component")
-    members = common.materialize(found.join(rows.select("row_no", "doc_id"), "row_no").select("row_no", "doc_id", "component"), "pipeline-groups")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_no"))
-    kept = members.groupBy("component").agg(first.alias("first")).select(F.col("first.row_no").alias("row_no"))
-    gone = members.join(kept, "row_no", "left_anti").select(F.col("row_no").alias("doc_id"))
-    numbered = rows.withColumnRenamed("doc_id", "own_id").withColumnRenamed("row_no", "doc_id")
-    return exact_dedup.only(numbered, gone, "left_anti").drop("doc_id").withColumnRenamed("own_id", "doc_id").select(*COLUMNS)
+    sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), sha.alias("sha"))
+    rows = docs.select(key.alias("doc_id"), "text")
+    # a class is named by its least key: the row that stays
+    found = common.materialize(ngram_join.jaccard_join(rows).select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("stays")), "pipeline-near")
+    keyed = docs.select(key.alias("doc_id"), F.struct(*COLUMNS).alias("row"))
+    kept = exact_dedup.only(keyed, found.where("not stays").select("doc_id"), "left_anti")
+    repeated = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return (kept.dropDuplicates(["doc_id"]) if repeated else kept).select("row.*")
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
