@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, connected_components, drop_table, materialize, mix64, small_batches, texts_of, whole_groups
+from .common import WordTable, connected_components, drop_table, materialize, mix64, sendable, small_batches, texts_of, whole_groups
 
 WIDTH = 5
 #: Jaccard similarity as a fraction of whole numbers.
@@ -54,8 +54,6 @@ SQUARE = 1024
 SMALL = 48
 #: Pairs of one set in a block that are verified before all that are left.
 NEAREST = 2
-#: Sets to be verified are looked up by a broadcast up to so many (32 bytes each, and the identifier); more by a shuffle.
-BROADCAST_ROWS = 1_000_000
 #: Names that sets of different hashes share; by chance, none in a thousand tables of 10^8 sets.
 MOST_CLASHES = 10_000
 
@@ -292,47 +290,44 @@ def describe(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``node`` is ``name`` unless two sets share that.
     """
     field = docs.schema["doc_id"].dataType.simpleString()
-    kinds = [("node", pa.int64()), ("n", pa.int64()), ("node2", pa.int64()), ("sketch", pa.binary())]
-    names = ["sig", *(c for c, _ in kinds), "doc_id"]
+    own_kinds = [("n", pa.int64()), ("node2", pa.int64()), ("sketch", pa.binary())]
+    names = ["sig", "node", "own"]
 
     def signed(batches):
-        table = WordTable(word_hashes)
+        table = WordTable(word_hashes, 250_000)
         for batch in batches:
+            kind = pa.struct([*own_kinds, ("doc_id", batch.column(0).type)])
             for a, b in small_batches(batch.column(1)):
-                sig, of, own, sketches, sizes = described(texts_of(batch.column(1), a, b), table)
+                sig, of, named, sketches, sizes = described(texts_of(batch.column(1), a, b), table)
                 for i in range(0, len(sig), 200_000):
                     part = [pa.array(sig[i : i + 200_000]), pa.array(of[i : i + 200_000])]
-                    yield pa.RecordBatch.from_arrays([*part, *(pa.nulls(len(part[0]), t) for _, t in kinds[1:]), pa.nulls(len(part[0]), batch.column(0).type)], names=names)
-                spread = mix64(np.arange(b - a).astype(np.uint64), 67) + mix64(own[:, 0].view(np.uint64), 71)
-                values = [own[:, 0], sizes, own[:, 1], sketches]
-                yield pa.RecordBatch.from_arrays([pa.array(spread.view(np.int64)), *(pa.array(v, t) for v, (_, t) in zip(values, kinds, strict=True)), batch.column(0).slice(a, b - a)], names=names)
+                    yield pa.RecordBatch.from_arrays([*part, pa.nulls(len(part[0]), kind)], names=names)
+                spread = mix64(np.arange(b - a).astype(np.uint64), 67) + mix64(named[:, 0].view(np.uint64), 71)
+                own = pa.StructArray.from_arrays([pa.array(sizes), pa.array(np.ascontiguousarray(named[:, 1])), pa.array(sketches, pa.binary()), batch.column(0).slice(a, b - a)], fields=list(kind))
+                yield pa.RecordBatch.from_arrays([pa.array(spread.view(np.int64)), pa.array(np.ascontiguousarray(named[:, 0])), own], names=names)
 
     def shared(batches):
-        own: list[pa.RecordBatch] = []
+        rows: list[pa.RecordBatch] = []
 
         def signatures_only():
             for batch in batches:
-                described = pc.is_valid(batch.column("n"))
-                own.append(batch.filter(described))
-                yield batch.filter(pc.invert(described)).select(["sig", "node"])
-
-        def rows():
-            while own:
-                got = own.pop()
-                if got.num_rows:
-                    yield pa.RecordBatch.from_arrays([pa.nulls(got.num_rows, pa.int64()), *got.columns[1:]], names=["run", *names[1:]])
+                described = pc.is_valid(batch.column(2))
+                got = batch.filter(described)
+                rows.append(pa.RecordBatch.from_arrays([pa.nulls(got.num_rows, pa.int64()), *got.columns[1:]], names=["run", *names[1:]]))
+                yield batch.filter(pc.invert(described)).select([0, 1])
 
         kind = None
         for run, node in shared_runs(signatures_only()):
-            kind = kind or own[0].schema.field("doc_id").type
-            yield from rows()
-            yield pa.RecordBatch.from_arrays([pa.array(run), pa.array(node), *(pa.nulls(len(run), t) for _, t in kinds[1:]), pa.nulls(len(run), kind)], names=["run", *names[1:]])
-        yield from rows()
+            kind = kind or rows[0].schema.field(2).type
+            while rows:
+                yield rows.pop()
+            yield pa.RecordBatch.from_arrays([pa.array(run), pa.array(node), pa.nulls(len(run), kind)], names=["run", *names[1:]])
+        yield from rows
 
-    schema = f"long, node long, n long, node2 long, sketch binary, doc_id {field}"
+    schema = f"long, node long, own struct<n: bigint, node2: bigint, sketch: binary, doc_id: {field}>"
     rows = docs.select("doc_id", "text").mapInArrow(signed, f"sig {schema}").repartition("sig").sortWithinPartitions("sig", "node")
     both = materialize(rows.mapInArrow(shared, f"run {schema}"), "jaccard-pass")
-    rows, runs = both.where("run is null").drop("run").withColumn("name", F.col("node")), both.where("run is not null").select("run", "node").distinct()
+    rows, runs = both.where("run is null").select("node", F.col("node").alias("name"), "own.*"), both.where("run is not null").select("run", "node").distinct()
     while True:
         halves = rows.where("n > 0").groupBy("node").agg(F.min("node2").alias("lo"), F.max("node2").alias("hi"))
         clash = [r["node"] for r in halves.where("lo <> hi").limit(MOST_CLASHES + 1).collect()]
@@ -343,6 +338,7 @@ def describe(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         rows = rows.withColumn("node", F.when(F.col("node").isin(clash), F.xxhash64("node", "node2")).otherwise(F.col("node")))
         named = rows.where(F.col("name") != F.col("node")).select("name", F.col("node").alias("other")).distinct()
         runs = both.where("run is not null").select("run", "node").distinct().join(named, F.col("node") == F.col("name"), "left").select("run", F.coalesce("other", "node").alias("node"))
+        runs = runs.unionByName(named.select(F.xxhash64("name").alias("run"), F.col("other").alias("node")))  # they were one member so far
     return rows, materialize(runs, "jaccard-runs")
 
 
@@ -365,11 +361,10 @@ def not_ruled_out(pairs: DataFrame, info: DataFrame) -> DataFrame:
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, n, shingles) for wanted (doc_id, node, name, node2) rows, from the whole texts again."""
-    small = wanted.count() <= BROADCAST_ROWS
-    rows = docs.select(F.col("doc_id").alias("own_id"), "text").join(F.broadcast(wanted) if small else wanted, F.col("own_id").eqNullSafe(F.col("doc_id"))).select("node", "text", "name", "node2")
+    rows = docs.select(F.col("doc_id").alias("own_id"), "text").join(F.broadcast(wanted) if sendable(wanted) else wanted, F.col("own_id").eqNullSafe(F.col("doc_id"))).select("node", "text", "name", "node2")
 
     def measured(batches):
-        table = WordTable(word_hashes)
+        table = WordTable(word_hashes, 250_000)
         for batch in batches:
             node, name, other = (batch.column(k).to_numpy() for k in (0, 2, 3))
             for a, b in small_batches(batch.column(1)):
@@ -385,7 +380,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
+    """The pairs whose full sets are similar enough. Spark may split both sides of the joins (adaptive skew join), so the pairs of one centre need not meet in one task."""
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sets = materialize(sets_of(docs, classes.join(ends, "node", "left_semi").select("doc_id", "node", "name", "node2")).dropDuplicates(["node"]), "jaccard-sets")
     x = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
@@ -470,11 +465,13 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     rows, runs = describe(docs)
     classes = materialize(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("name").alias("name"), F.min("node2").alias("node2")), "jaccard-classes")
     info = classes.select("node", "n", "sketch")
-    members, tried, links, moved = runs.withColumn("grp", F.col("node")), None, None, False
+    members, tried, links, moved, found_members = runs.withColumn("grp", F.col("node")), None, None, False, False
     # stars first, then each set's nearest ones in other components, then all that is left: only this last step decides completeness
     for step in (lambda m: starred(m, True), lambda m: starred(m, False), lambda m: unconnected(m, info, NEAREST), lambda m: unconnected(m, info, None)):
         if moved:
-            members, moved = grouped(runs, info, components), False
+            if found_members:
+                drop_table(members)
+            members, moved, found_members = grouped(runs, info, components), False, True
         pairs = step(members)
         pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(not_ruled_out(pairs, info), "jaccard-pairs")
@@ -484,6 +481,8 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
         tried, links = (pairs, found) if tried is None else (tried.unionByName(pairs), links.unionByName(found))
         components = connected_components(links, "jaccard-cc")
         moved = True
+    for table in [runs, *([members] if found_members else [])]:
+        drop_table(table)
     named = classes.join(components, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = components.join(named, "component").select("node", "component_id")
     whole = classes.join(named, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
