@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize, small_batches, texts_of
+from .common import drop_table, kept, materialize, small_batches, texts_of
 
 #: Chunks that are sent to all tasks, at most, and the characters of the longest of them: about 50 MB, 500 at the very most.
 SENT_CHUNKS, LONGEST = 1_000_000, 64
@@ -202,16 +202,14 @@ class Encoder:
 
 
 class Sent:
-    """What is sent to the tasks: the common chunks with their ids. Spark keeps it, and so its encoder, for all tasks of a worker."""
+    """What is sent to the tasks: the common chunks with their ids."""
 
     def __init__(self, path: str, pattern: str, chunks: pa.Array, ids: pa.Array):
         self.path, self.pattern, self.known = path, pattern, (chunks, ids)
-        self.made: Encoder | None = None
 
     def encoder(self) -> Encoder:
-        if self.made is None:
-            self.made = Encoder(self.path, self.pattern, dict(zip(*(x.to_pylist() for x in self.known), strict=True)))
-        return self.made
+        """One encoder for all tasks of a worker."""
+        return kept(self, lambda: Encoder(self.path, self.pattern, dict(zip(*(x.to_pylist() for x in self.known), strict=True))))
 
 
 def count_chunks(docs: DataFrame, path: str, pattern: str) -> DataFrame:

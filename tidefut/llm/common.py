@@ -115,6 +115,17 @@ def carried(rows: DataFrame, read: list[str], carry: tuple[str, ...], compute: C
     return rows.select(*read, *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry))).mapInArrow(run, schema + extra)
 
 
+_kept: list = []
+
+
+def kept(key, make: Callable):
+    """What a worker keeps from task to task: one thing, made anew when another is asked for, so that operators don't add up."""
+    if not _kept or _kept[0] != key:
+        _kept.clear()
+        _kept.extend((key, make()))
+    return _kept[1]
+
+
 class WordTable:
     """Distinct words of the rows seen so far, numbered, each with values computed once.
 
@@ -125,7 +136,7 @@ class WordTable:
 
     LONGEST = 64
 
-    def __init__(self, compute: Callable[[list], tuple[np.ndarray, ...]], limit: int = 800_000):
+    def __init__(self, compute: Callable[[list], tuple[np.ndarray, ...]], limit: int = 600_000):
         self.compute, self.limit = compute, limit
         self.clear()
 

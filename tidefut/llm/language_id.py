@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MASK, WordTable, carried, crc_mod, drop_table, materialize, small_batches, texts_of
+from .common import MASK, WordTable, carried, crc_mod, drop_table, kept, materialize, small_batches, texts_of
 
 #: Longest word, in characters, whose segmentations are summed without logarithms.
 LINEAR = 32
@@ -279,13 +279,10 @@ class LanguageModel:
 
     def __init__(self, langs: list[str], probs: np.ndarray, prior: np.ndarray):
         self.langs, self.probs, self.prior = langs, probs, prior
-        self.table: WordTable | None = None
 
     def words(self, pieces: Pieces) -> WordTable:
-        """Log-likelihoods of the words met so far; Spark keeps the model, and this with it, for all tasks of a worker."""
-        if self.table is None:
-            self.table = WordTable(lambda chunks: self.values(chunks, pieces))
-        return self.table
+        """Log-likelihoods of the words met so far, for all tasks of a worker."""
+        return kept(self, lambda: WordTable(lambda chunks: self.values(chunks, pieces)))
 
     def values(self, chunks: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
         """Of each chunk between white space: the log-likelihood in each language, and the number of words."""

@@ -23,7 +23,6 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts_of
+from .common import kept, small_batches, texts_of
 
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 2048, 128, 2048
 #: Pieces that wait for a sequence, in each task.
 WAITING = 256
 #: The id after each document.
 END_ID = 1
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, n_loss long"
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -118,10 +117,9 @@ class WordEncoder:
         return [self.one(t) if _ODD_SPACE.search(t) else b"".join(map(at, s)) for t, s in zip(texts, split, strict=True)]
 
 
-@lru_cache(maxsize=1)
 def encoder_of(path: str) -> WordEncoder:
     """One encoder for all tasks of a worker: what it remembers stays useful."""
-    return WordEncoder(path)
+    return kept(("packing", path), lambda: WordEncoder(path))
 
 
 class Packer:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, crc_mod, drop_table, materialize, mix64, sendable, small_batches, texts_of
+from .common import WordTable, crc_mod, drop_table, kept, materialize, mix64, sendable, small_batches, texts_of
 from .language_id import by_length, count_words, split_words
 
 ORDER = 5
@@ -68,13 +68,10 @@ class ToxicModel:
 
     def __init__(self, grams, ratios, contexts, backoffs):
         self.grams, self.ratios, self.contexts, self.backoffs = grams, ratios, contexts, backoffs
-        self.table: WordTable | None = None
 
     def words(self) -> WordTable:
-        """What is known of the words met so far; Spark keeps the model, and this with it, for all tasks of a worker."""
-        if self.table is None:
-            self.table = WordTable(self.values)
-        return self.table
+        """What is known of the words met so far, for all tasks of a worker."""
+        return kept(self, lambda: WordTable(self.values))
 
     @staticmethod
     def _find(keys: np.ndarray, values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
