@@ -97,11 +97,21 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .fill_middle import fill_in_middle, restore
+
+    made = fill_in_middle(table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.withColumns({"output_sha256": digest(F.col("output")), "restored_sha256": digest(restore(F.col("output"), F.col("form")))}).drop("output")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit() or name == "packed_conversations"}
 
 
 def oracle_sql() -> dict[str, str]:
-    from .sharding import ORACLE
+    from . import fill_middle, sharding
 
-    return {"op4_exact_dedup": OP4_SQL, "op7_extendible_shards": ORACLE}
+    return {"op4_exact_dedup": OP4_SQL, "op7_extendible_shards": sharding.ORACLE, "op13_fill_middle": fill_middle.ORACLE}
