@@ -37,7 +37,8 @@ MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 2048, 128, 2048
 WAITING = 256
 #: The id after each document.
 END_ID = 1
-REMEMBERED = 400_000
+#: Chunks, and words, that are remembered between batches, and the characters of the longest of them: 150 MB at the very most.
+REMEMBERED, LONGEST = 400_000, 64
 
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, n_loss long"
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -102,7 +103,9 @@ class WordEncoder:
             for w in self.split(c):
                 got = words.get(w)
                 if got is None:
-                    got = words[w] = self.word(w)
+                    got = self.word(w)
+                    if len(w) <= LONGEST:
+                        words[w] = got
                 ids.append(got)
             self.known[c] = ids[0] if len(ids) == 1 else b"".join(ids)
 
@@ -112,9 +115,14 @@ class WordEncoder:
         if len(self.known) > REMEMBERED:
             self.known = {}
         split = [t.split() for t in texts]
-        self.learn(list({c for s in split for c in s}.difference(self.known)))
+        new = list({c for s in split for c in s}.difference(self.known))
+        self.learn(new)
         at = self.known.__getitem__
-        return [self.one(t) if _ODD_SPACE.search(t) else b"".join(map(at, s)) for t, s in zip(texts, split, strict=True)]
+        out = [self.one(t) if _ODD_SPACE.search(t) else b"".join(map(at, s)) for t, s in zip(texts, split, strict=True)]
+        for c in new:
+            if len(c) > LONGEST:
+                del self.known[c]
+        return out
 
 
 def encoder_of(path: str) -> WordEncoder:
