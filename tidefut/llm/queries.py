@@ -105,6 +105,12 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import sequences, trie, with_openings
+
+    return trie(with_openings(sequences(table(spark, sf_dir, "conversations"))))
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -120,6 +126,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import fill_middle, sharding
+    from . import fill_middle, prefix_trie, sharding
 
-    return {"op4_exact_dedup": OP4_SQL, "op7_extendible_shards": sharding.ORACLE, "op13_fill_middle": fill_middle.ORACLE}
+    return {"op4_exact_dedup": OP4_SQL, "op7_extendible_shards": sharding.ORACLE, "op12_prefix_trie": prefix_trie.ORACLE, "op13_fill_middle": fill_middle.ORACLE}
