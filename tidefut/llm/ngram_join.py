@@ -8,7 +8,9 @@ of three partitions, and each two partitions of a group are enumerated: the part
 both of them is one signature. The differences touch at most ``k`` partitions, and it takes two
 of a group to change all of its three signatures, so at least ``groups - k // 2`` groups keep one.
 A set with that many groups that have two empty partitions could agree on empty ones alone, so
-it also signs under further, independent divisions. Sets that share no signature can't link.
+it also signs under further, independent divisions, until one separates it. Where ``k`` is 0 only equal
+sets link, which are one set anyway; where it is 1 each element is a partition of its own, and the set and the set
+less each element are the signatures. Sets that share no signature can't link.
 
 Spark deals the signatures out by their value; a task reads its own in order, a stream of rows
 whatever the size of a group. Each set is first compared with the least set of the runs that most
@@ -45,7 +47,8 @@ WIDTH = 5
 #: Jaccard similarity as a fraction of whole numbers.
 NUM, DEN = 80, 100
 BAND = 1.4
-LEVELS = 4
+#: Divisions of the shingle domain; a set of eight shingles or more needs a second one rarely and a tenth one hardly ever.
+LEVELS = 100
 #: Bits of the smallest and largest sketch of a set, powers of two; between them, two to four bits a shingle.
 CELLS, MOST_CELLS = 256, 1 << 16
 #: Members of one run that are compared in one block with one another.
@@ -83,9 +86,10 @@ def shingle_sets(texts: list[str], table: WordTable) -> list[np.ndarray]:
     h = table.values[0][at]
     step = np.uint64(0x9E3779B97F4A7C15)
     sizes = np.fromiter(map(len, split), np.int64, len(split))
-    long = np.zeros(max(0, len(h) - WIDTH + 1), np.uint64)
+    m = max(0, len(h) - WIDTH + 1)
+    long = np.zeros(m, np.uint64)
     for k in range(WIDTH):
-        long = long * step + h[k : len(h) - WIDTH + 1 + k]
+        long = long * step + h[k : k + m]
     long = mix64(long, 5)
     out, a = [], 0
     for n in sizes.tolist():
@@ -116,6 +120,14 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     docs = np.concatenate([np.flatnonzero(sizes > 0), np.flatnonzero((sizes > 0) & upper)])
     band = np.concatenate([own[sizes > 0], own[(sizes > 0) & upper] + 1])
     found, owners = [], []
+    one, many = diff[band] == 1, diff[band] > 1
+    if one.any():
+        few, n = docs[one], sizes[docs[one]]
+        h = mix64(np.concatenate([sets[i] for i in few]), 29)
+        total = np.add.reduceat(h, np.cumsum(n) - n) + mix64(band[one].astype(np.uint64), 61)
+        found += [mix64(total, 19), mix64(np.repeat(total, n) - h, 19)]
+        owners += [few, np.repeat(few, n)]
+    docs, band = docs[many], band[many]
     for level in range(LEVELS):
         if not len(docs):
             break
@@ -123,12 +135,12 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         p = 3 * g
         h = np.concatenate([sets[i] for i in docs])
         each = np.repeat(np.arange(len(docs)), n)
-        place = ((mix64(h, 100 + level) >> np.uint64(32)) * p[each].astype(np.uint64)) >> np.uint64(32)
+        place = ((mix64(h, 1000 + level) >> np.uint64(32)) * p[each].astype(np.uint64)) >> np.uint64(32)
         slot = (np.cumsum(p) - p)[each] + place.astype(np.int64)
         order = np.argsort(slot, kind="stable")
         starts = np.flatnonzero(np.append(True, np.diff(slot[order]) > 0))
         total, filled = np.zeros(int(p.sum()), np.uint64), np.zeros(int(p.sum()), bool)
-        total[slot[order][starts]] = np.add.reduceat(mix64(h[order], 200 + level), starts)
+        total[slot[order][starts]] = np.add.reduceat(mix64(h[order], 2000 + level), starts)
         filled[slot] = True
         total, filled = total.reshape(-1, 3), filled.reshape(-1, 3)
         of = np.repeat(np.arange(len(docs)), g)
@@ -141,7 +153,7 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         weak = np.bincount(of, filled.sum(axis=1) < 2, len(docs))
         again = weak >= g - k // 2
         docs, band = docs[again], band[again]
-    if len(docs):  # no division separated them: one signature for all of the band
+    if len(docs):  # hashes failed: one signature for all of the band
         found.append(mix64(band.astype(np.uint64), 23))
         owners.append(docs)
     if not found:
