@@ -33,7 +33,7 @@ from .common import drop_table, kept, materialize, small_batches, texts_of
 
 #: Chunks that are sent to all tasks, at most, and the characters of the longest of them: about 50 MB, 500 at the very most.
 SENT_CHUNKS, LONGEST = 1_000_000, 64
-#: Further chunks that a worker remembers between batches; more are encoded anew.
+#: Further chunks of that length that a worker remembers between batches; more, and longer ones, are encoded anew.
 REMEMBERED = 150_000
 #: Words that are replayed together.
 BLOCK = 50_000
@@ -190,7 +190,11 @@ class Encoder:
         self.learn(new)
         at = self.chunks.__getitem__
         out = [b"".join(map(at, s)) for s in split]
-        self.more += new
+        for c in new:
+            if len(c) > LONGEST:
+                del self.chunks[c]
+            else:
+                self.more.append(c)
         if len(self.more) > REMEMBERED:
             for c in self.more:
                 del self.chunks[c]
@@ -213,7 +217,7 @@ class Sent:
 
 
 def count_chunks(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(chunk, n) over whole texts: counted per task first, then summed in the shuffle."""
+    """(chunk, n) of chunks up to ``LONGEST`` over whole texts: counted per task first, then summed in the shuffle."""
 
     def counted(batches):
         split, held = Encoder(path, pattern).split, Counter()
@@ -223,7 +227,7 @@ def count_chunks(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
         for batch in batches:
             for a, b in small_batches(batch.column(0)):
-                held.update(c for t in texts_of(batch.column(0), a, b) for c in split(t))
+                held.update(c for t in texts_of(batch.column(0), a, b) for c in split(t) if len(c) <= LONGEST)
                 if len(held) > 300_000:
                     yield from rows()
                     held = Counter()
@@ -235,7 +239,7 @@ def count_chunks(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 def sent_chunks(docs: DataFrame, path: str, pattern: str, most: int = SENT_CHUNKS) -> Sent:
     """The corpus's commonest chunks with their ids: all with a number of uses such that there are at most ``most``."""
     counts = materialize(count_chunks(docs, path, pattern), "bpe-chunks")
-    short = counts.where((F.col("n") > 1) & (F.char_length("chunk") <= LONGEST))
+    short = counts.where("n > 1")
     # by sixteenths of powers of two: the table of numbers of uses is small, whatever the corpus
     step = F.floor(F.log2("n") * 16)
     least, total = None, 0

@@ -240,15 +240,20 @@ def count_words(rows: DataFrame, label: str, text: str = "text") -> DataFrame:
         size, kind = 0, pa.string()
         for batch in batches:
             kind = batch.schema.field(0).type
-            labels, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lab in set(labels):
-                own = held.setdefault(lab, Counter())
-                size -= len(own)
-                own.update(c for a, t in zip(labels, texts, strict=True) if a == lab and t for c in t.split())
-                size += len(own)
-            if size > 300_000:
-                yield from _word_rows(held, kind)
-                held, size = {}, 0
+            labels = batch.column(0).to_pylist()
+            for a, b in small_batches(batch.column(1)):
+                texts, long = texts_of(batch.column(1), a, b), {}
+                for lab in set(labels[a:b]):
+                    own = held.setdefault(lab, Counter())
+                    size -= len(own)
+                    mine = Counter(c for x, t in zip(labels[a:b], texts, strict=True) if x == lab for c in t.split())
+                    long[lab] = Counter({c: n for c, n in mine.items() if len(c) > WordTable.LONGEST})
+                    own.update({c: n for c, n in mine.items() if len(c) <= WordTable.LONGEST})
+                    size += len(own)
+                yield from _word_rows(long, kind)  # long chunks aren't held
+                if size > 300_000:
+                    yield from _word_rows(held, kind)
+                    held, size = {}, 0
         yield from _word_rows(held, kind)
 
     kind = rows.schema[label].dataType.simpleString()
