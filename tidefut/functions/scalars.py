@@ -13,7 +13,7 @@ MONTH_NAMES = {
 }
 OLD_ROOTS = {"BOI": "BGI", "ICN": "CCM"}
 
-_SPACE = " \t\r\n"
+SPACE = " \t\r\n"
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 _ACCENTED = "ÁÀÂÃÄÅÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑáàâãäåéèêëíìîïóòôõöúùûüçñ"
 _PLAIN = "AAAAAAEEEEIIIIOOOOOUUUUCNaaaaaaeeeeiiiiooooouuuucn"
@@ -25,9 +25,9 @@ def lookup(values: dict, key: Column) -> Column:
 
 def pt_number(col: Column) -> Column:
     """Text such as ``1.234,5-`` as a double; blanks, ``&nbsp;`` and other text are null."""
-    t = F.btrim(col, F.lit(_SPACE))
+    t = F.btrim(col, F.lit(SPACE))
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"[+-]$", ""), r"\.", ""), ",", ".")
-    plain = F.btrim(plain, F.lit(_SPACE))
+    plain = F.btrim(plain, F.lit(SPACE))
     value = F.when(plain.rlike(_NUMBER), plain.try_cast("double"))
     return F.when(t.endswith("-"), -F.abs(value)).otherwise(value)
 
@@ -37,18 +37,18 @@ def fold_accents(col: Column) -> Column:
 
 
 def sanitize_name(col: Column) -> Column:
-    t = F.regexp_replace(fold_accents(F.btrim(col, F.lit(_SPACE))), "[^A-Za-z0-9]+", "_")
+    t = F.regexp_replace(fold_accents(F.btrim(col, F.lit(SPACE))), "[^A-Za-z0-9]+", "_")
     return F.lower(F.btrim(t, F.lit("_")))
 
 
 def normalize_root(col: Column) -> Column:
-    t = F.upper(F.btrim(col, F.lit(_SPACE)))
+    t = F.upper(F.btrim(col, F.lit(SPACE)))
     return F.when(t != "", t)
 
 
 def parse_date(col: Column) -> Column:
     """ISO or day/month/year; impossible dates are null."""
-    t = F.btrim(col, F.lit(_SPACE))
+    t = F.btrim(col, F.lit(SPACE))
     iso = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(t, "yyyy-MM-dd"))
     return F.coalesce(iso, F.when(t.rlike(r"^\d{2}/\d{2}/\d{4}$"), F.try_to_date(t, "dd/MM/yyyy")))
 

@@ -15,8 +15,10 @@ from ..operators import treatments as T
 from ..sources import reports as P
 from ..sources import store
 from ..sources.folders import new_path
+from ..streaming.arrivals import ingest_arrivals
+from . import retrieve as R
 from . import update as U
-from .quotes import DAILY, quotes
+from .quotes import DAILY, WEEKLY, quotes
 
 QUERIES: dict[str, tuple] = {}
 
@@ -37,13 +39,13 @@ def _row(*cells) -> Column:
     return F.concat(F.lit("<tr>"), *(x for c in cells for x in (F.lit("<td>"), c if isinstance(c, Column) else F.lit(c), F.lit("</td>"))), F.lit("</tr>"))
 
 
-def rendered(spark: SparkSession, sf_dir: str, more: Column | int = 0) -> DataFrame:
-    """One page for each root and day; a page lists the few contracts of its day. ``more`` is added to closing prices."""
+def rendered(spark: SparkSession, sf_dir: str, more: Column | int = 0, weekly: bool = False, own: bool = False) -> DataFrame:
+    """One page for each root and day (or week); a page lists the few contracts of its day. ``more`` is added to closing prices; ``own`` adds a column of a name unknown so far."""
     day = F.dayofmonth("date") % 10
     code = F.when(F.dayofmonth("date") % 2 == 0, F.col("ticker")).otherwise(F.substring("ticker", 4, 3))
-    q = quotes(spark, sf_dir).withColumn("close", F.col("close") + more)
+    q = quotes(spark, sf_dir, weekly).withColumn("close", F.col("close") + more)
     q = q.select("date", "root", "ticker", code.alias("code"), *(localized(F.col(c)).alias(c) for c in ("open", "low", "high", "close", "volume")), *(localized(F.col(c), 0).alias(c) for c in ("volume_qty", "trade_count")))
-    cell = F.struct("ticker", _row(F.col("code")).alias("c"), _row(F.concat(F.lit(" "), F.lower("code"), F.lit("&nbsp;")), "5", F.col("trade_count"), F.col("volume_qty"), F.col("volume")).alias("v"), _row(*(F.col(c) for c in ("code", "open", "low", "high", "close")), "0,50-").alias("p"))
+    cell = F.struct("ticker", _row(F.col("code")).alias("c"), _row(F.concat(F.lit(" "), F.lower("code"), F.lit("&nbsp;")), "5", F.col("trade_count"), F.col("volume_qty"), F.col("volume"), *([F.concat(F.lit("m"), F.col("trade_count"))] if own else [])).alias("v"), _row(*(F.col(c) for c in ("code", "open", "low", "high", "close")), "0,50-").alias("p"))
     page = q.groupBy("root", "date").agg(F.sort_array(F.collect_list(cell)).alias("rows"), F.first(F.date_format("date", "dd/MM/yyyy")).alias("day"))
     body = lambda part: F.array_join(F.transform("rows", lambda r: r[part]), "")
     reverse = lambda part: F.array_join(F.transform(F.reverse("rows"), lambda r: r[part]), "")
@@ -52,7 +54,7 @@ def rendered(spark: SparkSession, sf_dir: str, more: Column | int = 0) -> DataFr
     choices = F.concat(F.lit("<select id='comboMerc1'><option value='0'>-</option><option value='"), F.when(day == 7, "XXX").otherwise(F.col("root")), F.lit("  '>"), F.lower(F.when(day == 7, "XXX").otherwise(F.col("root"))), F.lit(" : name</option></select>"))
     tables = F.concat(
         F.lit("<div id='MercadoFut0'><table>"), _row("VENCTO"), body("c"), F.lit("</table></div><div id='MercadoFut1'><table>"),
-        _row("VENCTO", "CONTR. ABERT.(1)", "NUM. NEGOC.", "CONTR. NEGOC.", "VOL."), reverse("v"), F.lit("</table></div>"),
+        _row("VENCTO", "CONTR. ABERT.(1)", "NUM. NEGOC.", "CONTR. NEGOC.", "VOL.", *(["MARGEM (7)"] if own else [])), reverse("v"), F.lit("</table></div>"),
         F.when(day == 5, scripted).otherwise(F.concat(F.lit("<div id='MercadoFut2'>"), prices, F.lit("</div>"))),
     )
     html = F.when(day == 0, F.lit("<p>Não há &nbsp;dados para a\ndata &nbsp; consultada</p>")).otherwise(F.concat(choices, tables, F.lit("<table><tr><td>ATUALIZADO EM "), F.col("day"), F.lit("</td></tr></table>")))
@@ -254,3 +256,80 @@ def rebuilt_store(spark, sf_dir):
     skip.select(name, "root", "date").write.mode("append").parquet(f"{folder}/no_data")
     U.rebuild_store(spark, pages.where(F.month("date") >= 4), folder)
     return store.read_bulletins(spark, f"{folder}/bulletins").select("date", "root", "ticker", "close")
+
+
+def _skip_rows(days: DataFrame) -> DataFrame:
+    return days.select(F.concat("root", F.lit("_"), F.col("date").cast("string"), F.lit(".html")).alias("filename"), "root", "date")
+
+
+@register(f"WITH q AS ({DAILY}) SELECT date, root, ticker, close FROM q WHERE {_GOOD} AND day(date) NOT IN (13, 14) AND NOT (root = 'ICF' AND month(date) = 2)")
+def store_in_three_runs(spark, sf_dir):
+    """Some pages; the other pages, and days to skip; then one day that the registry gives free again, and others to skip. Each run reads what it changes."""
+    folder = new_path(spark, "store")
+    pages = rendered(spark, sf_dir)
+    days = pages.select("root", "date")
+    U.update_store(spark, pages.where(F.month("date") < 6), folder, run="one")
+    free = F.dayofmonth("date") == 15
+    _skip_rows(days.where(F.dayofmonth("date").isin(13, 15))).write.mode("append").parquet(f"{folder}/no_data")
+    U.update_store(spark, pages, folder, run="two")
+    kept = spark.read.parquet(f"{folder}/no_data").where(~free)
+    more = _skip_rows(days.where((F.dayofmonth("date") == 14) | ((F.col("root") == "ICF") & (F.month("date") == 2))))
+    kept.unionByName(more).write.parquet(f"{folder}/no_data_next")
+    spark.read.parquet(f"{folder}/no_data_next").write.mode("overwrite").parquet(f"{folder}/no_data")
+    for _ in range(2):  # the second time changes nothing
+        U.update_store(spark, pages, folder, run="three")
+    return R.stored_bulletins(spark, folder).select("date", "root", "ticker", "close")
+
+
+@register(f"WITH q AS ({WEEKLY}) SELECT date, root, ticker, open, low, high, close, volume_qty AS contracts_traded FROM q WHERE {_GOOD}")
+def arrived_pages(spark, sf_dir):
+    """Pages written to storage under their names and taken by a stream: half of them, then all that came later; a committed batch once more."""
+    raw, folder, checkpoint = new_path(spark, "raw"), new_path(spark, "store"), new_path(spark, "checkpoint")
+    pages = rendered(spark, sf_dir, weekly=True)
+    for part in (F.month("date") < 7, F.month("date") >= 7):
+        store.write_reports(pages.where(part), raw)
+        ingest_arrivals(spark, raw, folder, checkpoint, files_per_batch=2_000).awaitTermination()
+    run = spark.read.parquet(f"{folder}/commits").agg(F.min("run")).first()[0]
+    U.update_store(spark, store.read_reports(spark, raw), folder, run=run)
+    return R.stored_bulletins(spark, folder).select("date", "root", "ticker", "open", "low", "high", "close", "contracts_traded")
+
+
+@register(f"WITH q AS ({WEEKLY}) SELECT root, date, count(*) AS n_rows, CAST(sum(close + CASE WHEN month(date) < 7 THEN 1 ELSE 0 END) * 4 AS BIGINT) AS quarters, FALSE AS stale FROM q WHERE {_GOOD} GROUP BY root, date")
+def compacted_days(spark, sf_dir):
+    """Parsed in three runs, some days twice; compacted, the log still has each day's last state, and no page is stale."""
+    folder = new_path(spark, "store")
+    pages = rendered(spark, sf_dir, weekly=True)
+    half = F.month("date") < 7
+    for run, some, refresh in (("one", pages.where(half), None), ("two", pages, None), ("three", rendered(spark, sf_dir, 1, weekly=True).where(half), pages.where(half))):
+        U.update_store(spark, some, folder, refresh, run=run)
+    U.compact_store(spark, folder)
+    stale = store.stale_reports(pages.select("root", "date"), U.day_states(spark, folder)).withColumn("stale", F.lit(True))
+    rows = P.bulletin_rows(store.collect_parsed_days(spark, f"{folder}/parsed"))
+    counted = rows.groupBy("root", "date").agg(F.count("*").alias("n_rows"), (F.sum("close") * 4).cast("long").alias("quarters"))
+    return counted.join(stale, ["root", "date"], "full").select("root", "date", "n_rows", "quarters", F.coalesce("stale", F.lit(False)).alias("stale"))
+
+
+@register(f"WITH q AS ({DAILY}) SELECT date, ticker, open AS o, close AS c, volume AS v, 'named' AS how FROM q WHERE ticker IN ('WINM96', 'DI1F97') AND date BETWEEN DATE '1996-02-01' AND DATE '1996-12-31' UNION ALL SELECT date, ticker, open, close, volume, 'joined' FROM q WHERE root IN ('WIN', 'BGI') AND date >= DATE '1996-01-01'")
+def stored_contracts(spark, sf_dir):
+    """Contracts by ticker from the partitions of their roots and years: a short list, and a table of tickers with many that the store lacks."""
+    folder = new_path(spark, "store")
+    q = quotes(spark, sf_dir)
+    store.write_bulletins(q.withColumnRenamed("volume_qty", "contracts_traded"), f"{folder}/bulletins")
+    short = lambda df, how: df.select("date", "ticker", F.col("Open").alias("o"), F.col("Close").alias("c"), F.col("Volume").alias("v"), F.lit(how).alias("how"))
+    named = R.get_stored_contracts(spark, folder, [" winm96", "DI1F97", "nothing"], "1996-02-01", "1996-12-31")
+    many = q.where("root in ('WIN', 'BGI')").select(F.lower("ticker").alias("ticker")).union(spark.range(2 * R.NAMED_TICKERS).selectExpr("concat('ZZZ', id)"))
+    return short(named, "named").unionByName(short(R.get_stored_contracts(spark, folder, many, start="1996-01-01"), "joined"))
+
+
+@register(f"WITH q AS ({WEEKLY}) SELECT date, root, ticker, close, CASE WHEN month(date) >= 4 THEN concat('m', trade_count) END AS margin FROM q WHERE {_GOOD}")
+def unknown_columns(spark, sf_dir):
+    """A column that no canonical name fits appears in later pages, is promoted, comes with further pages, and is read back from all of them."""
+    folder = new_path(spark, "store")
+    old, new = (rendered(spark, sf_dir, weekly=True, own=own) for own in (False, True))
+    U.update_store(spark, old.where("month(date) < 4"), folder)
+    U.update_store(spark, new.where("month(date) between 4 and 8"), folder)
+    U.promote_extras(spark, folder, 0.1)
+    U.update_store(spark, new.where("year(date) > 1993 and month(date) > 8"), folder)
+    U.update_store(spark, new.where("month(date) > 8"), folder)
+    rows = R.stored_bulletins(spark, folder)
+    return rows.select("date", "root", "ticker", "close", F.col("margem_7").alias("margin"))

@@ -36,6 +36,14 @@ def without_days(df: DataFrame, days: DataFrame) -> DataFrame:
     return df.join(days.select("root", "date").distinct(), ["root", "date"], "left_anti")
 
 
+def promote(df: DataFrame, names: list[str]) -> DataFrame:
+    """Entries of the map ``extras`` as text columns of their own, beside what these columns hold already."""
+    if not names or "extras" not in df.columns:
+        return df
+    cols = {n: F.coalesce(F.col(f"`{n}`"), F.col("extras")[n]) if n in df.columns else F.col("extras")[n] for n in names}
+    return df.withColumns(cols).withColumn("extras", F.map_filter("extras", lambda k, _: ~k.isin(names)))
+
+
 def drop_empty_columns(df: DataFrame) -> DataFrame:
     counts = df.agg(*(F.count(F.col(c)).alias(c) for c in df.columns)).first().asDict()
     return df.select([c for c in df.columns if counts[c]])
