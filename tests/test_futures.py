@@ -105,7 +105,7 @@ def test_offsets_are_the_weekday_rules(spark):
         assert rows.where("maturity <> want or maturity is null").count() == 0, root
 
 
-@pytest.mark.parametrize("name", ["localized_numbers", "deduplicated_rows", "missing_sessions", "merged_days", "ohlcv_carried_forward", "clean_bulletins", "active_contracts", "many_roots_adjusted", "many_roots_active", "rolls_by_other_prices", "series_specs", "validated_quotes", "old_tickers", "month_days"])
+@pytest.mark.parametrize("name", ["localized_numbers", "deduplicated_rows", "missing_sessions", "merged_days", "ohlcv_carried_forward", "clean_bulletins", "active_contracts", "many_roots_adjusted", "many_roots_active", "rolls_by_other_prices", "series_specs", "validated_quotes", "old_tickers", "month_days", "ohlcv_carried_back_in_blocks", "one_series_carried_forward", "backward_in_appends", "active_by_own_rules", "grouped_treatment"])
 def test_query_matches_sql(spark, name):
     db = duckdb.connect()
     for t in ("lineitem", "part"):

@@ -12,9 +12,11 @@ from ..functions.maturity import contract_calendar, estimate_maturity
 from ..operators import continuous as C
 from ..operators import merge as M
 from ..operators import treatments as T
+from ..sources.folders import new_path
 from . import retrieve as R
-from .report_queries import QUERIES
 from .quotes import DAILY, WEEKLY, quotes
+from .report_queries import QUERIES
+from .series import append_days, stored_series
 
 ROOTS = ("DOL", "WIN", "CCM", "BGI", "ICF", "DI1")
 SERIES = {r: [r] for r in ROOTS}
@@ -127,6 +129,44 @@ def many_roots_active(spark, sf_dir):
     return C.build_backward_adjusted(dated(spark, sf_dir, True), _TYPED, months="FHKNUXZ").active
 
 
+def _in_appends(spark, sf_dir, backward: bool) -> DataFrame:
+    """The first year, three more, some of these again and later weeks with other prices, then these and all that is left; read back by partitions."""
+    folder = new_path(spark, "series")
+    q, day = dated(spark, sf_dir, True), F.col("date")
+    other = q.withColumns({c: F.col(c) + 1 for c in C.PRICES})
+    parts = [q.where(day < "1996-01-01"), q.where((day >= "1996-01-01") & (day < "1999-01-01")), other.where((day >= "1998-06-01") & (day < "2000-06-01")), q.where(day >= "1998-06-01")]
+    for part in parts:
+        append_days(spark, part, folder, SERIES)
+    rows = stored_series(spark, folder, backward=backward)
+    return rows.select("series", "date", *(F.round(F.col(c.capitalize()), 4).alias(f"{c}_adj") for c in C.PRICES), "Volume", "Volume_Qty")
+
+
+@register(_series_sql(True, _PRICES_SQL))
+def backward_in_appends(spark, sf_dir):
+    return _in_appends(spark, sf_dir, True)
+
+
+@register(_series_sql(False, _PRICES_SQL))
+def forward_in_appends(spark, sf_dir):
+    return _in_appends(spark, sf_dir, False)
+
+
+#: A user's own rules, as rows (root, base, weekday, roll, offset); the other roots keep theirs.
+OWN_RULES = [("win", "18", 5, None, 0), ("DOL ", "first", None, "forward", 2), ("DI1", "last", None, "back", -3)]
+_WEEKDAYS = "(SELECT x, row_number() OVER (ORDER BY x) AS k FROM (SELECT CAST(unnest(range(DATE '1990-01-01', DATE '2009-12-31', INTERVAL 1 DAY)) AS DATE) AS x) c0 WHERE isodow(x) < 6)"
+_OWN_MATURITY = f"""own AS (SELECT qm.* EXCLUDE (maturity), CASE root WHEN 'WIN' THEN (SELECT max(x) FROM {_WEEKDAYS} w WHERE isodow(x) = 5 AND abs(x - make_date(y, m, 18)) <= 3)
+  WHEN 'DOL' THEN (SELECT w.x FROM {_WEEKDAYS} w WHERE k = (SELECT min(k) + 2 FROM {_WEEKDAYS} v WHERE v.x >= make_date(y, m, 1)))
+  WHEN 'DI1' THEN (SELECT w.x FROM {_WEEKDAYS} w WHERE k = (SELECT max(k) - 3 FROM {_WEEKDAYS} v WHERE v.x <= {_LAST})) ELSE maturity END AS maturity
+  FROM (SELECT DISTINCT ticker, root, maturity, CAST(CASE WHEN CAST(right(ticker, 2) AS INT) <= 40 THEN 2000 ELSE 1900 END + CAST(right(ticker, 2) AS INT) AS BIGINT) AS y, CAST(instr('FGHJKMNQUVXZ', substr(ticker, 4, 1)) AS BIGINT) AS m FROM qm) qm)"""
+
+
+@register(_series_sql(True, _ACTIVE_SQL).replace("u AS (SELECT series, qm.*", f"{_OWN_MATURITY}, qo AS (SELECT qm.* REPLACE (own.maturity AS maturity) FROM qm JOIN own USING (ticker)),\nu AS (SELECT series, qm.*").replace("FROM qm JOIN m USING (root)", "FROM qo qm JOIN m USING (root)"))
+def active_by_own_rules(spark, sf_dir):
+    """Maturities by a table of rules, from the calendar of contracts, for quotes that have none."""
+    rules = spark.createDataFrame(OWN_RULES, "root string, base string, weekday int, roll string, offset int")
+    return C.build_backward_adjusted(quotes(spark, sf_dir, True), SERIES, rules=rules).active
+
+
 _ODD = f"""SELECT q0.* REPLACE (CASE trade_count % 6 WHEN 0 THEN NULL WHEN 1 THEN CAST('nan' AS DOUBLE) WHEN 2 THEN 0.0 WHEN 3 THEN CAST('infinity' AS DOUBLE) ELSE close END AS close),
   CASE WHEN day(date) % 3 = 0 THEN open END AS settlement_price, CASE WHEN day(date) % 2 = 0 THEN high END AS average_price FROM ({WEEKLY}) q0"""
 
@@ -317,6 +357,26 @@ def ohlcv_carried_forward(spark, sf_dir):
     return _short(T.treat_ohlcv_locf(holes(spark, sf_dir)))
 
 
+_ZEROED = f"""{_HOLES}, z AS (SELECT date, ticker, volume, {", ".join(f"CASE WHEN coalesce(open = 0 AND high = 0 AND low = 0 AND close = 0, FALSE) THEN NULL ELSE {c} END AS {c}" for c in C.PRICES)} FROM h)"""
+
+
+@register(f"""WITH {_ZEROED} SELECT date, ticker, {", ".join(f"first_value({c} IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS {c[0]}" for c in C.PRICES)}, volume AS v FROM z""")
+def ohlcv_carried_back_in_blocks(spark, sf_dir):
+    """The next known price, each series in blocks."""
+    return _short(T.treat_ohlcv_locf(holes(spark, sf_dir), from_last=True, blocked=True))
+
+
+@register(
+    f"""WITH {_HOLES}, d AS (SELECT date, {", ".join(f"max({c}) AS {c}" for c in C.PRICES)} FROM (SELECT date, {", ".join(f"CASE WHEN day(date) % {k} = 0 THEN {c} END AS {c}" for k, c in enumerate(C.PRICES, 2))} FROM h) GROUP BY date)
+SELECT date, {", ".join(f"last_value(CASE WHEN coalesce(open = 0 AND high = 0 AND low = 0 AND close = 0, FALSE) THEN NULL ELSE {c} END IGNORE NULLS) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {c[0]}" for c in C.PRICES)} FROM d"""
+)
+def one_series_carried_forward(spark, sf_dir):
+    """One series without a key, most of whose prices are unknown."""
+    some = {c: F.max(F.when(F.dayofmonth("date") % k == 0, F.col(c))).alias(c) for k, c in enumerate(C.PRICES, 2)}
+    out = T.treat_ohlcv_locf(holes(spark, sf_dir).groupBy("date").agg(*some.values()))
+    return out.select("date", *(F.col(a).alias(b) for a, b in zip(("Open", "High", "Low", "Close"), "ohlc", strict=True)))
+
+
 @register(f"WITH {_HOLES}, q AS (SELECT * FROM h), mat AS {_MATURITY} SELECT h.date, h.root, h.ticker, open, high, low, close, volume, volume_qty, maturity FROM h JOIN mat USING (ticker) WHERE h.root IN ('WIN', 'BGI') AND h.date >= DATE '1995-01-01' AND h.date <= DATE '1997-12-31' AND open <> 0 AND high <> 0 AND low <> 0 AND close <> 0")
 def clean_bulletins(spark, sf_dir):
     return R.get_bulletins(holes(spark, sf_dir), ["win", " BGI "], "1995-01-01", "1997-12-31", "clean_data_drop0")
@@ -327,6 +387,18 @@ def contracts_by_ticker(spark, sf_dir):
     return _short(R.get_contracts(holes(spark, sf_dir), ["winm96", "DI1F97"], start="1996-02-01"))
 
 
+def _drawdown(rows):
+    """A user's function of one contract's rows: the fall of the close from its highest so far, and the days since the contract's first."""
+    return rows.assign(fall=rows["close"] - rows["close"].cummax(), age=[(d - rows["date"].iloc[0]).days for d in rows["date"]])[["date", "ticker", "fall", "age"]]
+
+
+@register(f"WITH q AS ({DAILY}) SELECT date, ticker, close - max(close) OVER (PARTITION BY ticker ORDER BY date) AS fall, date_diff('day', min(date) OVER (PARTITION BY ticker), date) AS age FROM q")
+def grouped_treatment(spark, sf_dir):
+    """A treatment by a user's function for each contract."""
+    own = T.grouped_treatment(_drawdown, "date date, ticker string, fall double, age long")
+    return R.get_bulletins(quotes(spark, sf_dir), treatment=lambda df: own(df.select("date", "ticker", "close"))).drop("maturity")
+
+
 @register(f"WITH q AS (SELECT DISTINCT root, ticker FROM ({DAILY}) x) SELECT root, ticker, CASE WHEN root = 'CCM' THEN 450.0 END AS multiplier, CASE WHEN root = 'CCM' THEN 'USD' END AS currency FROM q")
 def specified_contracts(spark, sf_dir):
     q = quotes(spark, sf_dir).select("root", "ticker").distinct()

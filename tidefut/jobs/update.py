@@ -155,12 +155,7 @@ def _replace_days(spark: SparkSession, parsed: DataFrame, skip: DataFrame, new_s
     gone = without_days(new_skip, parsed).select("root", "date", F.lit("skipped").alias("status"), F.lit(PARSER_VERSION).alias("parser_version"))
     store.write_run(states.unionByName(gone).withColumn("parsed_at", F.current_timestamp()), f"{folder}/days", run)
     store.write_run(spark.range(1).select(F.current_timestamp().alias("at")), f"{folder}/commits", run)
-    _delete(spark, stage)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    store.delete_folder(spark, stage)
 
 
 def compact_store(spark: SparkSession, folder: str) -> None:

@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 
 from ..functions import names as N
 from ..functions import scalars as S
+from ..functions.sizes import broadcast_if_small
+from ..sources.folders import new_path
 
 OHLC = ["Open", "High", "Low", "Close"]
 # fixed values: series column of each canonical name
@@ -74,10 +76,45 @@ def treat_ohlcv_drop0(df: DataFrame, cols: list[str] | None = None, eps: float =
     return out.where(~_all_zero(out, cols, eps)) if cols else out
 
 
-def treat_ohlcv_locf(df: DataFrame, zero_to_na_first: bool = True, cols: list[str] | None = None, from_last: bool = False, eps: float = 0.0, leading: str = "keep", keys: list[str] | None = None) -> DataFrame:
+def carried_over(df: DataFrame, cols: list[str], keys: list[str], from_last: bool = False) -> DataFrame:
+    """The last (or next) known value of each column, by date, in blocks: for series that are too long for one task each, or a single one.
+
+    Rows are dealt by ranges of keys and date and written with the number of their block. Each block is filled by
+    itself; what it knows at its end (a row for each series and block) is carried to the series' next blocks, and joined back
+    to the rows that have nothing before them in their own.
+    """
+    spark, path = df.sparkSession, new_path(df.sparkSession, "carried-blocks")
+    block, known, one = "block__", "known__", "one__"
+    dealt = df.repartitionByRange(*keys, "date").withColumn(block, F.spark_partition_id())
+    dealt.write.parquet(path)
+    rows = spark.read.schema(dealt.schema).parquet(path)
+    keyed = rows.withColumn(one, F.lit(0))
+    w = Window.partitionBy(block, *keys).orderBy("date")
+    frame = w.rowsBetween(0, Window.unboundedFollowing) if from_last else w.rowsBetween(Window.unboundedPreceding, 0)
+    filled = keyed.withColumns({c: (F.first if from_last else F.last)(c, ignorenulls=True).over(frame) for c in cols})
+    pick = F.min_by if from_last else F.max_by
+    ends = keyed.groupBy(one, *keys, block).agg(*(pick(c, F.when(F.col(c).isNotNull(), F.col("date"))).alias(c) for c in cols))
+    # a series has few blocks: one array holds what they know
+    series = ends.groupBy(one, *keys).agg(F.sort_array(F.collect_list(F.struct(block, *cols)), asc=not from_last).alias(known))
+
+    def before(c: str):
+        """What the blocks before a row's own know last."""
+        values = F.transform(F.slice(known, F.lit(1), F.col("at__")), lambda x: x[c])
+        return F.try_element_at(F.filter(values, lambda v: v.isNotNull()), F.lit(-1))
+
+    carry = series.select(*keys, known, F.posexplode(known).alias("at__", "own__"))
+    carry = carry.select(*keys, F.col(f"own__.{block}").alias(block), *(before(c).alias(f"{c}__") for c in cols))
+    carry = carry.select(F.struct(*keys, block).alias(one), *(f"{c}__" for c in cols))
+    same = F.struct(*keys, block)
+    out = filled.drop(one).join(broadcast_if_small(carry), same.eqNullSafe(F.col(one)), "left")
+    return out.select(*(F.coalesce(c, f"{c}__").alias(c) if c in cols else F.col(f"`{c}`") for c in df.columns))
+
+
+def treat_ohlcv_locf(df: DataFrame, zero_to_na_first: bool = True, cols: list[str] | None = None, from_last: bool = False, eps: float = 0.0, leading: str = "keep", keys: list[str] | None = None, blocked: bool | None = None) -> DataFrame:
     """Carries the last (or next) known price of each ticker; volumes stay as they are.
 
-    Rows without a ticker are one series, which one task carries on; ``keys`` names columns that tell series apart instead.
+    Rows without a ticker are one series; ``keys`` names columns that tell series apart instead. With ``blocked`` (by
+    default where there is nothing to tell series apart) a series is carried on in blocks by many tasks.
     """
     out = treat_ohlcv(df, keys)
     keys = keys or [c for c in ("ticker",) if c in out.columns]
@@ -85,10 +122,13 @@ def treat_ohlcv_locf(df: DataFrame, zero_to_na_first: bool = True, cols: list[st
     if zero_to_na_first and cols:
         zero = _all_zero(out, cols, eps)
         out = out.select([F.when(~zero, F.col(c)).alias(c) if c in cols else F.col(c) for c in out.columns])
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("date")
-    frame = w.rowsBetween(0, Window.unboundedFollowing) if from_last else w.rowsBetween(Window.unboundedPreceding, 0)
-    pick = F.first if from_last else F.last
-    out = out.withColumns({c: pick(c, ignorenulls=True).over(frame) for c in cols})
+    if cols and (not keys if blocked is None else blocked):
+        out = carried_over(out, cols, keys, from_last)
+    elif cols:
+        w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("date")
+        frame = w.rowsBetween(0, Window.unboundedFollowing) if from_last else w.rowsBetween(Window.unboundedPreceding, 0)
+        pick = F.first if from_last else F.last
+        out = out.withColumns({c: pick(c, ignorenulls=True).over(frame) for c in cols})
     return out.dropna("all", subset=cols) if leading == "drop" and cols else out
 
 
@@ -129,6 +169,30 @@ AGGREGATE_TREATMENTS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
+#: Rows of one group that a grouped treatment may hold at once.
+GROUP_ROWS = 1_000_000
+
+
+def grouped_treatment(function: Callable, schema: str, keys: tuple[str, ...] = ("ticker",), most: int = GROUP_ROWS) -> Callable[[DataFrame], DataFrame]:
+    """A treatment from a user's function of one group's rows (a pandas frame, by date) to rows of the schema declared.
+
+    Groups are dealt out by Spark; one of more than ``most`` rows is an error, told before any group is treated, as a task
+    holds a whole group. Columns of the keys that are missing are an error too.
+    """
+
+    def treat(df: DataFrame) -> DataFrame:
+        missing = set(keys) - set(df.columns)
+        if missing:
+            raise ValueError(f"missing columns: {sorted(missing)}")
+        large = df.groupBy(*keys).count().where(F.col("count") > most).first()
+        if large:
+            raise ValueError(f"{', '.join(str(large[k]) for k in keys)} has {large['count']} rows; a group may have {most}")
+        by_date = (lambda rows: function(rows.sort_values("date", kind="stable", ignore_index=True))) if "date" in df.columns else function
+        return df.groupBy(*keys).applyInPandas(by_date, schema)
+
+    return treat
+
+
 def resolve_treatment(name: str | Callable[[DataFrame], DataFrame], aggregate: bool = False) -> Callable[[DataFrame], DataFrame]:
     """A treatment by its name in any case (``_tibble`` names are the same data), or the callable given."""
     if callable(name):

@@ -117,7 +117,7 @@ def bulletin_rows(parsed: DataFrame, extras: bool = False) -> DataFrame:
     code = S.contract_code(cell("contract_code"))
     keys = [F.coalesce("report_date", "date").alias("date"), "root", code.alias("contract_code"), S.ticker_of(code, F.col("root")).alias("ticker")]
     known = [*N.KEYS, *N.NUMBERS]
-    rest = [F.map_filter("cells", lambda k, _: ~k.isin(known)).alias("extras")] if extras else []
+    rest = [F.map_filter("cells", lambda k, v: ~k.isin(known) & (F.btrim(v, F.lit(S.SPACE)) != "")).alias("extras")] if extras else []
     rows = parsed.where("status = 'ok'").select(*keys, *(S.pt_number(cell(c)).alias(c) for c in N.NUMBERS), *rest, F.col("row_no").cast("long").alias("arrival_seq"))
     return dedupe_contract_rows(rows).drop("arrival_seq")
 

@@ -61,7 +61,7 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None, **opti
         if schema is None or error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return spark.createDataFrame([], schema)
-    texts = {"root", "run"}  # Spark would take the names of some for numbers
+    texts = {"root", "run", "series"}  # Spark would take the names of some for numbers
     kind = StructType([StructField(f.name, StringType() if f.name in texts else f.dataType) for f in found])
     return spark.read.schema(kind).options(**options).parquet(path)
 
@@ -72,12 +72,16 @@ def write_bulletins(df: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("root", "year").parquet(path)
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def delete_partitions(spark: SparkSession, path: str, gone: DataFrame) -> None:
     """Deletes partition folders: one for each row of ``gone``, named by its columns in order."""
     parts = [F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in gone.columns]
     for row in gone.select(F.concat_ws("/", *parts).alias("part")).distinct().toLocalIterator():
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{row['part']}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        delete_folder(spark, f"{path}/{row['part']}")
 
 
 def years_between(df: DataFrame, start: str | None, end: str | None) -> DataFrame:
