@@ -275,3 +275,34 @@ def test_segmentations_are_summed():
 
     words = ["the", "segment", "ß", "a"]
     assert np.allclose(language_id.word_log_probs(words, pieces, probs), [np.log(brute("▁" + w)) for w in words])
+
+
+def test_nn_descent_finds_rare_pairs(spark):
+    """Twenty pairs just above the threshold among thousands of vectors without a link."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((6_000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(20):
+        other = rng.standard_normal(24)
+        other -= (other @ x[i]) * x[i]
+        x[3_000 + i] = 0.951 * x[i] + (1 - 0.951**2) ** 0.5 * other / np.linalg.norm(other)
+    cos = x @ x.T
+    np.fill_diagonal(cos, 0)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = nn_descent.near_duplicates(vectors).collect()
+    assert {r.vec_id: r.n_links for r in got} == dict(enumerate((cos >= 0.95).sum(axis=1).tolist()))
+    assert sum(not r.kept for r in got) == 20
+    assert {(r.audited_recall, r.audited_links > 20) for r in got} == {(1.0, True)}
+
+
+def test_nn_descent_recall_at_a_lower_threshold(spark):
+    """The given table has no pair near 0.95; at 0.5 it has some, and recall is measured against brute force."""
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = vectors.collect()
+    x = np.array([r.embedding for r in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hit = x @ x.T >= 0.5
+    np.fill_diagonal(hit, False)
+    got = {r.vec_id: r.n_links for r in nn_descent.near_duplicates(vectors, threshold=0.5).collect()}
+    assert all(got[r.vec_id] <= n for r, n in zip(rows, hit.sum(axis=1).tolist(), strict=True))
+    assert sum(got.values()) >= 0.9 * hit.sum()
