@@ -13,8 +13,12 @@ marked article, whatever ``MIN_PAGES`` pages share (unless that is the whole pag
 inside a marked article, which may quote or be syndicated, only what ``MARKED_PAGES`` pages and
 ``MARKED_SHARE`` of the host's pages share.
 
-A host with very many pages is dealt at random into groups of about ``GROUP_PAGES``, for no task may hold a
-host; a substring that few pages of a large host share is seen if enough of them fall into one group.
+No task may hold a host with very many pages: its distinct streams are dealt into groups of about ``GROUP_PAGES``, each with
+a suffix array of its own, and Spark sums what the groups find. Of each repeated substring's first ``MIN_TOKENS`` tokens a
+group gives a fingerprint and the number of its streams that have them: of all, if the host has pages without a marked
+article; else of those alone that the needed share of some group's streams has (what so large a share of all has, so large a
+share of some group has), which all groups then count. The sums go back to the groups, and cover their pages. How
+a host is dealt changes no result.
 Pages with the same stream count as one. White space inside a block is one space, blocks are joined by
 one space. Null or empty html gives an empty text; a null url is a host of its own. Rows that repeat
 an identifier or a page are treated each; very long pages are taken whole; an empty table gives an
@@ -28,15 +32,17 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts_of
+from .common import drop_table, materialize, mix64, small_batches, texts_of
 
 MIN_TOKENS = 8
 MIN_PAGES = 3
 MARKED_PAGES, MARKED_SHARE = 4, 0.5
-GROUP_PAGES = 400
+#: Distinct streams, and bytes of them, that one task holds, about; hosts with more are dealt.
+GROUP_PAGES, GROUP_BYTES = 400, 16_000_000
 #: Large hosts, 16 bytes each, are broadcast up to so many; more are joined by a shuffle.
 BROADCAST_HOSTS = 500_000
 
@@ -168,40 +174,95 @@ def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.append(0, lcp)[:n]
 
 
-def shared_pages(streams: list[list[str]], min_tokens: int = MIN_TOKENS) -> list[np.ndarray]:
-    """For each token of each stream: how many distinct streams have a substring of ``min_tokens`` that covers it (1: no other has)."""
-    number: dict = {}
-    stream_id = [number.setdefault(tuple(s), len(number)) for s in streams]
-    distinct = list(number)
+def arrayed(streams: list[list[str]], min_tokens: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of distinct streams one after the other, each with an end mark: the words by number, all tokens (end marks below 0), and for each
+    token the class of suffixes that begin with the same ``min_tokens``, the number of streams in each class, and where each stream ends."""
     words: dict[str, int] = {}
     flat, page = [], []
-    for p, s in enumerate(distinct):
+    for p, s in enumerate(streams):
         flat += [words.setdefault(w, len(words)) for w in s]
         flat.append(-1 - p)
         page += [p] * (len(s) + 1)
     tokens, page = np.array(flat, np.int64), np.array(page, np.int64)
     order, lcp = suffix_array(tokens)
     run = np.cumsum(lcp < min_tokens)  # suffixes that begin with the same tokens
-    pairs = np.unique(run * len(distinct) + page[order])
-    counts = np.bincount(pairs // len(distinct), minlength=int(run.max(initial=0)) + 1)
-    begin = np.ones(len(tokens), np.int64)
-    begin[order] = counts[run]
-    # an end mark is unlike all others, so what begins too near to it is on one page only
+    pairs = np.unique(run * len(streams) + page[order])
+    counts = np.bincount(pairs // len(streams), minlength=int(run.max(initial=0)) + 1)
+    of = np.zeros(len(tokens), np.int64)
+    of[order] = run
+    return list(words), tokens, of, counts, np.cumsum([len(s) + 1 for s in streams])
+
+
+def covering(begin: np.ndarray, min_tokens: int) -> np.ndarray:
+    """For each token the most that any substring of ``min_tokens`` over it has."""
     cover = begin.copy()
     for k in range(1, min_tokens):
         np.maximum(cover[k:], begin[:-k], out=cover[k:])
-    ends = np.cumsum([len(s) + 1 for s in distinct])
+    return cover
+
+
+def shared_pages(streams: list[list[str]], min_tokens: int = MIN_TOKENS) -> list[np.ndarray]:
+    """For each token of each stream: how many distinct streams have a substring of ``min_tokens`` that covers it (1: no other has)."""
+    number: dict = {}
+    stream_id = [number.setdefault(tuple(s), len(number)) for s in streams]
+    distinct = list(number)
+    _, _, of, counts, ends = arrayed(distinct, min_tokens)
+    # an end mark is unlike all others, so what begins too near to it is on one page only
+    cover = covering(counts[of], min_tokens)
     return [cover[ends[k] - len(distinct[k]) - 1 : ends[k] - 1] for k in stream_id]
 
 
+def fingerprints(words: list[str], tokens: np.ndarray, min_tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each token a fingerprint of the ``min_tokens`` from it on, and whether these end within its stream."""
+    h = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+    own = np.where(tokens >= 0, np.append(h, np.uint64(0))[np.maximum(tokens, 0)], np.uint64(0))
+    n = max(0, len(tokens) - min_tokens + 1)
+    out, whole = np.zeros(len(tokens), np.uint64), np.zeros(len(tokens), bool)
+    whole[:n] = True
+    for k in range(min_tokens):
+        out[:n] = out[:n] * np.uint64(0x9E3779B97F4A7C15) + own[k : k + n]
+        whole[:n] &= tokens[k : k + n] >= 0
+    return mix64(out, 37).view(np.int64), whole
+
+
+def found_in(streams: list[list[str]], least: float, min_tokens: int = MIN_TOKENS) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of what begins the repeated substrings of distinct streams, and how many streams have each, if as many as ``least``."""
+    words, tokens, of, counts, _ = arrayed(streams, min_tokens)
+    prints, whole = fingerprints(words, tokens, min_tokens)
+    at = np.flatnonzero(whole & (counts[of] >= least))
+    at = at[np.unique(of[at], return_index=True)[1]]
+    return prints[at], counts[of[at]]
+
+
+def covered_by(streams: list[list[str]], prints: np.ndarray, totals: np.ndarray, min_tokens: int = MIN_TOKENS) -> list[np.ndarray]:
+    """``shared_pages`` of distinct streams by the numbers that fingerprints have in all of a host."""
+    order = np.argsort(prints)
+    prints, totals = prints[order], totals[order]
+    out = []
+    for s in streams:
+        words: dict[str, int] = {}
+        tokens = np.array([words.setdefault(w, len(words)) for w in s], np.int64)
+        own, whole = fingerprints(list(words), tokens, min_tokens)
+        begin = np.ones(len(s), np.int64)
+        if len(prints):
+            at = np.minimum(np.searchsorted(prints, own), len(prints) - 1)
+            begin = np.where(whole & (prints[at] == own), totals[at], 1)
+        out.append(covering(begin, min_tokens))
+    return out
+
+
+def hidden(shared: np.ndarray, marked: bool, pages: int) -> np.ndarray:
+    """Which tokens of a page are boilerplate, by how many of the host's distinct pages share them."""
+    if marked:
+        return shared >= max(MARKED_PAGES, MARKED_SHARE * pages)
+    covered = shared >= MIN_PAGES
+    return covered & ~covered.all()
+
+
 def boilerplate(streams: list[list[str]], marked: list[bool]) -> list[np.ndarray]:
     """For each page, which of its tokens are covered by substrings that enough distinct pages share."""
     pages = len(set(map(tuple, streams)))
-    out = []
-    for shared, own in zip(shared_pages(streams), marked, strict=True):
-        covered = shared >= (max(MARKED_PAGES, MARKED_SHARE * pages) if own else MIN_PAGES)
-        out.append(covered & ~covered.all() if not own else covered)
-    return out
+    return [hidden(shared, own, pages) for shared, own in zip(shared_pages(streams), marked, strict=True)]
 
 
 def unique_runs(page_blocks: list[str], covered: np.ndarray) -> str:
@@ -211,7 +272,70 @@ def unique_runs(page_blocks: list[str], covered: np.ndarray) -> str:
     return " ".join(w for w, c in zip(words, covered, strict=True) if not c)
 
 
-def extract(pages: DataFrame, repeats: bool = True) -> DataFrame:
+def split_blocks(column) -> list[list[str]]:
+    return [b.split("\n") if b else [] for b in column.to_pylist()]
+
+
+def streams_of(own: list[list[str]]) -> list[list[str]]:
+    return [" ".join(b).split(" ") if b else [] for b in own]
+
+
+def large_hosts(rows: DataFrame, group_pages: int) -> DataFrame:
+    """page_id, url, text, n_chars of pages (page_id, url, host, marked, blocks) of hosts that no task may hold."""
+    kind = rows.schema["page_id"].dataType.simpleString()
+    rows = rows.withColumn("blocks", F.translate("blocks", "\n", " "))  # texts and runs depend on the stream alone
+    rows = materialize(rows.withColumn("key", F.sha2("blocks", 256)), "html-streams")
+    hosts = rows.groupBy("host").agg(F.max(~F.col("marked")).alias("loose"))
+    distinct = materialize(rows.groupBy("host", "key").agg(F.min("blocks").alias("blocks")), "html-distinct")
+    deal = distinct.groupBy("host").agg(F.count("*").alias("pages"), F.greatest(F.ceil(F.count("*") / group_pages), F.ceil(F.sum(F.octet_length("blocks")) / GROUP_BYTES)).alias("groups"))
+    hosts = materialize(hosts.join(deal, "host"), "html-hosts")  # a row for each large host
+    sent = F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts
+    salt = F.pmod(F.xxhash64("key"), F.col("groups"))
+    dealt = distinct.join(sent, "host").select("host", salt.alias("salt"), "key", "blocks", "loose", "pages")
+    group, found = ["host", "salt"], "host string, salt long, print long, n long"
+
+    def result(key, prints, n) -> pa.Table:
+        return pa.table({"host": pa.array([key[0].as_py()] * len(prints), pa.string()), "salt": pa.array([key[1].as_py()] * len(prints), pa.int64()), "print": pa.array(prints, pa.int64()), "n": pa.array(n, pa.int64())})
+
+    def first(key, table):
+        streams = streams_of(split_blocks(table.column("blocks")))
+        least = 1 if table.column("loose")[0].as_py() else MARKED_SHARE * len(streams)
+        return result(key, *found_in(streams, least))
+
+    def again(key, table, wanted):
+        if not table.num_rows or not wanted.num_rows:
+            return result(key, [], [])
+        prints, n = found_in(streams_of(split_blocks(table.column("blocks"))), 1)
+        keep = np.isin(prints, wanted.column("print").to_numpy())
+        return result(key, prints[keep], n[keep])
+
+    seen = materialize(dealt.groupBy(*group).applyInArrow(first, found), "html-found")
+    strict = hosts.where("not loose").select("host", "groups")
+    wanted = seen.join(strict, "host").groupBy("host", "print").agg(F.max("groups").alias("groups"))
+    wanted = wanted.select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("salt"), "print")
+    counted = dealt.where("not loose").groupBy(*group).cogroup(wanted.groupBy(*group)).applyInArrow(again, found)
+    each = materialize(seen.join(hosts.where("loose").select("host"), "host", "left_semi").unionByName(counted), "html-found")
+    enough = each.groupBy("host", "print").agg(F.sum("n").alias("total")).join(sent, "host")
+    enough = enough.where(F.col("total") >= F.when(F.col("loose"), MIN_PAGES).otherwise(F.greatest(F.lit(MARKED_PAGES), MARKED_SHARE * F.col("pages"))))
+    totals = each.join(enough.select("host", "print", "total"), ["host", "print"]).select("host", "salt", "print", "total")
+
+    def clean(key, table, sums):
+        own = split_blocks(table.column("blocks"))
+        shared = covered_by(streams_of(own), sums.column("print").to_numpy(), sums.column("total").to_numpy())
+        pages = table.column("pages").to_pylist()
+        texts = [[unique_runs(b, hidden(c, marked, n)) if b else "" for b, c, n in zip(own, shared, pages, strict=True)] for marked in (True, False)]
+        return pa.table({"host": table.column("host"), "key": table.column("key"), "if_marked": pa.array(texts[0], pa.string()), "if_not": pa.array(texts[1], pa.string())})
+
+    texts = dealt.groupBy(*group).cogroup(totals.groupBy(*group)).applyInArrow(clean, "host string, key string, if_marked string, if_not string")
+    text = F.when(F.col("marked"), F.col("if_marked")).otherwise(F.col("if_not"))
+    # pages with one stream may be very many: Spark splits their side of this join
+    out = rows.select("page_id", "url", "host", "key", "marked").join(materialize(texts, "html-texts"), ["host", "key"]).select("page_id", "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"))
+    for table in (seen, each, distinct, hosts):
+        drop_table(table)
+    return out.select(F.col("page_id").cast(kind).alias("page_id"), "url", "text", "n_chars")
+
+
+def extract(pages: DataFrame, repeats: bool = True, group_pages: int = GROUP_PAGES) -> DataFrame:
     """page_id, url, text, n_chars for every row; without ``repeats``, by the markup alone."""
     kind = pages.schema["page_id"].dataType.simpleString()
 
@@ -220,25 +344,27 @@ def extract(pages: DataFrame, repeats: bool = True) -> DataFrame:
             for a, b in small_batches(batch.column(2)):
                 found = [blocks(h) for h in texts_of(batch.column(2), a, b)]
                 cols = [pa.array([m for m, _ in found], pa.bool_()), pa.array(["\n".join(t) for _, t in found], pa.string())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *cols], names=["page_id", "url", "marked", "blocks"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in (0, 1, 3)), *cols], names=["page_id", "url", "host", "marked", "blocks"])
 
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)", 1)), F.lit(""))
-    streams = pages.select("page_id", "url", "html").mapInArrow(cut, f"page_id {kind}, url string, marked boolean, blocks string")
+    pages = pages.select("page_id", "url", "html", host.alias("host"))
+    parsed = lambda some: some.mapInArrow(cut, f"page_id {kind}, url string, host string, marked boolean, blocks string")
     if not repeats:
         text = F.translate("blocks", "\n", " ")
-        return streams.select("page_id", "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"))
-    streams = streams.withColumn("host", host)
-    sizes = pages.select(host.alias("host")).groupBy("host").agg(F.ceil(F.count("*") / GROUP_PAGES).alias("groups"))
-    # hosts of one group need no size: only larger ones are sent, by a hash of their names
-    sizes = sizes.where("groups > 1").select(F.xxhash64("host").alias("host_hash"), "groups")
-    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_HOSTS else sizes
-    salt = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("groups", F.lit(1)))
-    dealt = streams.withColumn("host_hash", F.xxhash64("host")).join(sizes, "host_hash", "left").withColumn("salt", salt).drop("groups", "host_hash")
+        return parsed(pages).select("page_id", "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"))
 
     def clean(group: pa.Table) -> pa.Table:
-        own = [b.split("\n") if b else [] for b in group.column("blocks").to_pylist()]
-        masks = boilerplate([" ".join(b).split(" ") if b else [] for b in own], group.column("marked").to_pylist())
+        own = split_blocks(group.column("blocks"))
+        masks = boilerplate(streams_of(own), group.column("marked").to_pylist())
         text = [unique_runs(b, m) if b else "" for b, m in zip(own, masks, strict=True)]
         return pa.table({"page_id": group.column("page_id"), "url": group.column("url"), "text": pa.array(text, pa.string()), "n_chars": pa.array(map(len, text), pa.int64())})
 
-    return dealt.groupBy("host", "salt").applyInArrow(clean, f"page_id {kind}, url string, text string, n_chars long")
+    sizes = pages.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.octet_length("html")).alias("bytes"))
+    large = materialize(sizes.where((F.col("n") > group_pages) | (F.col("bytes") > GROUP_BYTES)).select("host"), "html-large")
+    n = large.count()
+    sent = F.broadcast(large) if n <= BROADCAST_HOSTS else large
+    small = parsed(pages.join(sent, "host", "left_anti").select("page_id", "url", "html", "host") if n else pages)
+    out = small.groupBy("host").applyInArrow(clean, f"page_id {kind}, url string, text string, n_chars long")
+    if n:
+        out = out.unionByName(large_hosts(parsed(pages.join(sent, "host", "left_semi").select("page_id", "url", "html", "host")), group_pages))
+    return out
