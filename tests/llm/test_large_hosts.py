@@ -24,7 +24,8 @@ def made_pages():
             n += 1
         rows += [(n, f"http://{host}/none", None), (n + 1, f"http://{host}/empty", "<p> </p>"), (n + 2, f"http://{host}/short", "<p>few words here</p>")]
         n += 3
-    return rows
+    # a large host whose pages share nothing
+    return rows + [(n + k, f"http://lone/{k}", f"<article><p>{words(20)}</p></article>") for k in range(40)]
 
 
 @pytest.fixture(scope="module")

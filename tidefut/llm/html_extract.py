@@ -17,8 +17,8 @@ No task may hold a host with very many pages: its distinct streams are dealt int
 a suffix array of its own, and Spark sums what the groups find. Of each repeated substring's first ``MIN_TOKENS`` tokens a
 group gives a fingerprint and the number of its streams that have them: of all, if the host has pages without a marked
 article; else of those alone that the needed share of some group's streams has (what so large a share of all has, so large a
-share of some group has), which all groups then count. The sums go back to the groups, and cover their pages. How
-a host is dealt changes no result.
+share of some group has), which all groups then count. The sums go back to the groups, and cover their pages. Hosts none of whose groups has such a substring, nor a page without a marked
+article, are found first, and need no sums. How a host is dealt changes no result.
 Pages with the same stream count as one. White space inside a block is one space, blocks are joined by
 one space. Null or empty html gives an empty text; a null url is a host of its own. Rows that repeat
 an identifier or a page are treated each; very long pages are taken whole; an empty table gives an
@@ -280,6 +280,39 @@ def streams_of(own: list[list[str]]) -> list[list[str]]:
     return [" ".join(b).split(" ") if b else [] for b in own]
 
 
+def open_hosts(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """Of large hosts (host, groups), those that have a page without a marked article, or a group so large a share of whose streams share a substring that all of the host might."""
+
+    def once(batches):
+        """Streams, each once for a host and task as a rule: copies aren't moved."""
+        seen: set[bytes] = set()
+        for batch in batches:
+            hosts, marked, texts = (batch.column(k).to_pylist() for k in range(3))
+            keep, keys = [], []
+            for i, (h, m, t) in enumerate(zip(hosts, marked, texts, strict=True)):
+                key = xxhash.xxh3_128_digest(f"{h}\0{m}\0{t}")
+                if key not in seen:
+                    seen.add(key)
+                    keep.append(i)
+                    keys.append(xxhash.xxh3_64_intdigest(t) >> 1)
+            if len(seen) > 500_000:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(keep, pa.int64())) for c in batch.columns), pa.array(keys, pa.int64())], names=["host", "marked", "stream", "key"])
+
+    streams = rows.select("host", "marked", F.translate("blocks", "\n", " ").alias("stream")).mapInArrow(once, "host string, marked boolean, stream string, key long")
+    dealt = streams.join(F.broadcast(large) if large.count() <= BROADCAST_HOSTS else large, "host").select("host", F.pmod("key", "groups").alias("salt"), "marked", "stream")
+
+    def shares(key, table):
+        is_open = not all(table.column("marked").to_pylist())
+        if not is_open:
+            own = streams_of(split_blocks(pa.array(set(table.column("stream").to_pylist()), pa.string())))
+            is_open = len(found_in(own, MARKED_SHARE * len(own))[0]) > 0
+        return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "open": pa.array([is_open])})
+
+    found = materialize(dealt.groupBy("host", "salt").applyInArrow(shares, "host string, open boolean"), "html-open")
+    return found.where("open").select("host").distinct()
+
+
 def large_hosts(rows: DataFrame, group_pages: int) -> DataFrame:
     """page_id, url, text, n_chars of pages (page_id, url, host, marked, blocks) of hosts that no task may hold."""
     kind = rows.schema["page_id"].dataType.simpleString()
@@ -359,12 +392,19 @@ def extract(pages: DataFrame, repeats: bool = True, group_pages: int = GROUP_PAG
         text = [unique_runs(b, m) if b else "" for b, m in zip(own, masks, strict=True)]
         return pa.table({"page_id": group.column("page_id"), "url": group.column("url"), "text": pa.array(text, pa.string()), "n_chars": pa.array(map(len, text), pa.int64())})
 
-    sizes = pages.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.octet_length("html")).alias("bytes"))
-    large = materialize(sizes.where((F.col("n") > group_pages) | (F.col("bytes") > GROUP_BYTES)).select("host"), "html-large")
-    n = large.count()
-    sent = F.broadcast(large) if n <= BROADCAST_HOSTS else large
-    small = parsed(pages.join(sent, "host", "left_anti").select("page_id", "url", "html", "host") if n else pages)
+    groups = F.greatest(F.ceil(F.col("n") / group_pages), F.ceil(F.col("bytes") / GROUP_BYTES))
+    sizes = pages.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.octet_length("html")).alias("bytes")).select("host", groups.alias("groups"))
+    large = materialize(sizes.where("groups > 1"), "html-large")
+    sent = lambda hosts: F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts
+    of = lambda hosts, how: pages.join(sent(hosts.select("host")), "host", how).select("page_id", "url", "html", "host")
+    many = large.limit(1).count()
+    small = parsed(of(large, "left_anti") if many else pages)
     out = small.groupBy("host").applyInArrow(clean, f"page_id {kind}, url string, text string, n_chars long")
-    if n:
-        out = out.unionByName(large_hosts(parsed(pages.join(sent, "host", "left_semi").select("page_id", "url", "html", "host")), group_pages))
+    if many:
+        opened = open_hosts(parsed(of(large, "left_semi")), large)
+        closed = parsed(of(large.join(sent(opened), "host", "left_anti"), "left_semi"))
+        text = F.translate("blocks", "\n", " ")
+        out = out.unionByName(closed.select("page_id", "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars")))
+        if opened.limit(1).count():
+            out = out.unionByName(large_hosts(parsed(of(opened, "left_semi")), group_pages))
     return out
