@@ -306,3 +306,22 @@ def test_nn_descent_recall_at_a_lower_threshold(spark):
     got = {r.vec_id: r.n_links for r in nn_descent.near_duplicates(vectors, threshold=0.5).collect()}
     assert all(got[r.vec_id] <= n for r, n in zip(rows, hit.sum(axis=1).tolist(), strict=True))
     assert sum(got.values()) >= 0.9 * hit.sum()
+
+
+@pytest.mark.parametrize("square", [8, 4_000])
+def test_links_of_large_components(spark, square):
+    """One component of a chain of groups and one of a dense group, cut into cells of cells or compared whole."""
+    rng = np.random.default_rng(8)
+    turn = np.repeat(np.arange(40) * 0.2, 40)
+    chain = np.stack([np.cos(turn), np.sin(turn), *(0.02 * rng.standard_normal((4, len(turn))))], axis=1)
+    dense = np.array([0, 0, 0, 0, 1, 1]) + 0.06 * rng.standard_normal((1_000, 6))
+    x = np.concatenate([chain, dense, 3 * dense[:5]])  # the last are other vectors of the same direction
+    mult = rng.integers(1, 4, len(x))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = unit @ unit.T >= 0.95
+    np.fill_diagonal(hit, False)
+    hit[: len(chain), len(chain) :] = hit[len(chain) :, : len(chain)] = False
+    nodes = spark.createDataFrame([(i, v.tolist(), int(m)) for i, (v, m) in enumerate(zip(x, mult))], "nid long, e array<double>, mult long")
+    components = spark.createDataFrame([(i, 0 if i < len(chain) else len(chain)) for i in range(len(x))], "node long, component long")
+    got = {r.nid: r.links for r in nn_descent.count_links(nodes, components, 0.95, square).collect()}
+    assert got == {i: n for i, n in enumerate((hit @ mult).tolist()) if n}

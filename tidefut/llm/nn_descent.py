@@ -15,8 +15,9 @@ weighs the same, a hot one hides no other). What either finds missing is added,
 ``CLEAN`` audits in a row reach ``target``. Every audit that fails joins components, so this ends. The result gives the
 last recall and how many links it was measured on: null and few where a table has hardly any.
 
-The list inside is at last enlarged to the whole component: members are compared in square
-blocks, which gives the exact number of links of each. Equal vectors are one node with a
+The list inside is at last enlarged to the whole component, which gives the exact number of links
+of each: members lie in cells of cells with a centre and a radius, and only pairs of cells that the
+triangle inequality leaves undecided are compared vector by vector. Equal vectors are one node with a
 weight.
 
 Cosines are in double precision. Vectors that are null, zero, or hold null or non-finite
@@ -33,11 +34,12 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import connected_components, drop_table, key_groups, materialize
+from .common import connected_components, drop_table, key_groups, materialize, sendable
 
 K, ROTATIONS, BITS, BLOCK, TOP = 10, 8, 16, 64, 5
 SQUARE = 256
@@ -193,28 +195,138 @@ def audit(nodes: DataFrame, components: DataFrame, threshold: float, step: int =
     return share, true.where("a is not null")
 
 
-def count_links(nodes: DataFrame, components: DataFrame, threshold: float) -> DataFrame:
-    """(nid, links): weights of the other nodes of its component at or above the threshold, by square blocks."""
-    size = components.groupBy("component").agg(F.ceil(F.count("*") / SQUARE).alias("cells"))
-    own = components.join(size, "component").withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")))
-    own = materialize(own.join(nodes.select(F.col("nid").alias("node"), "e", "mult"), "node"), "nn-members")
-    left = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)))
-    rows = left.select("component", F.col("cell").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), "node", "e", "mult")
-    rows = rows.unionByName(left.select("component", F.col("other").alias("i"), F.col("cell").alias("j"), F.lit(1).alias("side"), "node", "e", "mult"))
-
-    def counted(batches):
-        for group in key_groups(batches, 3):
-            side = group.column(3).to_numpy()
-            ids, mult = group.column(4).to_numpy(), group.column(6).to_numpy()
-            x, sizes = _matrix(group.column(5))
-            a, b = side == 0, side == 1
-            if a.any() and b.any():
-                hit = _cosines(x[a], sizes[a], x[b], sizes[b]) >= threshold
-                hit &= ids[a][:, None] != ids[b][None, :]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(hit @ mult[b])], names=["nid", "links"])
-
-    key = ["component", "i", "j"]
-    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(counted, "nid long, links long").groupBy("nid").agg(F.sum("links").alias("links"))
+PAIR = "i long, j long, node long, links long"
+MEMBER = "component long, id long, e array<double>, mult long, radius double"
+#: Angles nearer than this to the threshold are compared vector by vector.
+MARGIN = 1e-6
+
+
+def cells_of(rows: DataFrame, square: int) -> DataFrame:
+    """Rows of ``MEMBER`` and their component's ``size``, cut into cells of neighbours: each row with its ``parent``, and for each cell a row without.
+
+    Neighbours have the same nearest pivot and then are next to one another by sign code. Pivots are about ``square`` rows of a component at most, drawn by hash;
+    where those of all components are too many bytes to be sent, sign codes alone decide. Cells change the work, not a result.
+    A cell's row holds its centre, the largest angle to what lies in it, and its weight.
+    """
+    spark = rows.sparkSession
+    parts = min(rows.count() // (8 * square) + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    drawn = rows.where(F.pmod(F.xxhash64("id"), F.greatest(F.lit(square), F.floor(F.col("size") / square))) == 0).select("component", "e")
+    pivots: dict[int, list] = {}
+    for r in drawn.collect() if sendable(drawn) else []:
+        pivots.setdefault(r["component"], []).append(r["e"])
+    sent = spark.sparkContext.broadcast({c: _unit(np.array(e, float)) for c, e in pivots.items()})
+
+    def coded(batches):
+        planes: dict[int, np.ndarray] = {}
+        for batch in batches:
+            x, sizes = _matrix(batch.column(2))
+            d = x.shape[1]
+            if d not in planes:
+                planes[d] = np.random.default_rng([d, 62]).standard_normal((d, 62))
+            own, nearest = batch.column(0).to_numpy(), np.zeros(len(x), np.int64)
+            for c in set(own.tolist()) & sent.value.keys():
+                of, to = own == c, sent.value[c]
+                nearest[of] = (_unit(x[of])[:, : to.shape[1]] @ to.T).argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nearest), pa.array((x @ planes[d] > 0) @ (1 << np.arange(62)[::-1]))], names=[*batch.schema.names, "pivot", "code"])
+
+    def cut(batches):
+        made = TaskContext.get().partitionId() << 33
+        for group in key_groups(batches, 2):
+            for a in range(0, group.num_rows, square):
+                part = group.slice(a, square)
+                x = _unit(_matrix(part.column(3))[0])
+                n, centre = len(x), x.mean(axis=0)
+                centre = _unit(centre[None])[0] if np.abs(centre).max() > 1e-9 else x[0]
+                radius = (np.arccos(np.clip(x @ centre, -1, 1)) + part.column(5).to_numpy()).max() + MARGIN  # never 0, as a vector's is
+                own = [part.column(k) for k in (0, 2, 3, 4, 5)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.full(n, made))], names=_CELLS)
+                first = part.column(0).slice(0, 1)
+                whole = [pa.array([v], t) for v, t in ((made, pa.int64()), (centre, pa.list_(pa.float64())), (int(part.column(4).to_numpy().sum()), pa.int64()), (radius, pa.float64()), (None, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([first, *whole], names=_CELLS)
+                made += 1
+
+    order = ["component", "pivot", "code", "id"]
+    coded_rows = rows.select(*_CELLS[:5]).mapInArrow(coded, MEMBER + ", pivot long, code long").select("component", "pivot", "id", "e", "mult", "radius", "code")
+    return coded_rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(cut, MEMBER + ", parent long")
+
+
+_CELLS = ["component", "id", "e", "mult", "radius", "parent"]
+
+
+def compared_pairs(pairs: DataFrame, children: DataFrame, threshold: float) -> DataFrame:
+    """For pairs (i, j) of parents, what their children (``parent`` and the columns of ``MEMBER``) have to do with one another.
+
+    Rows with ``node``: so many links for all that lies in this child. Rows without: two cells that only
+    their own children decide. Of two vectors the cosine decides, of two cells the angle between their centres,
+    where their radii leave no doubt. A cell and itself are always left to the children.
+    """
+    limit = float(np.arccos(min(1.0, threshold)))
+    child = children.select("parent", "id", "e", "mult", "radius")
+    sides = [pairs.join(child.withColumnRenamed("parent", key), key).select("i", "j", F.lit(side).alias("side"), "id", "e", "mult", "radius") for side, key in enumerate("ij")]
+    rows = sides[0].unionByName(sides[1].where("i <> j"))
+
+    def decided(batches):
+        for group in key_groups(batches, 2):
+            first = group.column(2).to_numpy() == 0
+            same = first.all()
+            a, b = (first, first) if same else (first, ~first)
+            ids, mult, radius = (group.column(k).to_numpy() for k in (3, 5, 6))
+            x, sizes = _matrix(group.column(4))
+            cos = _cosines(x[a], sizes[a], x[b], sizes[b])
+            own = ids[a][:, None] == ids[b][None, :]
+            around = radius[a][:, None] + radius[b][None, :]
+            angle = np.arccos(np.clip(cos, -1, 1))
+            vectors = around == 0
+            hit = np.where(vectors, cos >= threshold, angle + around <= limit - MARGIN) & ~own
+            open_ = ~vectors & ~hit & (angle - around <= limit + MARGIN)
+            found = [(ids[a], hit @ mult[b])] if same else [(ids[a], hit @ mult[b]), (ids[b], hit.T @ mult[a])]
+            for node, links in found:
+                node, links = node[links > 0], links[links > 0]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(node), pa.int64()), pa.nulls(len(node), pa.int64()), pa.array(node), pa.array(links)], names=["i", "j", "node", "links"])
+            i, j = np.nonzero(np.triu(open_) if same else open_)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a][i]), pa.array(ids[b][j]), pa.nulls(len(i), pa.int64()), pa.nulls(len(i), pa.int64())], names=["i", "j", "node", "links"])
+
+    return rows.repartition("i", "j").sortWithinPartitions("i", "j", "side", "id").mapInArrow(decided, PAIR)
+
+
+def count_links(nodes: DataFrame, components: DataFrame, threshold: float, square: int = SQUARE) -> DataFrame:
+    """(nid, links): weights of the other nodes of its component at or above the threshold.
+
+    Components of up to ``square`` members are compared whole. Larger ones are cut into cells, these into cells of
+    cells, until a component has no more than ``square``; then pairs of cells are followed downwards. Pairs that lie wholly within
+    or wholly beyond the threshold end there, and only what is left is compared vector by vector.
+    """
+    members = components.select("component", F.col("node").alias("nid")).join(nodes, "nid")
+    rows = materialize(members.select("component", F.col("nid").alias("id"), "e", F.col("mult").cast("long").alias("mult"), F.lit(0.0).alias("radius")), "nn-members")
+    levels, written = [], [rows]  # from the vectors upwards: rows below a parent, and those of components that end there
+    while True:
+        size = rows.groupBy("component").agg(F.count("*").alias("size"))
+        large = size.where(F.col("size") > square)
+        top = rows.join(large, "component", "left_anti").withColumn("parent", F.col("component"))
+        if not large.limit(1).count():
+            levels.append((None, top))
+            break
+        cut = materialize(cells_of(rows.join(large, "component"), square), "nn-cells")
+        written.append(cut)
+        levels.append((cut.where("parent is not null"), top))
+        rows = cut.where("parent is null").drop("parent")
+    pairs = counts = None
+    for below, top in reversed(levels):
+        roots = top.select(F.col("component").alias("i"), F.col("component").alias("j")).distinct()
+        found = compared_pairs(roots, top, threshold)
+        if below is not None:
+            found = found.unionByName(compared_pairs(pairs.where("node is null").select("i", "j"), below, threshold))
+        pairs = materialize(found, "nn-pairs")
+        written.append(pairs)
+        own = pairs.where("node is not null").groupBy(F.col("node").alias("id")).agg(F.sum("links").alias("links"))
+        if below is not None:  # what was found for a cell holds for all that lies in it
+            above = below.select("id", "parent").join(counts.withColumnRenamed("id", "parent"), "parent").select("id", "links")
+            own = own.unionByName(above).groupBy("id").agg(F.sum("links").alias("links"))
+        counts = own
+    counts = materialize(counts.select(F.col("id").alias("nid"), "links"), "nn-counts")
+    for table in written:
+        drop_table(table)
+    return counts
 
 
 def joined(components: DataFrame, links: DataFrame) -> DataFrame:
