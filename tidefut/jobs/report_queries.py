@@ -40,12 +40,12 @@ def _row(*cells) -> Column:
 
 
 def rendered(spark: SparkSession, sf_dir: str, more: Column | int = 0, weekly: bool = False, own: bool = False) -> DataFrame:
-    """One page for each root and day (or week); a page lists the few contracts of its day. ``more`` is added to closing prices; ``own`` adds a column of a name unknown so far."""
+    """One page for each root and day (or week); a page lists the few contracts of its day. ``more`` is added to closing prices; ``own`` adds a column of a name unknown so far, whose texts hold the plain count."""
     day = F.dayofmonth("date") % 10
     code = F.when(F.dayofmonth("date") % 2 == 0, F.col("ticker")).otherwise(F.substring("ticker", 4, 3))
     q = quotes(spark, sf_dir, weekly).withColumn("close", F.col("close") + more)
-    q = q.select("date", "root", "ticker", code.alias("code"), *(localized(F.col(c)).alias(c) for c in ("open", "low", "high", "close", "volume")), *(localized(F.col(c), 0).alias(c) for c in ("volume_qty", "trade_count")))
-    cell = F.struct("ticker", _row(F.col("code")).alias("c"), _row(F.concat(F.lit(" "), F.lower("code"), F.lit("&nbsp;")), "5", F.col("trade_count"), F.col("volume_qty"), F.col("volume"), *([F.concat(F.lit("m"), F.col("trade_count"))] if own else [])).alias("v"), _row(*(F.col(c) for c in ("code", "open", "low", "high", "close")), "0,50-").alias("p"))
+    q = q.select("date", "root", "ticker", code.alias("code"), *(localized(F.col(c)).alias(c) for c in ("open", "low", "high", "close", "volume")), *(localized(F.col(c), 0).alias(c) for c in ("volume_qty", "trade_count")), F.concat(F.lit("m"), F.col("trade_count")).alias("margin"))
+    cell = F.struct("ticker", _row(F.col("code")).alias("c"), _row(F.concat(F.lit(" "), F.lower("code"), F.lit("&nbsp;")), "5", F.col("trade_count"), F.col("volume_qty"), F.col("volume"), *([F.col("margin")] if own else [])).alias("v"), _row(*(F.col(c) for c in ("code", "open", "low", "high", "close")), "0,50-").alias("p"))
     page = q.groupBy("root", "date").agg(F.sort_array(F.collect_list(cell)).alias("rows"), F.first(F.date_format("date", "dd/MM/yyyy")).alias("day"))
     body = lambda part: F.array_join(F.transform("rows", lambda r: r[part]), "")
     reverse = lambda part: F.array_join(F.transform(F.reverse("rows"), lambda r: r[part]), "")
