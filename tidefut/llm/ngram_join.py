@@ -120,7 +120,12 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     docs = np.concatenate([np.flatnonzero(sizes > 0), np.flatnonzero((sizes > 0) & upper)])
     band = np.concatenate([own[sizes > 0], own[(sizes > 0) & upper] + 1])
     found, owners = [], []
-    one, many = diff[band] == 1, diff[band] > 1
+    none, one, many = diff[band] == 0, diff[band] == 1, diff[band] > 1
+    if none.any():
+        few, n = docs[none], sizes[docs[none]]
+        h = mix64(np.concatenate([sets[i] for i in few]), 29)
+        found.append(mix64(np.add.reduceat(h, np.cumsum(n) - n) + mix64(band[none].astype(np.uint64), 61), 19))
+        owners.append(few)
     if one.any():
         few, n = docs[one], sizes[docs[one]]
         h = mix64(np.concatenate([sets[i] for i in few]), 29)
