@@ -126,6 +126,11 @@ def kept(key, make: Callable):
     return _kept[1]
 
 
+def forget() -> None:
+    """Give up what another operator's tasks left in this worker."""
+    _kept.clear()
+
+
 class WordTable:
     """Distinct words of the rows seen so far, numbered, each with values computed once.
 

@@ -17,7 +17,7 @@ whatever the size of a group. Each set is first compared with the least set of t
 of its signatures fall into, then with the least of its other runs where those are not connected
 yet (stars, not all pairs), and the components of the links found so far are then checked for
 completeness: of sets that share a signature, those still in different components are compared
-with one another, in square blocks of bounded size. Sizes, and a parity sketch whose distance
+with one another, in square blocks of bounded size; the first run that two sets share gives their pair. Sizes, and a parity sketch whose distance
 never exceeds the true one, rule out most pairs; the others are verified on the full sets. Copies
 of one set are one node throughout. A node is named by 64 bits of its set's 128-bit hash; names
 that two sets share are told apart by the other half.
@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, connected_components, drop_table, materialize, mix64, sendable, small_batches, texts_of, whole_groups
+from .common import WordTable, connected_components, drop_table, forget, materialize, mix64, sendable, small_batches, texts_of, whole_groups
 
 WIDTH = 5
 #: Jaccard similarity as a fraction of whole numbers.
@@ -57,6 +57,8 @@ SQUARE = 1024
 SMALL = 48
 #: Pairs of one set in a block that are verified before all that are left.
 NEAREST = 2
+#: Runs of a set in order, of which the first one that two sets share gives their pair.
+FIRST_RUNS = 32
 #: Names that sets of different hashes share; by chance, none in a thousand tables of 10^8 sets.
 MOST_CLASHES = 10_000
 
@@ -121,11 +123,14 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     band = np.concatenate([own[sizes > 0], own[(sizes > 0) & upper] + 1])
     found, owners = [], []
     none, one, many = diff[band] == 0, diff[band] == 1, diff[band] > 1
-    if none.any():
+    if none.any():  # only equal sets link: those that the given ones hold several times sign as a whole
         few, n = docs[none], sizes[docs[none]]
         h = mix64(np.concatenate([sets[i] for i in few]), 29)
-        found.append(mix64(np.add.reduceat(h, np.cumsum(n) - n) + mix64(band[none].astype(np.uint64), 61), 19))
-        owners.append(few)
+        whole = mix64(np.add.reduceat(h, np.cumsum(n) - n) + mix64(band[none].astype(np.uint64), 61), 19)
+        again = np.unique(whole, return_inverse=True, return_counts=True)
+        several = again[2][again[1]] > 1
+        found.append(whole[several])
+        owners.append(few[several])
     if one.any():
         few, n = docs[one], sizes[docs[one]]
         h = mix64(np.concatenate([sets[i] for i in few]), 29)
@@ -268,13 +273,13 @@ def nearest_of(a: np.ndarray, b: np.ndarray, room: np.ndarray, nearest: int) ->
     return np.unique(pair[order][rank < nearest])
 
 
-def block_pairs(node: np.ndarray, n: np.ndarray, group: np.ndarray, raw: list[np.ndarray], side: np.ndarray, nearest: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs in different groups that sizes and sketches don't rule out; with two sides, pairs across only.
+def block_pairs(n: np.ndarray, group: np.ndarray, raw: list[np.ndarray], side: np.ndarray, nearest: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of pairs in different groups that sizes and sketches don't rule out; with two sides, pairs across only.
 
     With ``nearest``, only those that are among so many nearest ones of one of their sets.
     """
     order = np.argsort(n, kind="stable")
-    node, n, group, raw, side = node[order], n[order], group[order], [raw[k] for k in order], side[order]
+    n, group, raw, side = n[order], group[order], [raw[k] for k in order], side[order]
     bits = np.stack([folded(r, CELLS // 8) for r in raw]).view(np.uint64)
     both = side.min() != side.max()
     reach = np.searchsorted(n, n * DEN // NUM, "right")  # larger ones that are not too large
@@ -298,7 +303,21 @@ def block_pairs(node: np.ndarray, n: np.ndarray, group: np.ndarray, raw: list[np
     if nearest is not None:
         best = nearest_of(a, b, room, nearest)
         a, b = a[best], b[best]
-    return np.maximum(node[a], node[b]), np.minimum(node[a], node[b])
+    return order[a], order[b]
+
+
+def first_here(run: np.ndarray, firsts: pa.Array, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the rows of each pair of positions have no run before this one in common, among the first runs of each: pairs that share many runs go out of one of them."""
+    ends = firsts.offsets.to_numpy()
+    sizes = np.diff(ends)
+    table = np.full((len(sizes), max(1, int(sizes.max(initial=0)))), np.iinfo(np.int64).max)
+    table[np.repeat(np.arange(len(sizes)), sizes), np.arange(sizes.sum()) - np.repeat(ends[:-1] - ends[0], sizes)] = firsts.values.to_numpy()[ends[0] : ends[-1]]
+    out = np.ones(len(x), bool)
+    for a in range(0, len(x), 2048):
+        left, right = table[x[a : a + 2048]], table[y[a : a + 2048]]
+        before = left < run[x[a : a + 2048], None]
+        out[a : a + 2048] = ~((left[:, :, None] == right[:, None, :]) & before[:, :, None]).any(axis=(1, 2))
+    return out
 
 
 def describe(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -311,6 +330,7 @@ def describe(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     names = ["sig", "node", "own"]
 
     def signed(batches):
+        forget()
         table = WordTable(word_hashes, 250_000)
         for batch in batches:
             kind = pa.struct([*own_kinds, ("doc_id", batch.column(0).type)])
@@ -425,12 +445,22 @@ def starred(members: DataFrame, one: bool) -> DataFrame:
 
 
 def unconnected(named: DataFrame, info: DataFrame, nearest: int | None) -> DataFrame:
-    """Pairs of sets of one run that are in different components so far and not ruled out: all, or each set's nearest."""
-    mixed = named.groupBy("run").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.ceil(F.count("*") / SQUARE).alias("cells")).where("lo <> hi")
-    members = named.join(mixed.select("run", "cells"), "run").join(info, "node").withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")))
+    """Pairs of sets of one run that are in different components so far and not ruled out: all, or each set's nearest in its run of most members.
+
+    Of all the runs that two sets share, the first one gives the pair, as far as it is among the ``FIRST_RUNS`` first ones of both.
+    """
+    mixed = named.groupBy("run").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count("*").alias("members")).where("lo <> hi")
+    members = named.join(mixed.select("run", "members"), "run")
+    by_node = members.groupBy("node")
+    if nearest is None:
+        members = members.join(by_node.agg(F.slice(F.sort_array(F.collect_set("run")), 1, FIRST_RUNS).alias("firsts")), "node")
+    else:
+        chosen = by_node.agg(F.max_by(F.struct("run", "grp", "members"), F.struct("members", "run")).alias("most"))
+        members = chosen.select("node", "most.*", F.array().cast("array<long>").alias("firsts"))
+    members = members.join(info, "node").withColumn("cells", F.ceil(F.col("members") / SQUARE)).withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")))
     dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)))
     key = ["run", "i", "j"]
-    dealt = dealt.select("run", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), "node", "n", "grp", "sketch", (F.col("cell") > F.col("other")).cast("int").alias("side"))
+    dealt = dealt.select("run", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), "node", "n", "grp", "sketch", (F.col("cell") > F.col("other")).cast("int").alias("side"), "firsts")
 
     def compared(batches):
         for part in whole_groups(batches, 3):
@@ -448,11 +478,20 @@ def group_pairs(part: pa.RecordBatch, nearest: int | None) -> tuple[np.ndarray,
     starts = np.flatnonzero(np.append(True, (run[1:] != run[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
     sizes = np.diff(np.append(starts, len(run)))
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def once(x, y):
+        """One of the pairs of positions of equal nodes."""
+        a, b = np.maximum(node[x], node[y]), np.minimum(node[x], node[y])
+        order = np.lexsort((y, x, b, a))
+        a, b = a[order], b[order]
+        kept = order[np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))] if len(order) else order
+        return x[kept], y[kept]
+
     for s, m in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
         at = slice(s, s + m)
-        a, b = block_pairs(node[at], n[at], grp[at], raw[at], side[at], nearest)
-        left.append(a)
-        right.append(b)
+        x, y = block_pairs(n[at], grp[at], raw[at], side[at], nearest)
+        left.append(s + x)
+        right.append(s + y)
     rows = np.flatnonzero(np.repeat(sizes <= SMALL, sizes))
     if len(rows):
         gid = np.repeat(np.arange(len(sizes)), sizes)
@@ -463,18 +502,18 @@ def group_pairs(part: pa.RecordBatch, nearest: int | None) -> tuple[np.ndarray,
         y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(later) - later, later)
         ok = (gid[x] == gid[y]) & (grp[x] != grp[y]) & (np.minimum(n[x], n[y]) * DEN >= np.maximum(n[x], n[y]) * NUM) & (~across[x] | (side[x] != side[y]))
         x, y = x[ok], y[ok]
-        a, b = np.maximum(node[x], node[y]), np.minimum(node[x], node[y])
-        order = np.lexsort((b, a))
-        once = order[np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]))] if len(order) else order
-        x, y, a, b = x[once], y[once], a[once], b[once]
+        x, y = once(x, y)
         room = near(raw, n, x, y)
-        a, b, room = a[room >= 0], b[room >= 0], room[room >= 0]
+        x, y, room = x[room >= 0], y[room >= 0], room[room >= 0]
         if nearest is not None:
-            best = nearest_of(a, b, room, nearest)
-            a, b = a[best], b[best]
-        left.append(a)
-        right.append(b)
-    return np.concatenate(left), np.concatenate(right)
+            best = nearest_of(np.maximum(node[x], node[y]), np.minimum(node[x], node[y]), room, nearest)
+            x, y = x[best], y[best]
+        left.append(x)
+        right.append(y)
+    x, y = np.concatenate(left), np.concatenate(right)
+    here = first_here(run, part.column(8), x, y)
+    x, y = once(x[here], y[here])
+    return np.maximum(node[x], node[y]), np.minimum(node[x], node[y])
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
