@@ -41,7 +41,7 @@ END_ID = 1
 REMEMBERED, LONGEST = 400_000, 64
 
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, n_loss long"
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
+_ODD_SPACE = "\x1c\x1d\x1e\x1f"
 
 
 class WordEncoder:
@@ -76,7 +76,7 @@ class WordEncoder:
         rest = iter(range(256, 512))
         self.stand_in = {i: i if i in plain else next(rest) for i in range(256)}
         self.id_bytes = [i.to_bytes(4, "little") for i in range(max(self.tokenizer.get_vocab().values()) + 1)]
-        self.known: dict[str, bytes] = {}
+        self.known = Chunks(self.chunk)
         self.words: dict[str, bytes] = {}
 
     def one(self, text: str) -> bytes:
@@ -91,38 +91,42 @@ class WordEncoder:
             return [chunk.lower()] if chunk.isalpha() else self.pattern.findall(chunk.lower())
         return self.pattern.findall(unicodedata.normalize("NFC", chunk).lower())
 
-    def learn(self, chunks: list[str]) -> None:
-        if len(self.words) > REMEMBERED:
-            self.words = {}
-        words, other = self.words, self.other.search
-        for c in chunks:
-            if other(c):
-                self.known[c] = self.one(c)
-                continue
-            ids = []
-            for w in self.split(c):
-                got = words.get(w)
-                if got is None:
-                    got = self.word(w)
-                    if len(w) <= LONGEST:
-                        words[w] = got
-                ids.append(got)
-            self.known[c] = ids[0] if len(ids) == 1 else b"".join(ids)
+    def chunk(self, c: str) -> bytes:
+        if self.other.search(c):
+            return self.one(c)
+        words, ids = self.words, []
+        for w in self.split(c):
+            got = words.get(w)
+            if got is None:
+                got = self.word(w)
+                if len(w) <= LONGEST:
+                    words[w] = got
+            ids.append(got)
+        return ids[0] if len(ids) == 1 else b"".join(ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_words:
             return [self.one(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        split = [t.split() for t in texts]
-        new = list({c for s in split for c in s}.difference(self.known))
-        self.learn(new)
+        if len(self.words) > REMEMBERED:
+            self.words = {}
         at = self.known.__getitem__
-        out = [self.one(t) if _ODD_SPACE.search(t) else b"".join(map(at, s)) for t, s in zip(texts, split, strict=True)]
-        for c in new:
-            if len(c) > LONGEST:
-                del self.known[c]
-        return out
+        return [self.one(t) if any(c in t for c in _ODD_SPACE) else b"".join(map(at, t.split())) for t in texts]
+
+
+class Chunks(dict):
+    """Ids of chunks, each encoded when it is first asked for; long ones are not remembered."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, c: str) -> bytes:
+        ids = self.encode(c)
+        if len(self) > REMEMBERED:
+            self.clear()
+        if len(c) <= LONGEST:
+            self[c] = ids
+        return ids
 
 
 def encoder_of(path: str) -> WordEncoder:
