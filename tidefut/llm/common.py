@@ -7,6 +7,8 @@ cuts lineage, so a lost executor costs a re-read and no recomputation.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
@@ -121,14 +123,20 @@ _kept: list = []
 def kept(key, make: Callable):
     """What a worker keeps from task to task: one thing, made anew when another is asked for, so that operators don't add up."""
     if not _kept or _kept[0] != key:
-        _kept.clear()
+        forget()
         _kept.extend((key, make()))
     return _kept[1]
 
 
 def forget() -> None:
-    """Give up what another operator's tasks left in this worker."""
-    _kept.clear()
+    """Give up what another operator's tasks left in this worker, and give its memory back: workers live on through all of a job's stages."""
+    if _kept:
+        _kept.clear()
+        gc.collect()  # an encoder and its chunks refer to each other
+    try:
+        ctypes.CDLL(None).malloc_trim(0)  # else freed memory stays with the process
+    except (AttributeError, OSError, TypeError):  # another C library
+        pass
 
 
 class WordTable:

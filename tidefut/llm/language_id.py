@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MASK, WordTable, carried, crc_mod, drop_table, kept, materialize, small_batches, texts_of
+from .common import MASK, WordTable, carried, crc_mod, drop_table, forget, kept, materialize, small_batches, texts_of
 
 #: Longest word, in characters, whose segmentations are summed without logarithms.
 LINEAR = 32
@@ -236,6 +236,7 @@ def count_words(rows: DataFrame, label: str, text: str = "text") -> DataFrame:
     """(label, word, n) over whole texts: counted per task first, then summed in the shuffle."""
 
     def counted(batches):
+        forget()
         held: dict = {}
         size, kind = 0, pa.string()
         for batch in batches:
@@ -316,6 +317,7 @@ def fit(rows: DataFrame, model_path: str, lang: str = "lang", text: str = "text"
         sent = spark.sparkContext.broadcast((langs, probs))
 
         def expect(batches, sent=sent):
+            forget()
             langs, probs = sent.value
             own, total = pieces_of(model_path), np.zeros_like(probs)
             for batch in batches:

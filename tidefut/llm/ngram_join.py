@@ -342,6 +342,8 @@ def describe(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 spread = mix64(np.arange(b - a).astype(np.uint64), 67) + mix64(named[:, 0].view(np.uint64), 71)
                 own = pa.StructArray.from_arrays([pa.array(sizes), pa.array(np.ascontiguousarray(named[:, 1])), pa.array(sketches, pa.binary()), batch.column(0).slice(a, b - a)], fields=list(kind))
                 yield pa.RecordBatch.from_arrays([pa.array(spread.view(np.int64)), pa.array(np.ascontiguousarray(named[:, 0])), own], names=names)
+        del table
+        forget()
 
     def shared(batches):
         rows: list[pa.RecordBatch] = []
@@ -401,6 +403,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").alias("own_id"), "text").join(F.broadcast(wanted) if sendable(wanted) else wanted, F.col("own_id").eqNullSafe(F.col("doc_id"))).select("node", "text", "name", "node2")
 
     def measured(batches):
+        forget()
         table = WordTable(word_hashes, 250_000)
         for batch in batches:
             node, name, other = (batch.column(k).to_numpy() for k in (0, 2, 3))

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, crc_mod, drop_table, materialize, sendable, small_batches, texts_of
+from .common import carried, crc_mod, drop_table, forget, materialize, sendable, small_batches, texts_of
 
 N_FEATURES = 18
 #: Cells of scores for each class, and how many of them are one unit of a score; the outermost hold all beyond.
@@ -164,6 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: f
         rows = rows.join(F.broadcast(known), "doc_id").select("doc_id", "text")
 
     def measured(batches):
+        forget()
         for batch in batches:
             texts = batch.column("text")
             x = np.concatenate([np.zeros((0, N_FEATURES)), *(features(texts_of(texts, a, b)) for a, b in small_batches(texts))])
@@ -209,6 +210,7 @@ def score(docs: DataFrame, model: QualityModel, carry: tuple[str, ...] = ()) ->
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def scored(batches):
+        forget()
         for batch in batches:
             parts = [sent.value.scores(features(texts_of(batch.column(1), a, b))) for a, b in small_batches(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts) if parts else [], pa.float64())], names=["doc_id", "score"])
